@@ -38,7 +38,8 @@ def s3(spark, sf):
         ref("size/", F.col("p_size").cast("string")).alias("owl:disjointWith"))
     root = ("rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' "
             "xmlns:rdfs='http://www.w3.org/2000/01/rdf-schema#' xmlns:owl='http://www.w3.org/2002/07/owl#'")
-    doc.write.format("xml").option("rootTag", root).option("rowTag", "owl:Class").save(path)
+    doc.write.format("xml").option("rootTag", root).option("rowTag", "owl:Class").option(
+        "validateName", False).save(path)
     got = ontology.read_ontology(spark, path)
     axioms = got.axioms.groupBy("target", "axiom", "kind").agg(F.count(F.lit(1)).alias("n_entities"))
     labels = got.entities.groupBy(F.concat(F.lit("label "), "label").alias("target"), F.lit("label").alias("axiom"),
