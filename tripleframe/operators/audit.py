@@ -400,8 +400,9 @@ def limit_consistent(df: DataFrame, keys: list[Column | str], n: int, offset: in
     sliced = full.where(F.col("__pos") > offset).drop("__pos")
     a = limited.withColumn("__side", F.lit(1))
     b = sliced.withColumn("__side", F.lit(-1))
-    per = a.unionByName(b).groupBy(*df.columns).agg(F.sum("__side").alias("d"), F.count(F.lit(1)).alias("c"))
-    return per.agg(_nothing(F.col("c")).alias("compared"), _count_if(F.col("d") != 0).alias("different")).select(
+    per = a.unionByName(b).groupBy(*df.columns).agg(
+        F.sum("__side").alias("__d"), F.count(F.lit(1)).alias("__c"))
+    return per.agg(_nothing(F.col("__c")).alias("compared"), _count_if(F.col("__d") != 0).alias("different")).select(
         (F.col("compared") / 2).cast("bigint").alias("rows"), (F.col("different") == 0).alias("consistent"))
 
 
