@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleframe.plans.support import cut_lineage, union_all
+from tripleframe.plans.support import BROADCAST_ROWS, broadcast_if_small, cut_lineage, union_all
 
 MAX_HOPS, MAX_PATHS = 8, 2000
 
@@ -31,17 +31,25 @@ def path_library(edges: DataFrame, h: int = 4, cap: int | None = 300, seeds: Dat
         raise ValueError(f"hops must be between 1 and {MAX_HOPS}")
     if cap is not None and not 1 <= cap <= MAX_PATHS:
         raise ValueError(f"cap must be between 1 and {MAX_PATHS}")
-    e = edges.select("s", "p", "o").distinct()
-    step = cut_lineage(e.select(F.col("s").alias("a"), "p", F.col("o").alias("b"), F.lit(True).alias("f")).union(
-        e.where("s <> o").select("o", "p", "s", F.lit(False))))
+    def way(a, b, forward):
+        return F.struct(F.col(a).alias("a"), "p", F.col(b).alias("b"), F.lit(forward).alias("f"))
+
+    # A step from a node to itself is on no simple path.
+    e = edges.select("s", "p", "o").where("s <> o").distinct()
+    step = cut_lineage(e.select(F.inline(F.array(way("s", "o", True), way("o", "s", False)))))
+    small_step = step.count() <= BROADCAST_ROWS
     start = step.select(F.col("a").alias("end")).distinct()
     if seeds is not None:
         start = start.join(seeds.toDF("end").distinct(), "end", "left_semi")
     level = start.select(
         "end", F.array("end").alias("nodes"), F.array().cast("array<string>").alias("preds"),
         F.array().cast("array<boolean>").alias("fwd"))
-    levels, found = [], 0
+    levels, found, n = [], 0, None
     for hop in range(1, h + 1):
+        if small_step:
+            step = F.broadcast(step)
+        elif n is not None and n <= BROADCAST_ROWS:
+            level = F.broadcast(level)
         level = level.join(step, level["end"] == step["a"]).where(~F.array_contains("nodes", F.col("b"))).select(
             F.col("b").alias("end"), F.concat("nodes", F.array("b")).alias("nodes"),
             F.concat("preds", F.array("p")).alias("preds"), F.concat("fwd", F.array("f")).alias("fwd"))
@@ -67,12 +75,15 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     done = "hops int, nodes array<string>, preds array<string>"
     if a == b:
         return spark.createDataFrame([], done)
-    e = edges.select("s", "p", "o").where("s <> o")
+    # Every round reads all edges, so they are written once instead of being derived again.
+    e = cut_lineage(edges.select("s", "p", "o").where("s <> o"))
     frontier = spark.createDataFrame([(a, [a], [])], schema)
     visited, hops = frontier.select("node"), 0
     while True:
         hops += 1
-        reached = frontier.join(e, frontier["node"] == e["s"]).select(
+        # While the frontier is small, the edges need no shuffle to meet it.
+        near = broadcast_if_small(frontier)
+        reached = near.join(e, near["node"] == e["s"]).select(
             F.col("o").alias("next"),
             F.struct(F.concat("nodes", F.array("o")).alias("nodes"),
                      F.concat("preds", F.array("p")).alias("preds")).alias("path"))

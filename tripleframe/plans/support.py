@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is broadcast only after a count shows that it has at most this many rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 # Settings that suit this library on a cluster; AQE then coalesces the many small partitions and
 # splits skewed ones. Pass to SparkSession.builder.config(map=...).
