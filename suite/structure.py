@@ -14,9 +14,7 @@ _PLAIN = ["Region", "Nation", "Customer", "Supplier", "Part", "Order", "Event",
 
 def schema_edges(spark, sf):
     """Class-to-class edges that the data really has, by local names."""
-    triples = materialize(mapping(spark, sf, _PLAIN))
-    menu = schema.pattern_menu(triples.where("o_kind = 'iri'")).where("kind = 'edge'")
-    return menu.select(local_name("s_class").alias("s"), local_name("p").alias("p"), local_name("target").alias("o"))
+    return schema.schema_edges(mapping(spark, sf, _PLAIN))
 
 
 _EXISTS = [("Nation", "inRegion", "Region", "nation join region on n_regionkey = r_regionkey"),

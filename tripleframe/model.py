@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleframe.functions import terms
+from tripleframe.plans.support import local_frame
 
 RDF_TYPE = terms.RDF_TYPE
 
@@ -218,7 +219,7 @@ class Tbox:
                 continue
             data = [tuple(full(v, names[i] not in ("label", "kind")) for i, v in enumerate(r))
                     for r in rows or []]
-            frames[part] = spark.createDataFrame(data, ", ".join(f"{n} string" for n in names))
+            frames[part] = local_frame(spark, **{n: [r[i] for r in data] for i, n in enumerate(names)})
         if axioms:
             raise ValueError(f"unknown ontology parts: {', '.join(axioms)}")
         return cls(spark, frames)

@@ -4,29 +4,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleframe.functions.terms import namespace
+from tripleframe.functions.terms import XSD_NS, local_name, namespace, xsd_name
 from tripleframe.model import RDF_TYPE, Mapping
-from tripleframe.plans.support import union_all
+from tripleframe.operators.triplify import edge_stats
+from tripleframe.plans.support import local_frame, union_all
 
 
 def pattern_menu(triples: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Observed patterns: (subject class, predicate, object class or literal type), with counts.
 
-    Nodes get their classes by two joins on the node. Counting per (node, predicate) goes first on the
-    object side, so an object that a third of all edges point to is joined as one row.
+    ``triples`` is a set. Facts meet the class of their subject first; literals are then counted away.
+    Edges are counted per (object, subject class, predicate) before they meet the class of their object,
+    so an object that a third of all edges point to is joined as a few rows.
     """
-    types = triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("node"), F.col("o").alias("cls")).distinct()
-    facts = triples.where(F.col("p") != RDF_TYPE)
+    types = triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("node"), F.col("o").alias("cls"))
+    facts = triples.where(F.col("p") != RDF_TYPE).select(
+        "s", "p", "o_kind", "o_type", F.when(F.col("o_kind") == "iri", F.col("o")).alias("o"))
     mine = types.select(F.col("node").alias("s"), F.col("cls").alias("s_class"))
     theirs = types.select(F.col("node").alias("o"), F.col("cls").alias("o_class"))
-    by_subject = facts.groupBy("s", "p", "o_kind", "o_type", F.when(F.col("o_kind") == "iri", F.col("o")).alias("o")).agg(
-        F.count(F.lit(1)).alias("n")).join(mine, "s", "left").groupBy("s_class", "p", "o_kind", "o_type", "o").agg(
-        F.sum("n").alias("n"))
-    lits = by_subject.where("o_kind = 'lit'").select("s_class", "p", F.col("o_type").alias("target"), "n")
-    edges = by_subject.where("o_kind = 'iri'").join(theirs, "o", "left").select(
-        "s_class", "p", F.col("o_class").alias("target"), "n")
-    out = lits.withColumn("kind", F.lit("literal")).unionByName(edges.withColumn("kind", F.lit("edge"))).groupBy(
-        "s_class", "p", "target", "kind").agg(F.sum("n").alias("n"))
+    seen = facts.join(mine, "s", "left").groupBy("s_class", "p", "o_kind", "o_type", "o").agg(F.count(F.lit(1)).alias("n"))
+    met = seen.join(theirs, "o", "left")
+    target = F.when(F.col("o_kind") == "iri", F.col("o_class")).otherwise(F.col("o_type"))
+    kind = F.when(F.col("o_kind") == "iri", "edge").otherwise("literal")
+    out = met.groupBy("s_class", "p", target.alias("target"), kind.alias("kind")).agg(F.sum("n").alias("n"))
     out = out.withColumn("self_loop", (F.col("kind") == "edge") & F.coalesce(F.col("s_class") == F.col("target"), F.lit(False)))
     if labels is None:
         return out
@@ -35,14 +35,19 @@ def pattern_menu(triples: DataFrame, labels: DataFrame | None = None) -> DataFra
 
 def infer_domain_range(m: Mapping) -> DataFrame:
     """Domain and range of every mapped property, from which class owns the templates at its ends."""
-    rows = []
-    for cm in m.classes:
-        from tripleframe.functions.terms import XSD_NS, xsd_name
-        rows += [(m.iri(p), "data", m.iri(cm.name), XSD_NS + xsd_name(x)) for p, (_, x) in cm.props.items()]
-    for link in m.links:
-        rows.append((m.iri(link.edge.name), "object", m.iri(link.domain.name), m.iri(link.range.name)))
-    spark = m.classes[0].df.sparkSession
-    return spark.createDataFrame(sorted(set(rows)), "p string, kind string, domain string, range string")
+    rows = {(m.iri(p), "data", m.iri(cm.name), XSD_NS + xsd_name(x)) for cm in m.classes for p, (_, x) in cm.props.items()}
+    rows |= {(m.iri(l.edge.name), "object", m.iri(l.domain.name), m.iri(l.range.name)) for l in m.links}
+    cols = list(zip(*sorted(rows))) or [()] * 4
+    return local_frame(m.classes[0].df.sparkSession, p=cols[0], kind=cols[1], domain=cols[2], range=cols[3])
+
+
+def schema_edges(m: Mapping) -> DataFrame:
+    """Class-to-class edges (``s``, ``p``, ``o``) of a mapping that hold at least one row."""
+    alive = edge_stats(m).where("n_triples > 0").select("mapping")
+    edges = infer_domain_range(m).where("kind = 'object'")
+    return edges.withColumn("mapping", F.concat(F.lit("map-"), F.lower(local_name("p")))).join(
+        alive, "mapping", "left_semi").select(
+        local_name("domain").alias("s"), local_name("p").alias("p"), local_name("range").alias("o"))
 
 
 def observed_domain_range(triples: DataFrame) -> DataFrame:

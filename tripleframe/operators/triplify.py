@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.functions import terms
-from tripleframe.model import RDF_TYPE, TRIPLE_COLS, ClassMap, EdgeMap, Link, Mapping, Tbox, Template
+from tripleframe.model import RDF_TYPE, TRIPLE_COLS, TRIPLE_SCHEMA, ClassMap, EdgeMap, Link, Mapping, Tbox, Template
 from tripleframe.plans.support import union_all
 
 
@@ -238,8 +238,7 @@ def _class_outputs(m: Mapping, cm: ClassMap, w: Widening) -> list[tuple[Output,
 
 
 def _class_frame(m: Mapping, cm: ClassMap, structs: list[Column]) -> DataFrame:
-    used = list(dict.fromkeys([*cm.pk, *[c for c, _ in cm.props.values()]]))
-    rows = _keyed(cm.df.select(*used), cm.pk)
+    rows = _keyed(cm.df, cm.pk)
     out = rows.select(m.subject(cm).alias("s"), F.inline(F.array(*structs)))
     return out.where(F.col("o").isNotNull()).select(*TRIPLE_COLS)
 
@@ -252,12 +251,14 @@ class Part:
     distinct: bool
 
 
-def _edge_parts(m: Mapping, link: Link, w: Widening) -> list[Part]:
+def _edge_parts(m: Mapping, link: Link, w: Widening, wanted: set[str] | None) -> list[Part]:
     pred = m.iri(link.edge.name)
-    preds = [pred, *w.super_props.get(pred, ())]
+    preds = [p for p in [pred, *w.super_props.get(pred, ())] if wanted is None or p in wanted]
     s_tpl, o_tpl, mid = m.template(link.domain), m.template(link.range), f"map-{link.edge.name.lower()}"
     parts = [Part(edge_triples(m, link.edge, preds),
-                  [Output(mid, s_tpl, p, o_tpl, None, None) for p in preds], True)]
+                  [Output(mid, s_tpl, p, o_tpl, None, None) for p in preds], True)] if preds else []
+    if wanted is not None and RDF_TYPE not in wanted:
+        return parts
     # Both ends exist in the tables of their classes whenever a parent was joined or the owner was
     # scanned, so their own classes' types are in the graph already; only foreign classes are added.
     sure = {id(parent) for parent, _ in link.parents} | ({id(link.owner)} if link.owner else set())
@@ -272,9 +273,10 @@ def _edge_parts(m: Mapping, link: Link, w: Widening) -> list[Part]:
     return parts
 
 
-def _parts(m: Mapping, w: Widening) -> list[Part]:
-    everything = [(cm, _class_outputs(m, cm, w)) for cm in m.classes]
-    edge_parts = [p for link in m.links for p in _edge_parts(m, link, w)]
+def _parts(m: Mapping, w: Widening, wanted: set[str] | None = None) -> list[Part]:
+    everything = [(cm, [x for x in _class_outputs(m, cm, w) if wanted is None or x[0].pred in wanted])
+                  for cm in m.classes]
+    edge_parts = [p for link in m.links for p in _edge_parts(m, link, w, wanted)]
     all_outputs = [(i, o) for i, (_, outs) in enumerate(everything) for o, _ in outs]
     all_outputs += [(len(everything) + i, o) for i, p in enumerate(edge_parts) for o in p.outputs]
 
@@ -303,17 +305,16 @@ def materialize(m: Mapping, tbox: Tbox | None = None, preds: list[str] | None =
     """All triples of a mapping as a set, with one pass of ontology widening when ``tbox`` is given.
 
     Types get all ancestor classes, edges all super-properties, and both ends of a triple the declared
-    domain and range classes; these rules do not feed each other.
+    domain and range classes; these rules do not feed each other. With ``preds`` only triples of those
+    predicates are made, and tables that have none are not read.
     """
-    parts = _parts(m, Widening.of(m, tbox))
-    if preds is not None:
-        wanted = [m.iri(p) for p in preds]
-        parts = [Part(p.frame.where(F.col("p").isin(wanted)), p.outputs, p.distinct)
-                 for p in parts if any(o.pred in wanted for o in p.outputs)]
+    parts = _parts(m, Widening.of(m, tbox), None if preds is None else {m.iri(p) for p in preds})
     done = [p.frame for p in parts if p.distinct]
     rest = [p.frame for p in parts if not p.distinct]
     if rest:
         done.append(union_all(rest).dropDuplicates(TRIPLE_COLS))
+    if not done:
+        return m.classes[0].df.sparkSession.createDataFrame([], TRIPLE_SCHEMA)
     return union_all(done)
 
 
@@ -328,6 +329,33 @@ def emitted(m: Mapping) -> DataFrame:
     return union_all(frames)
 
 
+def _edge_stats(m: Mapping, w: Widening) -> list[DataFrame]:
+    frames = []
+    for link in m.links:
+        pred = m.iri(link.edge.name)
+        # An edge output asserts no class of its own, so every domain and range class counts.
+        per_row = (1 + len(w.super_props.get(pred, ())) + len(w.domain.get(pred, ())) + len(w.range.get(pred, ())))
+        # Rows with an equal key agree on everything a join looks at, so they are counted first.
+        cols = list(dict.fromkeys(c for _, k in link.parents for c in k))
+        ends = list(dict.fromkeys([*link.s_cols, *link.o_cols]))
+        rows = _keyed(link.df.select(*ends), ends).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+        for j, (parent, key) in enumerate(link.parents):
+            counts = parent.df.groupBy(*[F.col(k).alias(f"__k{j}_{i}") for i, k in enumerate(parent.pk)]).agg(
+                F.count(F.lit(1)).alias(f"__m{j}"))
+            rows = rows.join(counts, [F.col(c) == F.col(f"__k{j}_{i}") for i, c in enumerate(key)], "inner")
+        total = F.col("n") * per_row
+        for j in range(len(link.parents)):
+            total = total * F.col(f"__m{j}")
+        frames.append(rows.agg(F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias("n_triples")).select(
+            F.lit(f"map-{link.edge.name.lower()}").alias("mapping"), "n_triples"))
+    return frames
+
+
+def edge_stats(m: Mapping) -> DataFrame:
+    """The part of :func:`mapping_stats` that concerns edges."""
+    return union_all(_edge_stats(m, Widening.none()))
+
+
 def mapping_stats(m: Mapping, tbox: Tbox | None = None) -> DataFrame:
     """Triples each mapping emits (before duplicates are removed), without building any of them.
 
@@ -348,24 +376,7 @@ def mapping_stats(m: Mapping, tbox: Tbox | None = None) -> DataFrame:
         frames.append(_keyed(cm.df.select(*used), cm.pk).agg(
             F.coalesce(F.sum(per_row), F.lit(0).cast("bigint")).alias("n_triples"),
         ).select(F.lit(f"map-{cm.name.lower()}").alias("mapping"), "n_triples"))
-    for link in m.links:
-        pred = m.iri(link.edge.name)
-        # An edge output asserts no class of its own, so every domain and range class counts.
-        per_row = (1 + len(w.super_props.get(pred, ())) + len(w.domain.get(pred, ())) + len(w.range.get(pred, ())))
-        # Rows with an equal key agree on everything a join looks at, so they are counted first.
-        cols = list(dict.fromkeys(c for _, k in link.parents for c in k))
-        ends = list(dict.fromkeys([*link.s_cols, *link.o_cols]))
-        rows = _keyed(link.df.select(*ends), ends).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-        for j, (parent, key) in enumerate(link.parents):
-            counts = parent.df.groupBy(*[F.col(k).alias(f"__k{j}_{i}") for i, k in enumerate(parent.pk)]).agg(
-                F.count(F.lit(1)).alias(f"__m{j}"))
-            rows = rows.join(counts, [F.col(c) == F.col(f"__k{j}_{i}") for i, c in enumerate(key)], "inner")
-        total = F.col("n") * per_row
-        for j in range(len(link.parents)):
-            total = total * F.col(f"__m{j}")
-        frames.append(rows.agg(F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias("n_triples")).select(
-            F.lit(f"map-{link.edge.name.lower()}").alias("mapping"), "n_triples"))
-    return union_all(frames)
+    return union_all(frames + _edge_stats(m, w))
 
 
 def with_total(stats: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +71,8 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
         c = left[a].eqNullSafe(right[b])
         cond = c if cond is None else cond & c
     return cond
+
+
+def local_frame(spark: SparkSession, **columns: list[str | None]) -> DataFrame:
+    """A small frame of strings. Arrow makes it a local relation, which Spark filters without a job."""
+    return spark.createDataFrame(pa.table({n: pa.array(v, pa.string()) for n, v in columns.items()}))
