@@ -19,7 +19,7 @@ from tripleframe.model import RDF_TYPE, ClassMap, Link, Mapping, Tbox
 from tripleframe.plans.support import broadcast_if_small, union_all
 
 WARN_BELOW = 0.9
-SAMPLE_N = 200
+RANK_GROUPS = 256
 
 
 def _count_if(cond: Column) -> Column:
@@ -39,6 +39,13 @@ def _with_parent(rows: DataFrame, parent: ClassMap, cols, tag: str) -> DataFrame
     return rows.join(_parents(parent, tag), [F.col(c) == F.col(f"{tag}{i}") for i, c in enumerate(cols)], "left")
 
 
+def _two_counts(a: DataFrame, a_name: str, b: DataFrame, b_name: str) -> DataFrame:
+    """Row counts of two frames in one row."""
+    counted = a.agg(F.count(F.lit(1)).alias(a_name), F.lit(0).cast("bigint").alias(b_name)).unionByName(
+        b.agg(F.lit(0).cast("bigint").alias(a_name), F.count(F.lit(1)).alias(b_name)))
+    return counted.agg(F.sum(a_name).alias(a_name), F.sum(b_name).alias(b_name))
+
+
 # ---------------------------------------------------------------- foreign keys
 
 def _checked(link: Link, side: str) -> list[tuple[str, ClassMap, tuple[str, ...], str]]:
@@ -277,8 +284,7 @@ def iri_path_conflicts(m: Mapping, sub_class: list[tuple[str, str]]) -> DataFram
         else:
             render = lambda cm, d: d.select(m.subject(cm, d.columns, d).alias("s"))
             lost = render(a, kids).join(render(b, tops), "s", "left_anti")
-        n = kids.agg(F.count(F.lit(1)).alias("instances"))
-        frames.append(n.join(F.broadcast(lost.agg(F.count(F.lit(1)).alias("missing")))).select(
+        frames.append(_two_counts(kids, "instances", lost, "missing").select(
             F.lit(child).alias("child"), F.lit(parent).alias("parent"),
             F.lit(a.path == b.path).alias("same_path"), "instances", "missing"))
     return union_all(frames)
@@ -286,18 +292,21 @@ def iri_path_conflicts(m: Mapping, sub_class: list[tuple[str, str]]) -> DataFram
 
 # ---------------------------------------------------------------- graph against ontology
 
+def _used_names(triples: DataFrame) -> DataFrame:
+    """Distinct (predicate, class of a type triple): a schema's worth of rows, from one pass."""
+    return triples.groupBy("p", F.when(F.col("p") == RDF_TYPE, F.col("o")).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage(triples: DataFrame, tbox: Tbox) -> DataFrame:
-    """Declared classes and properties that no triple uses."""
-    used_cls = triples.where(F.col("p") == RDF_TYPE).select(F.col("o").alias("name")).distinct()
-    used_prop = triples.select(F.col("p").alias("name")).distinct()
-    # A property is also answered by its mapped inverse.
-    inv = tbox.inverse.select(F.col("prop").alias("a"), F.col("inverse").alias("b"))
-    both = inv.union(inv.select("b", "a")).toDF("a", "b")
-    by_inverse = used_prop.join(both, used_prop["name"] == both["a"]).select(F.col("b").alias("name"))
-    classes = tbox.classes.select(F.col("cls").alias("name")).distinct().join(used_cls, "name", "left_anti")
-    props = tbox.properties.select(F.col("prop").alias("name")).distinct().join(
-        used_prop.union(by_inverse).distinct(), "name", "left_anti")
-    return classes.select(F.lit("class").alias("kind"), "name").union(props.select(F.lit("property"), "name"))
+    """Declared classes and properties that no triple uses; a property is also used by its inverse."""
+    inv = tbox.inverse.toDF("a", "b")
+    both = inv.union(inv.select("b", "a"))
+    names = _used_names(triples).select(F.explode(F.array("p", "cls")).alias("name")).where("name is not null")
+    used = names.join(both, names["name"] == both["a"], "left").select(
+        F.explode(F.array("name", "b")).alias("name")).where("name is not null").distinct()
+    declared = tbox.classes.select(F.lit("class").alias("kind"), F.col("cls").alias("name")).union(
+        tbox.properties.select(F.lit("property"), "prop")).distinct()
+    return declared.join(used, "name", "left_anti").select("kind", "name")
 
 
 def inverse_duplicates(triples: DataFrame, inverse: DataFrame) -> DataFrame:
@@ -379,29 +388,29 @@ def label_coverage(labels: DataFrame, pattern: str, warn_above: float = 0.2) ->
 
 def reconcile_counts(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Whether a store holds exactly the triples it should: ``empty``, ``match`` or ``mismatch``."""
-    one = expected.agg(F.count(F.lit(1)).alias("expected"))
-    two = stored.agg(F.count(F.lit(1)).alias("stored"))
     state = (F.when(F.col("expected") == 0, "empty").when(F.col("expected") == F.col("stored"), "match")
              .otherwise("mismatch"))
-    return one.join(F.broadcast(two)).select("expected", "stored", state.alias("state"))
+    return _two_counts(expected, "expected", stored, "stored").select("expected", "stored", state.alias("state"))
 
 
 def limit_consistent(df: DataFrame, keys: list[Column | str], n: int, offset: int = 0) -> DataFrame:
     """Whether a limited, ordered result equals the slice of the full order; one row.
 
-    Positions come from a ranking that keeps only ``n + offset`` rows per task. The order is completed
-    with all other columns.
+    The order is completed with all other columns. Positions are found in two steps: rows are ranked
+    within hash groups first, and only the first ``n + offset`` of each group are ranked together, so the
+    full order is never built in one place.
     """
+    last = n + offset
     order = [F.col(k) if isinstance(k, str) else k for k in keys]
     order += [F.col(c).asc() for c in df.columns]
     limited = df.orderBy(*order).offset(offset).limit(n)
-    w = Window.partitionBy(F.lit(1)).orderBy(*order)
-    full = df.withColumn("__pos", F.row_number().over(w)).where(F.col("__pos") <= offset + n)
-    sliced = full.where(F.col("__pos") > offset).drop("__pos")
-    a = limited.withColumn("__side", F.lit(1))
-    b = sliced.withColumn("__side", F.lit(-1))
-    per = a.unionByName(b).groupBy(*df.columns).agg(
-        F.sum("__side").alias("__d"), F.count(F.lit(1)).alias("__c"))
+    group = F.pmod(F.xxhash64(*df.columns), F.lit(RANK_GROUPS))
+    near = df.withColumn("__pos", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(
+        F.col("__pos") <= last).drop("__pos")
+    full = near.withColumn("__pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    sliced = full.where((F.col("__pos") > offset) & (F.col("__pos") <= last)).drop("__pos")
+    sides = limited.withColumn("__side", F.lit(1)).unionByName(sliced.withColumn("__side", F.lit(-1)))
+    per = sides.groupBy(*df.columns).agg(F.sum("__side").alias("__d"), F.count(F.lit(1)).alias("__c"))
     return per.agg(_nothing(F.col("__c")).alias("compared"), _count_if(F.col("__d") != 0).alias("different")).select(
         (F.col("compared") / 2).cast("bigint").alias("rows"), (F.col("different") == 0).alias("consistent"))
 
@@ -430,8 +439,7 @@ def lint_graph(triples: DataFrame) -> DataFrame:
     objects = iris.groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     dangling = objects.join(triples.select(F.col("s").alias("node")).distinct(), "node", "left_anti").select(
         F.lit("dangling_object").alias("finding"), F.col("node").alias("subject"), "n")
-    names = triples.select(F.col("p").alias("node")).union(
-        triples.where(F.col("p") == RDF_TYPE).select("o")).distinct()
+    names = _used_names(triples).select(F.explode(F.array("p", "cls")).alias("node")).where("node is not null").distinct()
     case = names.groupBy(F.lower("node").alias("subject")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.lit("same_up_to_case").alias("finding"), "subject", "n")
     kinds = triples.where("o_kind = 'lit'").select("p", "o_type").distinct().groupBy(F.col("p").alias("subject")).agg(

@@ -52,11 +52,10 @@ def schema_edges(m: Mapping) -> DataFrame:
 
 def observed_domain_range(triples: DataFrame) -> DataFrame:
     """Classes that subjects and objects of every predicate really have, with counts."""
-    menu = pattern_menu(triples)
-    dom = menu.groupBy("p", F.lit("domain").alias("side"), F.col("s_class").alias("cls")).agg(F.sum("n").alias("n"))
-    rng = menu.where("kind = 'edge'").groupBy("p", F.lit("range").alias("side"), F.col("target").alias("cls")).agg(
-        F.sum("n").alias("n"))
-    return dom.unionByName(rng)
+    side = lambda name, cls: F.struct(F.lit(name).alias("side"), cls.alias("cls"))
+    ends = F.when(F.col("kind") == "edge", F.array(side("domain", F.col("s_class")), side("range", F.col("target")))).otherwise(
+        F.array(side("domain", F.col("s_class"))))
+    return pattern_menu(triples).select("p", "n", F.inline(ends)).groupBy("p", "side", "cls").agg(F.sum("n").alias("n"))
 
 
 def sample_values(triples: DataFrame, props: list[str]) -> DataFrame:

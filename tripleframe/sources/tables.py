@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 FETCH_SIZE = 10_000
@@ -58,6 +59,8 @@ def preview(triples: DataFrame, q: str = "", limit: int = 100, offset: int = 0)
     if q:
         rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "s", "p", "o")), F.lit(q)))
     page = rows.orderBy("s", "p", "o").offset(offset).limit(limit + 1)
-    total = page.agg((F.count(F.lit(1)) > limit).alias("has_more"))
-    # The page holds at most 501 rows.
-    return page.orderBy("s", "p", "o").limit(limit).join(F.broadcast(total))
+    # At most 501 rows are left, so ranking them in one place is nothing.
+    at = Window.partitionBy(F.lit(1)).orderBy("s", "p", "o")
+    every = Window.partitionBy(F.lit(1))
+    return page.select("s", "p", "o", (F.count(F.lit(1)).over(every) > limit).alias("has_more"),
+                       F.row_number().over(at).alias("n")).where(F.col("n") <= limit).drop("n")
