@@ -57,6 +57,8 @@ class Graph(ABC):
             raise ValueError(f"{hops} hops exceed the limit of {max_hops}")
         names = [v for p in ps for v in p.variables() if not hidden(v)]
         names = list(dict.fromkeys(v[1:] for v in names))
+        if len({v.lower() for v in names}) < len(names):
+            raise ValueError("variables that differ only in case would become one column")
         out = self._bind(ps, dict(typed or {}), with_types)
         keep = [c for n in names for c in ([n, f"{n}__type"] if with_types else [n])]
         return out.select(*keep)
@@ -184,7 +186,7 @@ class StoredGraph(Graph):
 
     def _bind(self, patterns, typed, extras):
         out, bound = None, set()
-        for p in in_join_order(patterns, Pattern.variables):
+        for p in in_join_order(patterns, Pattern.variables, Pattern.anchors):
             part = self._pattern(p)
             if out is None:
                 out, bound = part, {v[1:] for v in p.variables()}

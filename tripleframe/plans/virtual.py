@@ -65,6 +65,7 @@ class Piece:
     terms: dict[str, object] = field(default_factory=dict)
     where: list[Column] = field(default_factory=list)
     needs: list[tuple[ClassMap, tuple[str, ...], str]] = field(default_factory=list)
+    anchors: int = 0                    # constants among the patterns answered
 
 
 def _render(term, df: DataFrame, prefix: str = "") -> Column:
@@ -254,6 +255,7 @@ class VirtualGraph(Graph):
             if tests is None:
                 continue
             piece.where += tests
+            piece.anchors = p.anchors()
             for var, term in ((p.s, s), (p.p, Const(pred)), (p.o, o)):
                 if not is_var(var):
                     continue
@@ -315,7 +317,7 @@ class VirtualGraph(Graph):
                     # The text of a literal is final: re-reading it as a string changes nothing.
                     out_terms[v] = Text(f"m{n}", terms.xsd_name(t.xsd)) if isinstance(t, Text) else Node(f"m{n}")
             frames.append(rows.select(*cols) if cols else rows.select(F.lit(True).alias("__hit")))
-        return Piece(union_all(frames).distinct(), None, None, True, out_terms)
+        return Piece(union_all(frames).distinct(), None, None, True, out_terms, anchors=pieces[0].anchors)
 
     # ------------------------------------------------------------ from pieces to rows
 
@@ -344,8 +346,10 @@ class VirtualGraph(Graph):
             host = next((h for h in out if pc.owner is not None and pc.row is not None and pc.unique and h.unique
                          and h.owner is pc.owner and h.row == pc.row and h.df is pc.df), None)
             if host is None:
-                out.append(Piece(pc.df, pc.owner, pc.row, pc.unique, dict(pc.terms), list(pc.where), list(pc.needs)))
+                out.append(Piece(pc.df, pc.owner, pc.row, pc.unique, dict(pc.terms), list(pc.where), list(pc.needs),
+                                 pc.anchors))
                 continue
+            host.anchors += pc.anchors
             for v, t in pc.terms.items():
                 if v not in host.terms:
                     host.terms[v] = t
@@ -370,7 +374,7 @@ class VirtualGraph(Graph):
         # Reading a class's own table for some end proves that the end exists.
         satisfied = {(id(pc.owner), pc.row) for pc in fused if pc.owner is not None and pc.row}
         out, env = None, {}
-        for n, pc in enumerate(in_join_order(fused, lambda pc: [v for v in pc.terms])):
+        for n, pc in enumerate(in_join_order(fused, lambda pc: list(pc.terms), lambda pc: pc.anchors)):
             rows = self._rows(pc, satisfied)
             prefix = f"g{n}_"
             rows = rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])

@@ -73,17 +73,20 @@ def ingest_report(spark: SparkSession, path: str, samples: int = 3) -> DataFrame
     return counts.join(few, "outcome", "left")
 
 
-def save_triples(triples: DataFrame, path: str, files: int | None = None) -> None:
-    """Store triples in one folder per predicate, sorted by subject (types: by class, then subject).
+def save_triples(triples: DataFrame, path: str, clustered: bool = False) -> None:
+    """Store triples in one folder per predicate, each file sorted by subject (types: by class first).
 
-    Range partitioning by (predicate, subject) gives files of equal size whatever the predicate's share,
-    so a predicate with a third of all triples becomes many files, and a subject's rows lie together:
-    a lookup reads one folder and, by the files' min/max values, few row groups of it.
+    Rows are rebalanced by predicate: one shuffle, in which small predicates share tasks and a predicate
+    that holds a third of all triples is split into many files of the advisory size. Sorted files let a
+    lookup skip row groups by their min/max values.
+
+    ``clustered`` range-partitions by (predicate, subject) instead, so that a lookup opens few files; it
+    pays for that with a sampling pass over ``triples``, which should then be cheap to read twice.
     """
     keys = [F.col("p"), F.when(F.col("p") == RDF_TYPE, F.col("o")), F.col("s")]
-    placed = triples.select(*TRIPLE_COLS)
-    placed = placed.repartitionByRange(files, *keys) if files else placed.repartitionByRange(*keys)
-    placed.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("p").parquet(path)
+    rows = triples.select(*TRIPLE_COLS)
+    rows = rows.repartitionByRange(*keys) if clustered else rows.hint("rebalance", "p")
+    rows.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def load_triples(spark: SparkSession, path: str) -> DataFrame:
