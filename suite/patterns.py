@@ -41,7 +41,7 @@ def q2(spark, sf):
 
 @case("Q2_orders_per_segment_stored", f"select c_mktsegment as seg, count(*) as n from {_OC} group by 1")
 def q2b(spark, sf):
-    return stored(spark, sf, ["Order", "Customer"]).match(("?o", "placedBy", "?c"), ("?c", "segment", "?seg")).groupBy("seg").agg(cnt())
+    return stored(spark, sf, ["Order", "Customer"]).count_by(["seg"], ("?o", "placedBy", "?c"), ("?c", "segment", "?seg"))
 
 
 @case("Q3_star", f"""select {i('part', 'p_partkey')} as x, p_name as name, p_brand as brand, p_type as kind, cast(p_size as varchar) as size
@@ -60,8 +60,8 @@ def q3b(spark, sf):
 @case("Q4_orders_per_region", f"""select r_name as region, count(*) as n from {_OC} join nation on c_nationkey = n_nationkey
     join region on n_regionkey = r_regionkey group by 1""")
 def q4(spark, sf):
-    return graph(spark, sf).match(("?o", "placedBy", "?c"), ("?c", "customerNation", "?na"), ("?na", "inRegion", "?r"),
-                                  ("?r", "regionName", "?region")).groupBy("region").agg(cnt())
+    return graph(spark, sf).count_by(["region"], ("?o", "placedBy", "?c"), ("?c", "customerNation", "?na"), ("?na", "inRegion", "?r"),
+                                     ("?r", "regionName", "?region"))
 
 
 @case("Q4_six_hops", """with op as (select distinct l_orderkey, l_partkey from lineitem), ps as (select distinct l_partkey, l_suppkey from lineitem)
@@ -70,10 +70,9 @@ def q4(spark, sf):
       join supplier on s_suppkey = ps.l_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
     where event_type = 'error' group by 1""")
 def q4b(spark, sf):
-    return graph(spark, sf).match(
-        ("?e", "eventType", Literal("error")), ("?e", "performedBy", "?c"), ("?o", "placedBy", "?c"), ("?o", "containsPart", "?p"),
-        ("?p", "suppliedBy", "?s"), ("?s", "supplierNation", "?na"), ("?na", "inRegion", "?r"), ("?r", "regionName", "?region"),
-    ).groupBy("region").agg(cnt())
+    return graph(spark, sf).count_by(
+        ["region"], ("?e", "eventType", Literal("error")), ("?e", "performedBy", "?c"), ("?o", "placedBy", "?c"), ("?o", "containsPart", "?p"),
+        ("?p", "suppliedBy", "?s"), ("?s", "supplierNation", "?na"), ("?na", "inRegion", "?r"), ("?r", "regionName", "?region"))
 
 
 @case("Q5_inverse_step", f"select {C} as c, {O} as o, o_orderstatus as status from {_OC}")
@@ -89,7 +88,7 @@ def q6(spark, sf):
 @case("Q6_sequence_with_inverse", """select n_name as nation, count(*) as n from supplier join customer on c_nationkey = s_nationkey
     join nation on s_nationkey = n_nationkey group by 1""")
 def q6b(spark, sf):
-    return graph(spark, sf).match(("?s", ("supplierNation", "^customerNation"), "?c"), ("?s", ("supplierNation", "nationName"), "?nation")).groupBy("nation").agg(cnt())
+    return graph(spark, sf).count_by(["nation"], ("?s", ("supplierNation", "^customerNation"), "?c"), ("?s", ("supplierNation", "nationName"), "?nation"))
 
 
 @case("Q7_class_assertion", f"""select {C} as x from customer union all select {i('supplier', 's_suppkey')} from supplier""")
@@ -261,16 +260,16 @@ def q27(spark, sf):
 @case("Q28_shared_nation", """select n_name as nation, count(*) as n from customer join nation on c_nationkey = n_nationkey
     join supplier on s_nationkey = n_nationkey group by 1""")
 def q28(spark, sf):
-    return graph(spark, sf).match(("?c", "customerNation", "?na"), ("?s", "supplierNation", "?na"), ("?na", "nationName", "?nation")).groupBy("nation").agg(cnt())
+    return graph(spark, sf).count_by(["nation"], ("?c", "customerNation", "?na"), ("?s", "supplierNation", "?na"), ("?na", "nationName", "?nation"))
 
 
 @case("Q28_branching", """select c_mktsegment as seg, p_brand as brand, count(*) as n from events join customer on user_id = c_custkey
     join orders on o_custkey = c_custkey join (select distinct l_orderkey, l_partkey from lineitem) on l_orderkey = o_orderkey
     join part on l_partkey = p_partkey where event_type = 'click' group by 1, 2""")
 def q28b(spark, sf):
-    return graph(spark, sf).match(
-        ("?e", "eventType", Literal("click")), ("?e", "performedBy", "?c"), ("?c", "segment", "?seg"), ("?o", "placedBy", "?c"),
-        ("?o", "containsPart", "?p"), ("?p", "brand", "?brand")).groupBy("seg", "brand").agg(cnt())
+    return graph(spark, sf).count_by(
+        ["seg", "brand"], ("?e", "eventType", Literal("click")), ("?e", "performedBy", "?c"), ("?c", "segment", "?seg"), ("?o", "placedBy", "?c"),
+        ("?o", "containsPart", "?p"), ("?p", "brand", "?brand"))
 
 
 @case("Q29_routes_agree", f"""select 'both' as side, {C} as c, r_name as region, o_orderpriority as pr, count(*) as n from {_OC}

@@ -120,3 +120,36 @@ def test_stored_lookup_prunes_folders(spark, tmp_path):
         assert len(re.findall(r"PartitionFilters: \[isnotnull\(p#\d+\), \(p#\d+ = ", text)) == 2
         assert df.count() == Graph.virtual(mapping(spark, SF)).match(("?o", "placedBy", "?c"), ("?c", "segment", Literal("BUILDING"))).count()
         assert g.match(("?o", "total", "?t")).agg(F.count_distinct("o")).first()[0] == 1500
+
+
+def test_hot_key_is_split_or_counted_away(spark, no_broadcast, tmp_path):
+    """A third of all orders belong to one customer: plain bindings let Spark split the hot partition,
+    counts shrink it before it is shuffled."""
+    from tripleframe import ClassMap, EdgeMap
+    spark.range(300_000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).alias("c")).repartition(8).write.parquet(str(tmp_path / "o"))
+    spark.range(5000).select("id", F.concat(F.lit("seg"), F.col("id") % 7).alias("seg")).write.parquet(str(tmp_path / "c"))
+    o, c = (spark.read.parquet(str(tmp_path / n)) for n in "oc")
+    m = Mapping(NS, [ClassMap("O", o, ["id"], unique=True), ClassMap("C", c, ["id"], props={"seg": ("seg", "string")}, unique=True)],
+                [EdgeMap("by", "O", "C", "domain_fk", ["c"])])
+    g = Graph.virtual(m)
+    patterns = [("?o", "by", "?c"), ("?c", "seg", "?s")]
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = g.match(*patterns)
+        n = rows.groupBy("s").agg(F.count("o").alias("n"), F.max("o"))
+        want = {r.s: r.n for r in n.collect()}
+        assert "skew=true" in plan(n)
+        counted = g.count_by(["s"], *patterns)
+        assert {r.s: r.n for r in counted.collect()} == want and sum(want.values()) == 300_000
+        # Counts per task and key are what is shuffled for the join.
+        text = plan(counted)
+        text = text[text.index("== Initial Plan =="):]
+        join = text[text.index("SortMergeJoin"):]
+        assert join.index("HashAggregate") < join.index("partial_sum") and "skew" not in join
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

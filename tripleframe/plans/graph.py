@@ -37,6 +37,10 @@ class Graph(ABC):
     def _bind(self, patterns: list[Pattern], typed: dict[str, str], extras: bool) -> DataFrame:
         """Bindings: a column per visible variable, with ``<var>__kind``/``<var>__type`` if asked."""
 
+    @abstractmethod
+    def _count(self, patterns: list[Pattern], by: list[str], typed: dict[str, str]) -> DataFrame:
+        """Partly grouped counts ``__n`` of bindings, with the columns ``by``."""
+
     @abstractmethod
     def _is_edge(self, pattern: Pattern, patterns: list[Pattern]) -> bool: ...
 
@@ -49,12 +53,7 @@ class Graph(ABC):
         ``typed`` asks for typed values instead of text for some variables, e.g. ``{"total": "decimal"}``.
         ``with_types`` adds ``<var>__type``, the literal type of each variable (NULL for an IRI).
         """
-        ps = normalise(patterns, self.iri)
-        if not ps:
-            raise ValueError("at least one pattern is needed")
-        hops = longest_chain(ps, lambda p: self._is_edge(p, ps))
-        if hops > max_hops:
-            raise ValueError(f"{hops} hops exceed the limit of {max_hops}")
+        ps = self._checked(patterns, max_hops)
         names = [v for p in ps for v in p.variables() if not hidden(v)]
         names = list(dict.fromkeys(v[1:] for v in names))
         if len({v.lower() for v in names}) < len(names):
@@ -63,6 +62,31 @@ class Graph(ABC):
         keep = [c for n in names for c in ([n, f"{n}__type"] if with_types else [n])]
         return out.select(*keep)
 
+    def _checked(self, patterns, max_hops: int) -> list[Pattern]:
+        ps = normalise(patterns, self.iri)
+        if not ps:
+            raise ValueError("at least one pattern is needed")
+        hops = longest_chain(ps, lambda p: self._is_edge(p, ps))
+        if hops > max_hops:
+            raise ValueError(f"{hops} hops exceed the limit of {max_hops}")
+        return ps
+
+    def count_by(self, by: list[str], *patterns, typed: dict[str, str] | None = None,
+                 max_hops: int = MAX_HOPS) -> DataFrame:
+        """Number of bindings per value of some variables: ``match(...).groupBy(by).count()`` as ``n``.
+
+        Bindings are never written out. A variable is counted away as soon as no later pattern needs it, so
+        a chain of many-to-many edges stays as large as its tables instead of multiplying, and a key that
+        holds a third of all rows is one row by the time it is joined.
+        """
+        ps = self._checked(patterns, max_hops)
+        known = {v for p in ps for v in p.variables()}
+        lost = [v for v in by if "?" + v not in known]
+        if lost:
+            raise ValueError(f"no pattern binds {', '.join(lost)}")
+        return self._count(ps, list(by), dict(typed or {})).groupBy(*by).agg(
+            F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n"))
+
     def ask(self, *patterns) -> DataFrame:
         """One row, one boolean: whether there is any binding."""
         hit = self._bind(normalise(patterns, self.iri), {}, False).limit(1)
@@ -136,6 +160,19 @@ def _kinded(df: DataFrame, v: str) -> bool:
     return f"{v}__kind" in df.columns
 
 
+def _columns(df: DataFrame, v: str) -> list[str]:
+    return [v, f"{v}__kind", f"{v}__type"] if _kinded(df, v) else [v]
+
+
+def _counted(df: DataFrame, have: set[str], live: set[str], n: str | None) -> DataFrame:
+    """Rows grouped by the live variables, with how many bindings each stands for in ``__n``."""
+    cols = [c for v in sorted(live) for c in _columns(df, v)]
+    count = F.lit(1).cast("bigint") if n is None else F.col(n)
+    if live == have:
+        return df.select(*cols, count.alias("__n"))
+    return df.groupBy(*cols).agg(F.sum(count).alias("__n"))
+
+
 def _only_iris(df: DataFrame, v: str) -> DataFrame:
     return df.where(F.col(f"{v}__kind") == "iri").drop(f"{v}__kind", f"{v}__type")
 
@@ -184,37 +221,56 @@ class StoredGraph(Graph):
         bind(p.o, "o", kinded=True)
         return rows.select(*cols) if cols else rows.select(F.lit(True).alias("__hit"))
 
-    def _bind(self, patterns, typed, extras):
+    def _joined(self, patterns: list[Pattern], by: set[str] | None = None) -> DataFrame:
+        """Join patterns. With ``by``, variables that nobody needs any more are counted away (``__n``)."""
+        order = in_join_order(patterns, Pattern.variables, Pattern.anchors)
         out, bound = None, set()
-        for p in in_join_order(patterns, Pattern.variables, Pattern.anchors):
+        for n, p in enumerate(order):
             part = self._pattern(p)
+            mine = {v[1:] for v in p.variables()}
+            later = {v[1:] for q in order[n + 1:] for v in q.variables()}
+            if by is not None:
+                mine_live = {v for v in mine if v in by or v in later or v in bound}
+                part, mine = _counted(part, mine, mine_live, None), mine_live
             if out is None:
-                out, bound = part, {v[1:] for v in p.variables()}
+                out, bound = part, mine
                 continue
-            mine = {v[1:] for v in p.variables()}
-            shared = sorted(mine & bound)
-            for v in shared:
+            for v in sorted(mine & bound):
                 # An end that is a subject elsewhere must be an IRI, and needs no type any more.
                 if _kinded(out, v) and not _kinded(part, v):
                     out = _only_iris(out, v)
                 elif _kinded(part, v) and not _kinded(out, v):
                     part = _only_iris(part, v)
-            same = [c for v in shared for c in (v, f"{v}__kind", f"{v}__type") if c in out.columns and c in part.columns]
-            renamed = part.select(*[F.col(c).alias(f"__r_{c}") if c in same else F.col(c) for c in part.columns])
+            same = [c for v in sorted(mine & bound) for c in _columns(out, v)]
+            renamed = part.select(*[F.col(c).alias(f"__r_{c}") if c in [*same, "__n"] else F.col(c) for c in part.columns])
             cond = reduce(lambda x, y: x & y, [
-                F.col(c) == F.col(f"__r_{c}") if not c.endswith("__type")
-                else F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in same])
-            out = out.join(renamed, cond).drop(*[f"__r_{c}" for c in same])
+                F.col(c).eqNullSafe(F.col(f"__r_{c}")) if c.endswith("__type") else F.col(c) == F.col(f"__r_{c}")
+                for c in same])
+            out = out.join(renamed, cond)
+            if by is not None:
+                out = out.withColumn("__n", F.col("__n") * F.col("__r___n")).drop("__r___n")
+            out = out.drop(*[f"__r_{c}" for c in same])
             bound |= mine
+            if by is not None and later:
+                live = {v for v in bound if v in by or v in later}
+                out, bound = _counted(out, bound, live, "__n"), live
+        return out
+
+    def _bind(self, patterns, typed, extras):
+        out = self._joined(patterns)
         cols = []
-        for v in sorted(bound):
-            kind = F.col(f"{v}__kind") if f"{v}__kind" in out.columns else F.lit("iri")
-            xsd = F.col(f"{v}__type") if f"{v}__type" in out.columns else F.lit(None).cast("string")
+        for v in sorted({v[1:] for p in patterns for v in p.variables()}):
+            kind = F.col(f"{v}__kind") if _kinded(out, v) else F.lit("iri")
+            xsd = F.col(f"{v}__type") if _kinded(out, v) else F.lit(None).cast("string")
             cols.append((terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v))
             if extras:
                 cols += [kind.alias(f"{v}__kind"), xsd.alias(f"{v}__type")]
         return out.select(*cols) if cols else out
 
+    def _count(self, patterns, by, typed):
+        out = self._joined(patterns, set(by))
+        return out.select(*[(terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v) for v in by], "__n")
+
     def star(self, cls: str, props: dict[str, str]) -> DataFrame:
         """Instances of a class with several single-valued properties, in one aggregate.
 

@@ -150,6 +150,15 @@ def _key_test(tpl: Template, cols: tuple[str, ...], df: DataFrame, iri: str) ->
     return tests
 
 
+def _counted(df: DataFrame, env: dict, live: dict, n: str | None) -> DataFrame:
+    """Rows grouped on the columns of the live variables, with how many rows each stands for in ``__n``."""
+    cols = list(dict.fromkeys(c for t in live.values() for c in _cols(t)))
+    count = F.lit(1).cast("bigint") if n is None else F.col(n)
+    if all(set(_cols(t)) <= set(cols) for t in env.values()):
+        return df.select(*cols, count.alias("__n"))
+    return df.groupBy(*cols).agg(F.sum(count).alias("__n"))
+
+
 class VirtualGraph(Graph):
     def __init__(self, mapping: Mapping, tbox: Tbox | None = None, inverse: bool = False):
         self.m, self.tbox = mapping, tbox
@@ -361,7 +370,8 @@ class VirtualGraph(Graph):
             host.needs += pc.needs
         return out
 
-    def _combination(self, pieces: list[Piece], typed: dict[str, str], extras: bool, names: list[str]) -> DataFrame | None:
+    def _fused(self, pieces: list[Piece]) -> list[Piece] | None:
+        """Pieces that read one row put together, in join order; None when they contradict each other."""
         seen: dict[str, list] = {}
         for pc in pieces:
             for v, t in pc.terms.items():
@@ -369,60 +379,88 @@ class VirtualGraph(Graph):
                     return None
                 seen[v].append(t)
         fused = self._fuse(pieces)
-        if fused is None:
-            return None
+        return fused and in_join_order(fused, lambda pc: list(pc.terms), lambda pc: pc.anchors)
+
+    def _joined(self, fused: list[Piece], by: set[str] | None = None) -> tuple[DataFrame, dict[str, object]]:
+        """Join pieces. With ``by``, variables that nobody needs any more are counted away (column
+        ``__n``) before each join and after it, so rows never stand for single bindings."""
         # Reading a class's own table for some end proves that the end exists.
         satisfied = {(id(pc.owner), pc.row) for pc in fused if pc.owner is not None and pc.row}
         out, env = None, {}
-        for n, pc in enumerate(in_join_order(fused, lambda pc: list(pc.terms), lambda pc: pc.anchors)):
-            rows = self._rows(pc, satisfied)
+        for n, pc in enumerate(fused):
             prefix = f"g{n}_"
+            rows = self._rows(pc, satisfied)
             rows = rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])
             mine = {v: _moved(t, prefix) for v, t in pc.terms.items()}
+            later = {v for q in fused[n + 1:] for v in q.terms}
+            if by is not None:
+                live = {v: t for v, t in mine.items() if v in by or v in later or v in env}
+                rows = _counted(rows, mine, live, None).withColumnRenamed("__n", f"__n{n}")
+                mine = live
             if out is None:
                 out, env = rows, mine
+                if by is not None:
+                    out = out.withColumnRenamed(f"__n{n}", "__n")
                 continue
             cond = reduce(lambda a, b: a & b, [_equal(env[v], mine[v], out, rows) for v in mine if v in env])
             out = out.join(rows, cond)
             # Prefer a term that needs no text when both sides know the variable.
             env = {**mine, **env}
-        cols = []
-        for v in names:
-            t = env["?" + v]
-            text = _render(t, out)
-            if v in typed:
-                if isinstance(t, Text) and terms.xsd_name(t.xsd) == terms.xsd_name(typed[v]):
-                    dtype = out.schema[t.col].dataType
-                    text = terms.typed(F.col(t.col), t.xsd, dtype)
-                    if terms.value_type(t.xsd) != terms.value_type(typed[v]):
-                        text = text.cast(terms.value_type(typed[v]))
-                else:
-                    text = terms.value(text, typed[v])
-            cols.append(text.alias(v))
-            if extras:
-                lit = isinstance(t, Text)
-                cols += [F.lit("lit" if lit else "iri").alias(f"{v}__kind"),
-                         F.lit(terms.xsd_name(t.xsd) if lit else None).cast("string").alias(f"{v}__type")]
-        return out.select(*cols) if cols else out.select(F.lit(True).alias("__hit"))
-
-    def _bind(self, patterns, typed, extras):
-        names = list(dict.fromkeys(v[1:] for p in patterns for v in p.variables() if not hidden(v)))
+            if by is not None:
+                out = out.withColumn("__n", F.col("__n") * F.col(f"__n{n}")).drop(f"__n{n}")
+                live = {v: t for v, t in env.items() if v in by or v in later}
+                if later:
+                    out = _counted(out, env, live, "__n")
+                env = live
+        return out, env
+
+    def _shown(self, v: str, t, df: DataFrame, typed: dict[str, str]) -> Column:
+        if v not in typed:
+            return _render(t, df)
+        if not isinstance(t, Text) or terms.xsd_name(t.xsd) != terms.xsd_name(typed[v]):
+            return terms.value(_render(t, df), typed[v])
+        shown = terms.typed(F.col(t.col), t.xsd, df.schema[t.col].dataType)
+        same = terms.value_type(t.xsd) == terms.value_type(typed[v])
+        return shown if same else shown.cast(terms.value_type(typed[v]))
+
+    def _combinations(self, patterns: list[Pattern]) -> list[list[Piece]]:
         known = self._known_predicates()
         for p in patterns:
             if not is_var(p.p) and p.p not in known:
                 raise ValueError(f"no mapping gives predicate {p.p}")
+        ways = product(*[self._pieces(p) for p in patterns])
+        return [fused for fused in (self._fused(list(w)) for w in ways) if fused]
+
+    def _bind(self, patterns, typed, extras):
+        names = list(dict.fromkeys(v[1:] for p in patterns for v in p.variables() if not hidden(v)))
+        frames = []
+        for fused in self._combinations(patterns):
+            out, env = self._joined(fused)
+            cols = []
+            for v in names:
+                t = env["?" + v]
+                cols.append(self._shown(v, t, out, typed).alias(v))
+                if extras:
+                    lit = isinstance(t, Text)
+                    cols += [F.lit("lit" if lit else "iri").alias(f"{v}__kind"),
+                             F.lit(terms.xsd_name(t.xsd) if lit else None).cast("string").alias(f"{v}__type")]
+            frames.append(out.select(*cols) if cols else out.select(F.lit(True).alias("__hit")))
+        return union_all(frames) if frames else self._nothing(names, typed, extras)
+
+    def _count(self, patterns, by, typed):
         frames = []
-        for combo in product(*[self._pieces(p) for p in patterns]):
-            frame = self._combination(list(combo), typed, extras, names)
-            if frame is not None:
-                frames.append(frame)
-        if frames:
-            return union_all(frames)
-        spark = self.m.classes[0].df.sparkSession
+        for fused in self._combinations(patterns):
+            out, env = self._joined(fused, {"?" + v for v in by})
+            frames.append(out.select(*[self._shown(v, env["?" + v], out, typed).alias(v) for v in by], "__n"))
+        if not frames:
+            return self._nothing(by, typed, False).withColumn("__n", F.lit(0).cast("bigint"))
+        return union_all(frames)
+
+    def _nothing(self, names, typed, extras) -> DataFrame:
         cols = [f"{v} {terms.value_type(typed[v]) if v in typed else 'string'}" for v in names]
         if extras:
             cols += [f"{v}__{x} string" for v in names for x in ("kind", "type")]
-        return spark.createDataFrame([], ", ".join(cols) or "__hit boolean")
+        return self.m.classes[0].df.sparkSession.createDataFrame([], ", ".join(cols) or "__hit boolean")
 
     def _known_predicates(self) -> set[str]:
         known = {RDF_TYPE}
