@@ -108,9 +108,10 @@ def q8(spark, sf):
     return graph(spark, sf, ["Customer"]).match(("?c", "segment", Literal("MACHINERY")), ("?c", "customerName", "?name"))
 
 
-@case("Q9_numeric_compare", f"select {O} as o, cast(o_totalprice as decimal(18,2)) as total from orders where o_totalprice >= 250000")
+@case("Q9_numeric_compare", f"select {O} as o, cast(cast(o_totalprice as decimal(18,2)) as double) as total from orders where o_totalprice >= 250000")
 def q9(spark, sf):
-    return graph(spark, sf, ["Order"]).match(("?o", "total", "?total"), typed={"total": "decimal(18,2)"}).where("total >= 250000")
+    return graph(spark, sf, ["Order"]).match(("?o", "total", "?total"), typed={"total": "decimal(18,2)"}).where(
+        "total >= 250000").select("o", F.col("total").cast("double").alias("total"))
 
 
 @case("Q9_numeric_compare_stored", f"""select {O} as o, {money('o_totalprice')} as total from orders where o_totalprice >= 250000""")
@@ -119,9 +120,10 @@ def q9b(spark, sf):
     return stored(spark, sf, ["Order"]).match(("?o", "total", "?total")).where(value("total", "decimal") >= 250000)
 
 
-@case("Q10_date_range", f"select {O} as o, cast(o_orderdate as date) as d from orders where o_orderdate >= date '1997-01-01' and o_orderdate < date '1998-01-01'")
+@case("Q10_date_range", f"select {O} as o, cast(cast(o_orderdate as date) as varchar) as d from orders where o_orderdate >= date '1997-01-01' and o_orderdate < date '1998-01-01'")
 def q10(spark, sf):
-    return graph(spark, sf, ["Order"]).match(("?o", "orderDate", "?d"), typed={"d": "date"}).where("d >= date '1997-01-01' and d < date '1998-01-01'")
+    return graph(spark, sf, ["Order"]).match(("?o", "orderDate", "?d"), typed={"d": "date"}).where(
+        "d >= date '1997-01-01' and d < date '1998-01-01'").select("o", F.col("d").cast("string").alias("d"))
 
 
 @case("Q10_datetime_range", f"""select {i('event', 'event_id')} as e, replace(cast(ts as varchar), ' ', 'T') as at from events

@@ -244,19 +244,29 @@ def xsd_of(cm: ClassMap, col: str) -> str | None:
 def iri_overlap(m: Mapping) -> DataFrame:
     """IRIs that several classes give, or one class gives more than once.
 
-    Instances are counted per (IRI, class) first, so a key repeated across a third of a table is one
-    row per task.
+    Keys are counted per class first, so a key repeated across a third of a table is one row per task. Only
+    classes whose IRIs can meet are compared as text; for the others a repeat shows in the key itself.
     """
-    frames = [cm.df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(cm.pk)])
-              .agg(F.count(F.lit(1)).alias("n"))
-              .where(reduce(lambda a, b: a & b, [F.col(f"k{i}").isNotNull() for i in range(len(cm.pk))]))
-              .transform(lambda d, cm=cm: d.select(
-                  m.subject(cm, [f"k{i}" for i in range(len(cm.pk))], d).alias("s"),
-                  F.lit(cm.name).alias("cls"), "n")) for cm in m.classes]
-    per_iri = union_all(frames).groupBy("s").agg(
-        F.array_join(F.sort_array(F.collect_set("cls")), ",").alias("classes"),
-        F.sum("n").alias("rows"), F.max("n").alias("max_per_class"))
-    return per_iri.where((F.instr("classes", ",") > 0) | (F.col("max_per_class") > 1))
+    alone, together = [], []
+    for cm in m.classes:
+        keys = [f"k{i}" for i in range(len(cm.pk))]
+        counts = cm.df.select(*[F.col(k).alias(a) for k, a in zip(cm.pk, keys)]).dropna().groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"))
+        tpl = m.template(cm)
+        apart = all(tpl.disjoint(m.template(o)) for o in m.classes if o is not cm) and tpl.injective(cm.dtypes(cm.pk))
+        if apart:
+            counts = counts.where("n > 1")
+        named = counts.select(m.subject(cm, keys, counts).alias("s"), F.lit(cm.name).alias("cls"), "n")
+        (alone if apart else together).append(named)
+    out = [f.select("s", F.col("cls").alias("classes"), F.col("n").alias("rows"), F.col("n").alias("max_per_class"))
+           for f in alone]
+    if together:
+        per_class = union_all(together).groupBy("s", "cls").agg(F.sum("n").alias("n"))
+        per_iri = per_class.groupBy("s").agg(
+            F.array_join(F.sort_array(F.collect_set("cls")), ",").alias("classes"),
+            F.sum("n").alias("rows"), F.max("n").alias("max_per_class"))
+        out.append(per_iri.where((F.instr("classes", ",") > 0) | (F.col("max_per_class") > 1)))
+    return union_all(out)
 
 
 def iri_overlap_summary(m: Mapping) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tripleframe.functions.terms import XSD_NS, nt_unescape, object_to_nt
 from tripleframe.model import RDF_TYPE, TRIPLE_COLS, TRIPLE_SCHEMA
 
-# The forms of a line and of an object in N-Triples. Possessive quantifiers, because
-# Java matches them in a loop; others recurse once per escape and overflow the stack on long texts.
-LINE = r"^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.+?)\s*\.$"
-LITERAL = r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^>]*)>|(@[A-Za-z0-9-]+))?$'
+# The forms of a line and of its object in N-Triples. Possessive quantifiers, because Java
+# matches them in a loop; others recurse once per escape and overflow the stack on long texts.
+LINE = r"^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.+)$"
+QUOTED = r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+TAG = r"^(?:\^\^<([^>]*)>|(@[A-Za-z0-9-]+))?$"
 NODE = r"^(<[^<>\"\s]*>|_:\S+)$"
 
 
@@ -35,22 +36,28 @@ def parse_nt(lines: DataFrame) -> DataFrame:
 
     Blank lines vanish; comments are kept with the problem ``comment`` so that they can be counted.
     """
-    raw = lines.select(F.trim(F.col("value"), F.lit(" \t\r")).alias("line")).where("line <> ''")
-    raw = raw.withColumn("utf8", F.is_valid_utf8("line"))
-    txt = F.when(F.col("utf8"), F.col("line")).otherwise(F.lit(""))
-    cut = raw.select("line", "utf8", F.regexp_extract(txt, LINE, 1).alias("s"), F.regexp_extract(txt, LINE, 2).alias("p"),
-                     F.regexp_extract(txt, LINE, 3).alias("o"))
-    cut = cut.withColumn("is_lit", F.col("o").rlike(LITERAL))
+    blank = F.lit(" \t\r")
+    raw = lines.select(F.trim(F.col("value"), blank).alias("line")).where("line <> ''").withColumn(
+        "utf8", F.is_valid_utf8("line"))
+    body = F.when(F.col("utf8") & F.col("line").endswith("."),
+                  F.rtrim(F.substr("line", F.lit(1), F.length("line") - 1), blank)).otherwise(F.lit(""))
+    part = lambda n: F.regexp_extract(body, LINE, n)
+    cut = raw.select("line", "utf8", part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
+    # What follows the closing quote is a type, a language or nothing; no match leaves ``text`` empty.
+    cut = cut.withColumn("text", F.regexp_extract("o", QUOTED, 1))
+    cut = cut.withColumn("tag", F.substr("o", F.length("text") + 3))
+    is_lit = F.col("o").startswith(F.concat(F.lit('"'), "text", F.lit('"'))) & F.col("tag").rlike(TAG)
+    cut = cut.withColumn("is_lit", is_lit)
     good = (F.col("s") != "") & (F.col("is_lit") | F.col("o").rlike(NODE))
     problem = (F.when(F.col("line").startswith("#"), "comment").when(~F.col("utf8"), "not_utf8")
                .when(~F.col("line").endswith("."), "no_final_dot").when(~good, "not_a_triple"))
-    kind, tag = F.regexp_extract("o", LITERAL, 2), F.regexp_extract("o", LITERAL, 3)
-    o_type = (F.when(~F.col("is_lit"), None).when(tag != "", tag)
+    kind, lang = F.regexp_extract("tag", TAG, 1), F.regexp_extract("tag", TAG, 2)
+    o_type = (F.when(~F.col("is_lit"), None).when(lang != "", lang)
               .when(kind.startswith(XSD_NS), F.substr(kind, F.lit(len(XSD_NS) + 1)))
               .when(kind != "", kind).otherwise("string"))
     return cut.select(
         problem.alias("problem"), "line", _unwrap(F.col("s")).alias("s"), "p",
-        F.when(F.col("is_lit"), nt_unescape(F.regexp_extract("o", LITERAL, 1))).otherwise(_unwrap(F.col("o"))).alias("o"),
+        F.when(F.col("is_lit"), nt_unescape(F.col("text"))).otherwise(_unwrap(F.col("o"))).alias("o"),
         F.when(F.col("is_lit"), "lit").otherwise("iri").alias("o_kind"), o_type.alias("o_type"))
 
 
