@@ -126,24 +126,27 @@ def nt_escape(col: Column) -> Column:
 def nt_unescape(col: Column) -> Column:
     """Undo N-Triples escapes, including ``\\uXXXX`` and ``\\UXXXXXXXX``.
 
-    Splitting on escaped backslashes first keeps ``\\\\n`` (backslash, n) apart from ``\\n`` (newline).
+    Splitting on escaped backslashes first keeps ``\\\\n`` (backslash, n) apart from ``\\n`` (newline). Every
+    step is a transform over pieces, so that each piece is computed once.
     """
-    def code_points(piece: Column, mark: str, digits: int, charset: str) -> Column:
-        bits = F.split(piece, mark)
-        tail = F.transform(
-            F.slice(bits, 2, F.greatest(F.size(bits) - 1, F.lit(0))),
-            lambda b: F.concat(F.decode(F.unhex(F.substring(b, 1, digits)), charset),
-                               F.substr(b, F.lit(digits + 1))))
-        return F.concat(F.element_at(bits, 1), F.array_join(tail, ""))
-
-    def simple(piece: Column) -> Column:
+    def plain(piece: Column) -> Column:
         for escaped, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
             piece = F.replace(piece, F.lit(escaped), F.lit(raw))
-        piece = code_points(piece, r"\\u(?=[0-9A-Fa-f]{4})", 4, "UTF-16BE")
-        return code_points(piece, r"\\U(?=[0-9A-Fa-f]{8})", 8, "UTF-32")
+        return piece
 
-    slow = F.array_join(F.transform(F.split(col, r"\\\\"), simple), "\\")
-    return F.when(F.contains(col, F.lit("\\")), slow).otherwise(col)
+    def coded(piece: Column) -> Column:
+        def char(b: Column, i: Column) -> Column:
+            short = F.concat(F.decode(F.unhex(F.substring(b, 2, 4)), "UTF-16BE"), F.substr(b, F.lit(6)))
+            long = F.concat(F.decode(F.unhex(F.substring(b, 2, 8)), "UTF-32"), F.substr(b, F.lit(10)))
+            return F.when(i == 0, b).when(b.startswith("u"), short).otherwise(long)
+
+        return F.array_join(F.transform(F.split(piece, r"\\(?=u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"), char), "")
+
+    pieces = F.transform(F.split(col, r"\\\\"), plain)
+    has_code = F.contains(col, F.lit("\\u")) | F.contains(col, F.lit("\\U"))
+    return (F.when(~F.contains(col, F.lit("\\")), col)
+            .when(has_code, F.array_join(F.transform(pieces, coded), "\\"))
+            .otherwise(F.array_join(pieces, "\\")))
 
 
 def object_to_nt(o: Column, o_kind: Column, o_type: Column) -> Column:
