@@ -16,14 +16,15 @@ _EVENTS = f"""
     union all select {t(i('event', 'event_id'), n('at'), "replace(cast(ts as varchar), ' ', 'T')", 'dateTime')} from events where ts is not null"""
 
 
-def _run(spark, sf, event_time):
+def _run(spark, sf, event_time, edges=()):
     from tripleframe.sources.triples import load_triples
-    m = mapping(spark, sf, ["Event"])
+    m = mapping(spark, sf, ["Event", "Customer"])
     schema = table(spark, sf, "events").schema
     live = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out, ckpt = fresh(spark, "stream"), fresh(spark, "stream-state")
     cm = class_map(spark, sf, "Event")
-    stream_triples(live, m, ClassMap("Event", live, cm.pk, cm.path, cm.props), out, ckpt, event_time).awaitTermination()
+    stream_triples(live, m, ClassMap("Event", live, cm.pk, cm.path, cm.props), out, ckpt, event_time,
+                   edges=edges).awaitTermination()
     return load_triples(spark, out)
 
 
@@ -37,3 +38,10 @@ def st1(spark, sf):
 def st1b(spark, sf):
     """The same with repeats dropped under a watermark on the event time."""
     return _run(spark, sf, "ts")
+
+
+@case("ST1_stream_edges", _EVENTS + f"""
+    union all select {t(i('event', 'event_id'), n('performedBy'), i('customer', 'user_id'))} from events where user_id in (select c_custkey from customer)""")
+def st1c(spark, sf):
+    """Edges of the stream look their customers up in the static table."""
+    return _run(spark, sf, None, ("performedBy",))

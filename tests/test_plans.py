@@ -153,3 +153,15 @@ def test_hot_key_is_split_or_counted_away(spark, no_broadcast, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_enforced_keys_need_no_join(spark):
+    from tripleframe import EdgeMap
+    base = mapping(spark, SF, ["Order", "Customer"], [])
+    m = Mapping(NS, base.classes, [EdgeMap("placedBy", "Order", "Customer", "domain_fk", ["o_custkey"], enforced=True)])
+    checked = mapping(spark, SF, ["Order", "Customer"], ["placedBy"])
+    for a, b in ((materialize(m, preds=["placedBy"]), materialize(checked, preds=["placedBy"])),
+                 (Graph.virtual(m).match(("?o", "placedBy", "?c")), Graph.virtual(checked).match(("?o", "placedBy", "?c")))):
+        assert "Join" not in plan(a) and "Join" in plan(b)
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert audit.fk_hit_rates(m).first().total == audit.fk_hit_rates(checked).first().total

@@ -88,6 +88,8 @@ class EdgeMap:
     ``junction``: ``df`` links both, by ``domain_cols`` and ``range_cols``.
     ``df`` may be left out for the two foreign-key modes, meaning the class's own table.
     ``unique=True`` promises that the key pairs of a junction (or of a separate ``df``) do not repeat.
+    ``enforced=True`` promises that every key finds its parent, as a database constraint would; the joins
+    that check it are then left out. :func:`tripleframe.operators.audit.fk_hit_rates` tests that promise.
     """
     name: str
     domain: str
@@ -97,6 +99,7 @@ class EdgeMap:
     range_cols: list[str] = field(default_factory=list)
     df: DataFrame | None = None
     unique: bool = False
+    enforced: bool = False
 
     def __post_init__(self):
         if self.mode not in EDGE_MODES:
@@ -119,6 +122,11 @@ class Link:
     # class whose own table is scanned, when it is one
     owner: ClassMap | None
 
+    @property
+    def checks(self) -> tuple[tuple[ClassMap, tuple[str, ...]], ...]:
+        """Parents whose existence has to be checked."""
+        return () if self.edge.enforced else self.parents
+
     @property
     def unique(self) -> bool:
         return self.edge.unique or (self.owner is not None and self.owner.unique)

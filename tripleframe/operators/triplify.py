@@ -71,18 +71,13 @@ def link_of(m: Mapping, name: str) -> Link:
     raise KeyError(f"no such edge: {name}")
 
 
-def edge_keys(link: Link, distinct: bool = True, skip_parents: tuple[ClassMap, ...] = ()) -> DataFrame:
-    """Raw key columns ``s0.. o0..`` of an edge, for rows whose parents exist.
-
-    ``skip_parents`` names classes whose existence the caller already enforces.
-    """
+def edge_keys(link: Link, distinct: bool = True) -> DataFrame:
+    """Raw key columns ``s0.. o0..`` of an edge, for rows whose parents exist."""
     rows = _keyed(link.df.select(*dict.fromkeys([*link.s_cols, *link.o_cols])),
                   dict.fromkeys([*link.s_cols, *link.o_cols]))
     if distinct and not link.unique:
         rows = rows.distinct()
-    for parent, cols in link.parents:
-        if parent in skip_parents:
-            continue
+    for parent, cols in link.checks:
         rows = rows.join(parent.df.select(*[F.col(k).alias(f"__pk{i}") for i, k in enumerate(parent.pk)]),
                          [F.col(c) == F.col(f"__pk{i}") for i, c in enumerate(cols)], "left_semi")
     return rows.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(link.s_cols)],

@@ -218,7 +218,7 @@ class VirtualGraph(Graph):
             def edge(pred, s_, o_, unique, link=link):
                 piece = Piece(link.df, link.owner, None, unique)
                 piece.where += [F.col(c).isNotNull() for c in dict.fromkeys([*link.s_cols, *link.o_cols])]
-                piece.needs += [(cm, cols, "") for cm, cols in link.parents]
+                piece.needs += [(cm, cols, "") for cm, cols in link.checks]
                 out.append((piece, s_, pred, o_))
 
             for q in self._preds(link):

@@ -7,15 +7,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripleframe.model import ClassMap, Mapping
 from tripleframe.operators import triplify
+from tripleframe.plans.support import union_all
 
 
 def triple_stream(df: DataFrame, m: Mapping, cm: ClassMap, event_time: str | None = None,
-                  delay: str = "1 hour") -> DataFrame:
-    """Class and literal triples of a streaming table.
+                  delay: str = "1 hour", edges: tuple[str, ...] = ()) -> DataFrame:
+    """Class and literal triples of a streaming table, and those of its foreign-key ``edges``.
 
-    Without ``event_time`` this is a stateless projection. With it, rows that repeat key and event time
-    within ``delay`` are dropped; the watermark lets Spark forget old keys, so state does not grow with
-    the stream.
+    Without ``event_time`` this is a stateless projection; edges look their parents up in the static tables
+    of ``m``, as they are when a batch runs. With ``event_time``, rows that repeat key and event time within
+    ``delay`` are dropped; the watermark lets Spark forget old keys, so state does not grow with the stream.
     """
     if event_time is not None:
         # A watermark needs an instant; zone-less timestamps are read in the session's time zone.
@@ -23,16 +24,25 @@ def triple_stream(df: DataFrame, m: Mapping, cm: ClassMap, event_time: str | Non
         df = df.dropDuplicates([*cm.pk, "__at"])
     live = ClassMap(cm.name, df, cm.pk, cm.path, cm.props, cm.sep, True, cm.consts)
     structs = [c for _, c in triplify._class_outputs(m, live, triplify.Widening.none())]
-    return triplify._class_frame(m, live, structs)
+    frames = [triplify._class_frame(m, live, structs)]
+    if edges:
+        own = [e for e in m.edges if e.name in edges]
+        moving = Mapping(m.ns, [live, *[c for c in m.classes if c.name != cm.name]], own, strict=True)
+        for link in moving.links:
+            if link.owner is not live:
+                raise ValueError(f"edge {link.edge.name} is not a foreign key in the table of {cm.name}")
+            frames.append(triplify.edge_triples(moving, link.edge))
+    return union_all(frames)
 
 
 def stream_triples(df: DataFrame, m: Mapping, cm: ClassMap, path: str, checkpoint: str,
-                   event_time: str | None = None, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
+                   event_time: str | None = None, delay: str = "1 hour", edges: tuple[str, ...] = (),
+                   once: bool = True) -> StreamingQuery:
     """Write the triples of a stream to a parquet store; ``once`` takes what is there and stops.
 
     The checkpoint folder and the sink's commit log make every input file count exactly once.
     """
-    out = triple_stream(df, m, cm, event_time, delay)
+    out = triple_stream(df, m, cm, event_time, delay, edges)
     writer = (out.writeStream.format("parquet").outputMode("append").partitionBy("p")
               .option("path", path).option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
