@@ -232,10 +232,15 @@ def _class_outputs(m: Mapping, cm: ClassMap, w: Widening) -> list[tuple[Output,
     return out
 
 
-def _class_frame(m: Mapping, cm: ClassMap, structs: list[Column]) -> DataFrame:
-    rows = _keyed(cm.df, cm.pk)
-    out = rows.select(m.subject(cm).alias("s"), F.inline(F.array(*structs)))
-    return out.where(F.col("o").isNotNull()).select(*TRIPLE_COLS)
+def _class_frame(m: Mapping, cm: ClassMap, structs: list[Column], repeats: bool = False) -> DataFrame:
+    """Triples of one scan. ``repeats`` drops duplicates while the subject is still its raw key."""
+    rows, cells = _keyed(cm.df, cm.pk), F.inline(F.array(*structs))
+    if not repeats:
+        # The subject is written once per row, below the generator.
+        return rows.select(m.subject(cm).alias("s"), cells).where(F.col("o").isNotNull()).select(*TRIPLE_COLS)
+    keys = [f"__k{i}" for i in range(len(cm.pk))]
+    out = rows.select(*[F.col(c).alias(k) for c, k in zip(cm.pk, keys)], cells).where(F.col("o").isNotNull()).distinct()
+    return out.select(m.template(cm).render([F.col(k) for k in keys], cm.dtypes(cm.pk)).alias("s"), *TRIPLE_COLS[1:])
 
 
 @dataclass
@@ -283,13 +288,14 @@ def _parts(m: Mapping, w: Widening, wanted: set[str] | None = None) -> list[Part
     parts: list[Part] = []
     for i, (cm, outs) in enumerate(everything):
         within = [o for o, _ in outs]
-        safe = cm.unique and m.template(cm).injective(cm.dtypes(cm.pk))
+        exact = m.template(cm).injective(cm.dtypes(cm.pk))
         split: dict[bool, list[tuple[Output, Column]]] = {True: [], False: []}
         for o, c in outs:
-            split[safe and not shared(i, o, within)].append((o, c))
-        for distinct, chosen in split.items():
+            split[exact and not shared(i, o, within)].append((o, c))
+        for alone, chosen in split.items():
             if chosen:
-                parts.append(Part(_class_frame(m, cm, [c for _, c in chosen]), [o for o, _ in chosen], distinct))
+                frame = _class_frame(m, cm, [c for _, c in chosen], repeats=alone and not cm.unique)
+                parts.append(Part(frame, [o for o, _ in chosen], alone))
     for i, p in enumerate(edge_parts):
         clash = any(shared(len(everything) + i, o, p.outputs) for o in p.outputs)
         parts.append(Part(p.frame, p.outputs, p.distinct and not clash))
