@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import iri_filter, languages, packing, quality, token_files
+from tripleframe.llm import iri_filter, languages, leaks, near_literals, packing, quality, token_files, topk
 from tripleframe.llm.rows import send_package
 from tripleframe.plans.support import cut_lineage, shared_dir
 
@@ -86,3 +86,32 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     written = token_files.write_token_files(documents(spark, sf), folder, TOKENIZER)
     counts = token_files.count_tokens(spark, written.select("path"))
     return written.join(counts, ["path", "ordinal"]).select(F.col("s").alias("doc_id"), "n_tokens")
+
+
+@query
+def op10_top_k_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("s"), F.col("embedding").alias("vector"))
+    out = topk.top_k(rows, rows.where(F.col("s") % 20 == 0))
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("s").alias("vec_id"), "score")
+
+
+SQL["op10_top_k_search"] = """
+with good as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings
+              where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+     scored as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score
+                from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+     ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20"""
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that leak a benchmark item, with the item."""
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("o"))
+    return leaks.leaks(documents(spark, sf), items).select(F.col("s").alias("doc_id"), F.col("item").alias("item_id"), "windows", "item_windows", "same_values")
+
+
+@query
+def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = near_literals.near_literals(documents(spark, sf), width=2)
+    return out.select(F.col("s").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
