@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import iri_filter, languages, leaks, near_literals, packing, quality, repeated_text, token_files, topk
+from tripleframe.llm import iri_filter, languages, leaks, lines, near_literals, packing, quality, repeated_text, token_files, topk
 from tripleframe.llm.rows import send_package
 from tripleframe.plans.support import cut_lineage, shared_dir
 
@@ -121,3 +121,9 @@ def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = repeated_text.drop_repeats(documents(spark, sf))
     return out.select(F.col("s").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("o").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = lines.drop_repeated_lines(documents(spark, sf))
+    return out.select(F.col("s").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("o").cast("binary"), 256).alias("kept_sha256"))

@@ -21,55 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.llm import words as W
+from tripleframe.llm.packed import bucket_count, pack, places, unpack
 from tripleframe.llm.rows import numbered, texts
 
 WINDOW = 20
-BUCKET_WORDS = 16_000_000
 _OTHER = 0xC2B2AE3D27D4EB4F
 _PACKED = "b int, docs binary, counts binary, pos binary, value binary, known_docs binary, known_counts binary, known_pos binary, blocks binary"
 _NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 
 
-def bucket_count(chars: int) -> int:
-    """Buckets of up to ``BUCKET_WORDS``, more of smaller ones while data are small."""
-    n = max(chars, 1) / 6
-    return int(max(1, n / BUCKET_WORDS, (n / 10_000) ** 0.5))
-
-
-def _pack(text: np.ndarray, pos: np.ndarray, ks: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Places (in order of text and position): the texts' keys, how many places each has, and gaps of positions, byte plane by byte plane."""
-    if not len(text):
-        return b"", b"", b""
-    begin = np.flatnonzero(np.diff(text, prepend=-1))
-    gap = np.diff(pos, prepend=0)
-    gap[begin] = pos[begin]
-    return (ks[text[begin]].tobytes(), np.diff(begin, append=len(text)).astype(np.uint32).tobytes(),
-            gap.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpack(docs: bytes, counts: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and positions of packed places."""
-    counts = np.frombuffer(counts, np.uint32).astype(np.int64)
-    gap = np.ascontiguousarray(np.frombuffer(pos, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-    total = np.cumsum(gap)
-    begin = np.cumsum(counts) - counts
-    return np.repeat(np.frombuffer(docs, np.int64), counts), total - np.repeat(total[begin] - gap[begin], counts)
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_NAMES)
 
 
-def _places(keys: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """A row (key, positions) per key."""
-    order = np.lexsort((pos, keys))
-    keys, pos = keys[order], pos[order]
-    begin = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0)) if len(keys) else np.zeros(0, int)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)), pa.int32()), pa.array(pos.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(keys[begin], pa.int64()), lists], names=["k", "pos"])
-
-
 def _probes(block: int, buckets: int):
     """Packed probes, blocks and hits that a batch settles by itself, a row per bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +64,7 @@ def _probes(block: int, buckets: int):
                 s = slice(edge[i], edge[i + 1])
                 k, f = known[s], first[s]
                 many = (blocks[group[s][f]] > 1).astype(np.uint8)
-                rows.append((int(i), *_pack(text[s][~k], pos[s][~k], ks), value[s][~k].tobytes(), *_pack(text[s][k], pos[s][k], ks), value[s][f].tobytes() + many.tobytes()))
+                rows.append((int(i), *pack(text[s][~k], pos[s][~k], ks), value[s][~k].tobytes(), *pack(text[s][k], pos[s][k], ks), value[s][f].tobytes() + many.tobytes()))
             yield _rows(rows)
     return run
 
@@ -115,17 +80,17 @@ def _hits(block: int):
         for row in rows.select(_NAMES[1:-1]).to_pylist():
             v = np.frombuffer(row["value"], np.uint32)
             if len(v) and len(index):
-                keys, pos = _unpack(row["docs"], row["counts"], row["pos"])
+                keys, pos = unpack(row["docs"], row["counts"], row["pos"])
                 at = np.minimum(np.searchsorted(index, v), len(index) - 1)
                 hit = (index[at] == v) & ((pos % block != 0) | twice[at])
                 ks.append(keys[hit])
                 ps.append(pos[hit])
             if row["known_docs"]:
-                keys, pos = _unpack(row["known_docs"], row["known_counts"], row["known_pos"])
+                keys, pos = unpack(row["known_docs"], row["known_counts"], row["known_pos"])
                 ks.append(keys)
                 ps.append(pos)
         ks, ps = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ks, ps))
-        return pa.Table.from_batches([_places(ks, ps)])
+        return pa.Table.from_batches([places(ks, ps)])
     return run
 
 
@@ -167,19 +132,19 @@ def _candidates(block: int, window: int, buckets: int):
             out = []
             for i in np.flatnonzero(np.diff(edge)):
                 s = slice(edge[i], edge[i + 1])
-                out.append((int(i), *_pack(text[s], pos[s], ks), h[s].tobytes(), b"", b"", b"", b""))
+                out.append((int(i), *pack(text[s], pos[s], ks), h[s].tobytes(), b"", b"", b"", b""))
             yield _rows(out)
     return run
 
 
 def _firsts(rows: pa.Table) -> pa.Table:
     """The first place of every window of a bucket."""
-    parts = [(np.frombuffer(r["value"], np.uint64), *_unpack(r["docs"], r["counts"], r["pos"])) for r in rows.select(["value", "docs", "counts", "pos"]).to_pylist()]
+    parts = [(np.frombuffer(r["value"], np.uint64), *unpack(r["docs"], r["counts"], r["pos"])) for r in rows.select(["value", "docs", "counts", "pos"]).to_pylist()]
     h, keys, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((pos, keys, h))
     new = np.ones(len(h), bool)
     new[1:] = np.diff(h[order]) != 0
-    return pa.Table.from_batches([_places(keys[order][new], pos[order][new])])
+    return pa.Table.from_batches([places(keys[order][new], pos[order][new])])
 
 
 def _kept(block: int, window: int):

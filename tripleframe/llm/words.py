@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-PIECE = 1 << 21
+PIECE = 1 << 17
 _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
@@ -50,12 +50,16 @@ def powers(n: int, base: int = _R) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece(buf: np.ndarray) -> Words:
-    gap = SPACE[buf]
-    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
+    gap = np.ones(len(buf) + 2, bool)
+    np.take(SPACE, buf, out=gap[1:-1], mode="clip")
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
     up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:len(buf)], out=total[1:])
+    value = buf.astype(np.uint64)
+    value += np.uint64(1)
+    value *= up[:len(buf)]
+    np.cumsum(value, out=total[1:])
     return Words(mix((total[ends] - total[starts]) * down[starts]), starts, ends)
 
 
