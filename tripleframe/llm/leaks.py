@@ -133,6 +133,12 @@ def leaks(literals: DataFrame, benchmark: DataFrame, window: int = WINDOW, share
     items are found each, and NULL items are passed over. Windows of an item match anywhere in a text, however long.
     """
     lits = numbered(literals)
+    found = leaked_items(lits, benchmark, window, share, local_windows)
+    return lits.select("k", "s").distinct().join(found, "k").drop("k")
+
+
+def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
+    """The same by key ``k`` of numbered literals."""
     items = benchmark.select("item", F.coalesce(F.col("o").cast("string"), F.lit("")).alias("o")).where("item is not null")
     size = items.agg(F.sum(F.length("o"))).first()[0] or 0
     kind = benchmark.schema["item"].dataType.simpleString()
@@ -156,7 +162,7 @@ def leaks(literals: DataFrame, benchmark: DataFrame, window: int = WINDOW, share
             hits = list(zip(rows["item"], rows["ipos"], rows["dpos"], map(tuple, rows["slots"]), map(tuple, rows["dslots"]), rows["total"], strict=True))
             return pd.DataFrame([(rows["k"].iloc[0], *r) for r in _decide(hits, share)], columns=["k", "item", "windows", "item_windows", "same_values"])
         found = hits.groupBy("k").applyInPandas(decide, out)
-    return lits.select("k", "s").distinct().join(found, "k").drop("k")
+    return found.distinct()
 
 
 def _probe(index: pd.DataFrame, names: list, share: float, kind: str):

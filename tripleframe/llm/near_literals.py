@@ -155,6 +155,14 @@ def near_literals(literals: DataFrame, width: int = 5, percent: int = 80) -> Dat
     one subject with different texts are rows of their own, ordered by a hash of the text. NULL subjects come first.
     """
     base = numbered(literals)
+    whole = near_classes(base, width, percent)
+    names = base.select("k", "s").distinct()
+    return whole.join(names, "k").join(names.select(F.col("k").alias("c"), F.col("s").alias("component")), "c").select(
+        "s", "n_shingles", "component", (F.col("k") == F.col("c")).alias("kept"))
+
+
+def near_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
+    """``k``, ``n_shingles`` and ``c`` (smallest connected key) for every key of numbered literals."""
     sketches = cut_lineage(base.select("k", "o").mapInArrow(_sketch(width), "k long, n long, sig1 long, sig2 long, sketch binary").dropDuplicates(["k"]))
     sets = ["sig1", "sig2", "n"]
     full = sketches.where("n > 0")
@@ -187,8 +195,5 @@ def near_literals(literals: DataFrame, width: int = 5, percent: int = 80) -> Dat
     second = links(apart)
     label = components(first.unionByName(second)) if second.limit(1).count() else label
     whole = sketches.select("k", F.col("n").alias("n_shingles")).join(members, "k", "left").select("k", "n_shingles", F.coalesce("rep", "k").alias("rep"))
-    whole = whole.join(label.select(F.col("k").alias("rep"), "c"), "rep", "left").select("k", "n_shingles", F.coalesce("c", "rep").alias("c"))
     # A class is named by its smallest member, so the smallest label of a component is its smallest key.
-    names = base.select("k", "s").distinct()
-    return whole.join(names, "k").join(names.select(F.col("k").alias("c"), F.col("s").alias("component")), "c").select(
-        "s", "n_shingles", "component", (F.col("k") == F.col("c")).alias("kept"))
+    return whole.join(label.select(F.col("k").alias("rep"), "c"), "rep", "left").select("k", "n_shingles", F.coalesce("c", "rep").alias("c"))

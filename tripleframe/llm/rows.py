@@ -39,23 +39,36 @@ def literals(df: DataFrame, s: str = "s", o: str = "o") -> DataFrame:
     return df.select(F.col(s).alias("s"), F.coalesce(F.col(o).cast("string"), F.lit("")).alias("o"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Literals with a key ``k``: a long in the order of ``s`` (NULL first), then of the text's hash.
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that the frame does not use, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, s: str, o: str) -> tuple[DataFrame, str, bool]:
+    """The frame with a key column, the name of that column, and whether no two rows share a key.
 
-    Different literals get different keys; rows that repeat both subject and text are one literal and share a key.
-    Whole-number subjects without repeats are their own keys; others are ranked by one sort of (subject, hash) pairs,
-    kept in the checkpoint folder so that a recomputed task finds the same numbers.
+    The key is a long in the order of ``s`` (NULL first), then of a hash of the text ``o``. Different literals get different keys; rows
+    that repeat both are one literal and share a key. Whole-number subjects without repeats are their own keys; others
+    are ranked by one sort of (subject, hash) pairs, kept in the checkpoint folder so that a recomputed task finds the same numbers.
     """
-    lits = literals(df)
-    if isinstance(df.schema["s"].dataType, T.IntegralType):
-        n, distinct = lits.agg(F.count(F.lit(1)), F.countDistinct("s") + F.max(F.when(F.col("s").isNull(), 1).otherwise(0))).first()
-        if n == (distinct or 0):
-            return lits.select("s", "o", F.coalesce(F.col("s").cast("long"), F.lit(-(1 << 63))).alias("k"))
-    lits = lits.withColumn("h", F.xxhash64("o"))
-    ranks = cut_lineage(lits.select("s", "h").distinct().orderBy(F.col("s").asc_nulls_first(), "h")
-                        .withColumn("k", F.monotonically_increasing_id()))
-    ranks = ranks.select(F.col("s").alias("_s"), F.col("h").alias("_h"), "k")
-    return lits.join(ranks, F.col("s").eqNullSafe(F.col("_s")) & (F.col("h") == F.col("_h"))).select("s", "o", "k")
+    k, h = spare(df, "k"), spare(df, "h")
+    if isinstance(df.schema[s].dataType, T.IntegralType):
+        n, distinct = df.agg(F.count(F.lit(1)), F.countDistinct(df[s]) + F.coalesce(F.max(F.when(df[s].isNull(), 1).otherwise(0)), F.lit(0))).first()
+        if n == distinct:
+            return df.withColumn(k, F.coalesce(df[s].cast("long"), F.lit(-(1 << 63)))), k, True
+    rows = df.withColumn(h, F.xxhash64(F.coalesce(df[o].cast("string"), F.lit(""))))
+    ranks = cut_lineage(rows.select(F.col(s).alias("_s"), F.col(h).alias("_h")).distinct().orderBy(F.col("_s").asc_nulls_first(), "_h")
+                        .withColumn("_k", F.monotonically_increasing_id()))
+    rows = rows.join(ranks, rows[s].eqNullSafe(ranks["_s"]) & (rows[h] == ranks["_h"]))
+    return rows.withColumn(k, F.col("_k")).select(*df.columns, k), k, False
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Literals ``s``, ``o`` with a key ``k`` as :func:`keyed` makes it."""
+    return keyed(literals(df), "s", "o")[0]
 
 
 def texts(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[bytes], pa.RecordBatch]]:
