@@ -6,7 +6,7 @@ length, by position (what can still be shared after that word) and by the parity
 what passes is counted on whole sets. A line goes if an earlier line is similar.
 
 Rarity is counted over all words, in a table of 65,536 counters of hashed words; ties, and words that share a counter, are ordered by hash, so
-the order is the same everywhere. Equal lines of a batch are settled in it. In the first round a line is held against its few
+the order is the same everywhere. Equal lines are settled where they meet. In the first round a line is held against its few
 earliest candidates per word; lines with more candidates that none of these settles get all of theirs in a second round.
 """
 from __future__ import annotations
@@ -26,9 +26,11 @@ from tripleframe.llm.rows import numbered, texts
 from tripleframe.plans.support import cut_lineage
 
 COUNTERS = 1 << 16
-EARLIEST = 4
-_SMALL = 64
-_PACKED = "b int, docs binary, counts binary, pos binary, value binary, n binary, i binary, parity binary, ask binary, known_docs binary, known_counts binary, known_pos binary"
+EARLIEST = 8
+BROADCAST_BYTES = 8 << 20
+_SMALL = 512
+_LONG = 64  # lines of more words send 256 bits of parity instead of 64
+_PACKED = "b int, docs binary, counts binary, pos binary, value binary, n binary, i binary, parity binary, sign binary, wide binary, ask binary, known_docs binary, known_counts binary, known_pos binary"
 _NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 
 
@@ -114,7 +116,10 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int):
                 lists = rows.column("ask").to_pylist()
                 wanted = [set(lists[i] or ()) for i in order]
                 ask = np.array([n in wanted[t] for t, n in zip(x.text.tolist(), x.number.tolist(), strict=True)])
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (x.hashes >> np.uint64(58)), x.first[:-1])
+            bit, part = np.uint64(1) << (x.hashes >> np.uint64(58)), (x.hashes >> np.uint64(56)) & np.uint64(3)
+            parity = np.bitwise_xor.reduceat(bit, x.first[:-1])
+            wide = np.stack([np.bitwise_xor.reduceat(np.where(part == c, bit, np.uint64(0)), x.first[:-1]) for c in range(3)], 1)
+            short = (sign[0] >> np.uint64(32)).astype(np.uint32)
             take = size - _least(size, percent) + 1
             take[again] = 0
             line = np.repeat(np.arange(len(size)), take)
@@ -130,7 +135,7 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int):
                 s = slice(edge[b], edge[b + 1])
                 at = line[s]
                 out.append((int(b), *pack(x.text[at], x.number[at], ks), (h[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _planes(size[at]), _planes(i[s]),
-                            parity[at].tobytes(), np.packbits(ask[at]).tobytes(), *known))
+                            parity[at].tobytes(), short[at].tobytes(), wide[at[size[at] > _LONG]].tobytes(), np.packbits(ask[at]).tobytes(), *known))
                 known = (b"",) * 3
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_NAMES)
@@ -139,51 +144,79 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int):
 
 def _pairs(percent: int, most: int | None):
     """Candidate pairs of a bucket: a line (``k``, ``line``), an earlier one (``k2``, ``line2``), and whether the line may have ``more``. Without a second line: goes."""
-    def passes(q: np.ndarray, p: np.ndarray, n: np.ndarray, i: np.ndarray, parity: np.ndarray) -> np.ndarray:
-        a, b = n[q], n[p]
-        need = (percent * (a + b) + 99 + percent) // (100 + percent)
-        good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (1 + np.minimum(a - i[q], b - i[p]) - 1 >= need)
-        good &= np.bitwise_count(parity[q] ^ parity[p]) <= a + b - 2 * need
-        return good
-
     def run(rows: pa.Table) -> pa.Table:
         parts, known = [], []
         for r in rows.to_pylist():
             keys, line = unpack(r["docs"], r["counts"], r["pos"])
             parts.append((np.frombuffer(r["value"], np.uint32), keys, line, _flat(r["n"]), _flat(r["i"]), np.frombuffer(r["parity"], np.uint64),
-                          np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=len(keys)).astype(bool)))
+                          np.frombuffer(r["sign"], np.uint32), np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=len(keys)).astype(bool)))
             if r["known_docs"]:
                 known.append(unpack(r["known_docs"], r["known_counts"], r["known_pos"]))
-        value, keys, line, n, i, parity, ask = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((line, keys, value))
-        value, keys, line, n, i, parity, ask = (c[order] for c in (value, keys, line, n, i, parity, ask))
+        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, 3)
+        value, keys, line, n, i, parity, sign, ask = (np.concatenate(c) for c in zip(*parts, strict=True))
+        row = np.cumsum(n > _LONG) - 1
+        time = np.empty(len(n), np.int64)
+        time[np.lexsort((line, keys))] = np.arange(len(n))  # the order of the lines
+        order = np.lexsort((time, n, value))
+        value, keys, line, n, i, parity, sign, ask, row, time = (c[order] for c in (value, keys, line, n, i, parity, sign, ask, row, time))
+        same = lambda q, p: (sign[q] == sign[p]) & (parity[q] == parity[p]) & (n[q] == n[p])
+
+        def passes(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs that may be similar, by what can be shared from here on and by the parities."""
+            both = n[q] + n[p]
+            need = (percent * both + 99 + percent) // (100 + percent)
+            good = np.minimum(n[q] - i[q], n[p] - i[p]) >= need
+            q, p, most_apart = q[good], p[good], (both - 2 * need)[good]
+            good = np.bitwise_count(parity[q] ^ parity[p]) <= most_apart
+            q, p, most_apart = q[good], p[good], most_apart[good]
+            good = np.ones(len(q), bool)
+            two = np.flatnonzero((n[q] > _LONG) & (n[p] > _LONG))
+            if len(two):
+                a, b = wide[row[q[two]]], wide[row[p[two]]]
+                last = parity[q[two]] ^ parity[p[two]] ^ np.bitwise_xor.reduce(a ^ b, 1)
+                good[two] = np.bitwise_count(a ^ b).sum(1) + np.bitwise_count(last) <= most_apart[two]
+            return q[good], p[good]
+
         begin = np.flatnonzero(np.diff(value.astype(np.int64), prepend=-1))
         size = np.diff(np.append(begin, len(value)))
         qs, ps = [], []
         rank = np.arange(len(value)) - np.repeat(begin, size)
-        small = np.repeat(size, size) <= _SMALL
-        live, d = np.flatnonzero(small & (rank > 0) & ask), 1
+        # Within a word lines are in order of length; each meets the shorter ones down to the smallest that can be similar.
+        live, d = np.flatnonzero((np.repeat(size, size) <= _SMALL) & (rank > 0)), 1
         while len(live):
             live = live[rank[live] >= d]
-            good = live[passes(live, live - d, n, i, parity)]
-            qs.append(good)
-            ps.append(good - d)
+            live = live[100 * n[live - d] >= percent * n[live]]
+            later = np.where(time[live] > time[live - d], live, live - d)
+            earlier = 2 * live - d - later
+            asked = ask[later]
+            q, p = passes(later[asked], earlier[asked])
+            qs.append(q)
+            ps.append(p)
             d += 1
         for at, f in zip(begin[size > _SMALL], size[size > _SMALL], strict=True):
-            left, found = at + np.flatnonzero(ask[at:at + f]), np.zeros(f, np.int64)
-            for p in range(at, at + f):
-                left = left[left > p]
-                if not len(left):
+            # A word of many lines: from the earliest on, each is held against those that still look for partners.
+            own = slice(at, at + f)
+            done, found = ~ask[own], np.zeros(f, np.int64)
+            for p in np.argsort(time[own], kind="stable"):
+                lo = np.searchsorted(n[own], (percent * n[at + p] + 99) // 100, "left")
+                hi = np.searchsorted(n[own], 100 * n[at + p] // percent, "right")
+                q = np.flatnonzero(~done[lo:hi] & (time[at + lo:at + hi] > time[at + p])) + at + lo
+                q, r = passes(q, np.full(len(q), at + p))
+                if len(q):
+                    qs.append(q)
+                    ps.append(r)
+                    found[q - at] += 1
+                    full = same(q, r) | (found[q - at] > most if most is not None else False)
+                    done[q[full] - at] = True
+                done[p] = True  # it has met all earlier ones
+                if done.all():
                     break
-                good = left[passes(left, np.full(len(left), p), n, i, parity)]
-                if len(good):
-                    qs.append(good)
-                    ps.append(np.full(len(good), p))
-                    found[good - at] += 1
-                    if most is not None:
-                        left = left[found[left - at] <= most]
         q, p = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (qs, ps))
-        order = np.lexsort((p, q))
+        settled = np.unique(q[same(q, p)])  # equal sets, by 96 bits and their size
+        known.append((keys[settled], line[settled]))
+        open_ = ~np.isin(q, settled)
+        q, p = q[open_], p[open_]
+        order = np.lexsort((time[p], q))
         q, p = q[order], p[order]
         more = np.zeros(len(q), bool)
         if most is not None and len(q):
@@ -243,6 +276,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([sorted(g or ()) for g in lists], pa.list_(pa.int64()))], names=["s", "n_lines", "n_removed", "o", "removed"])
 
 
+def _small(lists: DataFrame, name: str) -> DataFrame:
+    """Lists of lines by key, in a checkpoint; to be broadcast only if a count of them shows that they take few bytes."""
+    lists = cut_lineage(lists)
+    rows, items = lists.agg(F.count(F.lit(1)), F.sum(F.size(name))).first()
+    return F.broadcast(lists) if 32 * rows + 8 * (items or 0) <= BROADCAST_BYTES else lists
+
+
 def repeated_lines(base: DataFrame, percent: int) -> DataFrame:
     """``k`` and ``line`` of every line of numbered literals that an earlier line resembles."""
     counts = word_counts(base)
@@ -252,7 +292,7 @@ def repeated_lines(base: DataFrame, percent: int) -> DataFrame:
     def similar(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array(F.struct("k", "line"), F.struct(F.col("k2").alias("k"), F.col("line2").alias("line")))).alias("e")).select("e.*").distinct()
         need = ends.groupBy("k").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-        sets = cut_lineage(base.dropDuplicates(["k"]).join(need, "k").select("k", "o", "lines").mapInArrow(_sets, "k long, line long, words binary"))
+        sets = cut_lineage(base.join(_small(need, "lines"), "k").select("k", "o", "lines").mapInArrow(_sets, "k long, line long, words binary").dropDuplicates(["k", "line"]))
         other = sets.select(F.col("k").alias("k2"), F.col("line").alias("line2"), F.col("words").alias("wb"))
         both = pairs.join(sets.withColumnRenamed("words", "wa"), ["k", "line"]).join(other, ["k2", "line2"])
         return cut_lineage(both.select("k", "line", "wa", "wb").mapInArrow(_similar(percent), "k long, line long").distinct())
@@ -263,7 +303,7 @@ def repeated_lines(base: DataFrame, percent: int) -> DataFrame:
     gone = gone.unionByName(found.where("k2 is null").select("k", "line"))
     rest = cut_lineage(found.where("more").select("k", "line").distinct().join(gone, ["k", "line"], "left_anti").groupBy("k").agg(F.collect_list("line").alias("ask")))
     if rest.limit(1).count():
-        asked = base.join(rest, "k", "left").select("k", "o", "ask").mapInArrow(_prefixes(counts, percent, buckets), _PACKED)
+        asked = base.join(_small(rest, "ask"), "k", "left").select("k", "o", "ask").mapInArrow(_prefixes(counts, percent, buckets), _PACKED)
         found = cut_lineage(asked.groupBy("b").applyInArrow(_pairs(percent, None), schema).select("k", "line", "k2", "line2").distinct())
         gone = gone.unionByName(similar(found))
     return gone.distinct()
