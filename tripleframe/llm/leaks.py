@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tripleframe.llm import words as W
 from tripleframe.llm.rows import numbered, texts
@@ -146,7 +147,7 @@ def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     if size <= 2 * local_windows:  # a window begins at a word, which takes two characters at least
         rows = [r for r in items.collect()]
         index = _index([r.o.encode() for r in rows], window).sort_values("hash", kind="stable", ignore_index=True)
-        found = lits.select("k", "o").mapInArrow(_probe(index, [r.item for r in rows], share, kind), out)
+        found = lits.select("k", "o").mapInArrow(_probe(index, [r.item for r in rows], share, to_arrow_type(benchmark.schema["item"].dataType)), out)
     else:
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -165,7 +166,7 @@ def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     return found.distinct()
 
 
-def _probe(index: pd.DataFrame, names: list, share: float, kind: str):
+def _probe(index: pd.DataFrame, names: list, share: float, kind: pa.DataType):
     by_width = [(int(w), f["hash"].to_numpy(np.int64), f) for w, f in index.groupby("width")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +194,8 @@ def _probe(index: pd.DataFrame, names: list, share: float, kind: str):
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        types = [pa.int64(), None, pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array([int(v) if t == pa.int64() else bool(v) if t else v for v in c], t) for c, t in zip(cols, types, strict=True)],
+        types = [pa.int64(), kind, pa.int64(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array([bool(v) for v in c] if pa.types.is_boolean(t) else c, t) for c, t in zip(cols, types, strict=True)],
                                           names=["k", "item", "windows", "item_windows", "same_values"])
     return run
 

@@ -127,3 +127,40 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = lines.drop_repeated_lines(documents(spark, sf))
     return out.select(F.col("s").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("o").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _op2_sql() -> str:
+    """Host reputation in SQL: the same moments, level by level."""
+    fits = []
+    for text, says in sorted(RULES, key=lambda r: -len(r[0])):
+        at, begin = text.split("/", 1)
+        fits.append((f"(host = '{at}' or host like '%.{at}') and starts_with(path, '/{begin}')", text, says))
+    choose = lambda i, other: "case " + " ".join(f"when {f[0]} then '{f[i]}'" for f in fits) + f" else {other} end"
+
+    def weight(rows: str, by: str) -> str:
+        m = "(sum(bad) / sum(n))"
+        v = f"((sum(bad * bad / n) - sum(bad) * {m} - (count(*) - 1) * ({m} * (1 - {m}))) / ((sum(n) - sum(n * n) / sum(n) - count(*) + 1) * ({m} * (1 - {m}))))"
+        ok = f"{m} * (1 - {m}) > 0 and sum(n) - sum(n * n) / sum(n) - count(*) + 1 > 1e-9"
+        return (f"select {by} up, sum(bad) b, sum(n) c, case when {ok} then 1 / least(greatest({v}, 0.001), 0.9) - 1 else 2.0 end w from {rows} group by {by}")
+
+    def level(rows: str, key: str, by: str, prior: str, parents: str) -> str:
+        mu = f"((bad + w * {prior}) / (n + w))"
+        return f"select {key} nm, n, {mu} mu, {mu} - {iri_filter.Z} * sqrt({mu} * (1 - {mu}) / (n + w + 1)) bound from {rows} r join {parents} on r.{by} = up"
+
+    return f"""
+with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{iri_filter._UPPER}', '{iri_filter._LOWER}') host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
+     l as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) bad from labels group by doc_id),
+     h0 as (select host, cast(sum(bad) as double) bad, cast(count(*) as double) n from p join l on page_id = doc_id group by host),
+     h as (select *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') dom, list_last(string_split(host, '.')) suf from h0),
+     d as (select dom, suf, sum(bad) bad, sum(n) n from h group by dom, suf),
+     s as (select suf, 0 top, sum(bad) bad, sum(n) n from d group by suf),
+     wt as ({weight('s', 'top')}), ls as ({level('s', 'suf', 'top', '((b + 1) / (c + 2))', 'wt')}),
+     ws as (select x.*, mu prior from ({weight('d', 'suf')}) x join ls on up = nm), ld as ({level('d', 'dom', 'suf', 'prior', 'ws')}),
+     wd as (select x.*, mu prior from ({weight('h', 'dom')}) x join ld on up = nm), lh as ({level('h', 'host', 'dom', 'prior', 'wd')}),
+     j as (select p.*, coalesce(lh.bound, ld.bound, ls.bound) bound from p left join lh on host = lh.nm
+           left join ld on array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') = ld.nm left join ls on list_last(string_split(host, '.')) = ls.nm)
+select page_id, host, path, {choose(1, 'null')} as rule, {choose(2, f"case when bound > {iri_filter.LIMIT} then 'block' else 'allow' end")} as verdict from j"""
+
+
+SQL["op2_url_filter"] = _op2_sql()
