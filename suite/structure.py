@@ -174,7 +174,7 @@ def g10(spark, sf):
     return schema.link_terms(terms, vocab)
 
 
-@case("G11_sample_values", f"""select {n('total')} as p, min({money('o_totalprice')}) as sample, 'decimal' as o_type from orders
+@case("G11_sample_values", f"""select {n('total')} as p, cast(min(cast(o_totalprice as decimal(18,2))) as varchar) as sample, 'decimal' as o_type from orders
     union all select {n('orderDate')}, min(cast(cast(o_orderdate as date) as varchar)), 'date' from orders
     union all select {n('segment')}, min(c_mktsegment), 'string' from customer
     union all select {n('at')}, min(replace(cast(ts as varchar), ' ', 'T')), 'dateTime' from events""")

@@ -57,26 +57,40 @@ def iri(base: str, cols: list[Column], sep: str = "-", dtypes: list[T.DataType]
 
 
 def lexical(col: Column, xsd: str, dtype: T.DataType | None = None) -> Column:
-    """Text of a literal of the declared type."""
+    """Text of a literal of the declared type.
+
+    A value that cannot be read as a date, dateTime or decimal where one is declared has no text (NULL), so it gives no
+    triple; the conformance audit counts it. Nothing is rounded unless ``decimal(p,s)`` asks for it.
+    """
     name = xsd_name(xsd)
     if name == "date":
-        return col.cast("date").cast("string")
+        return col.try_cast("date").cast("string")
     if name == "time":
         return F.date_format(col, "HH:mm:ss") if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) \
             else col.cast("string")
     if name == "dateTime":
-        return F.replace(col.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+        return F.replace(col.try_cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
     if name == "decimal":
         exact = _DECIMAL.fullmatch(xsd)
         if exact:
-            return col.cast(f"decimal({exact[1]},{exact[2]})").cast("string")
+            return col.try_cast(f"decimal({exact[1]},{exact[2]})").cast("string")
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            # Floating text may carry an exponent, which a decimal literal must not.
-            plain = col.cast("decimal(38,10)").cast("string")
-            return F.regexp_replace(plain, r"\.?0+$", "")
+            # Floating text may carry an exponent, which a decimal literal must not. The first scale that holds the
+            # value is taken; beyond 38 digits there is no decimal.
+            exact_at = [col.try_cast(f"decimal(38,{scale})") for scale in (10, 0, 20, 30, 37)]
+            plain = F.coalesce(*[F.when(d.cast("double") == col.cast("double"), d.cast("string")) for d in exact_at])
+            return F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
     return col.cast("string")
 
 
+def present(col: Column, xsd: str, dtype: T.DataType | None = None) -> Column:
+    """Whether a value gives a literal of the declared type: it is there, and its text is too where that may fail."""
+    name = xsd_name(xsd)
+    sure = (name not in ("date", "dateTime", "decimal") or (name != "decimal" and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)))
+            or (xsd == "decimal" and not isinstance(dtype, (T.DoubleType, T.FloatType))))
+    return col.isNotNull() if sure else col.isNotNull() & lexical(col, xsd, dtype).isNotNull()
+
+
 def typed(col: Column, xsd: str, dtype: T.DataType | None = None) -> Column:
     """Typed value of a source column, equal to ``value(lexical(col, xsd), xsd)`` without the text.
 
@@ -87,9 +101,12 @@ def typed(col: Column, xsd: str, dtype: T.DataType | None = None) -> Column:
     wanted = f"decimal({exact[1]},{exact[2]})" if exact else value_type(xsd)
     if dtype is not None and dtype.simpleString() == wanted:
         return col
-    if xsd_name(xsd) == "time":
-        return lexical(col, xsd, dtype)
-    return col.cast(wanted)
+    name = xsd_name(xsd)
+    if name in ("date", "dateTime") or exact or isinstance(dtype, T.StringType) and name != "time":
+        return col.try_cast(wanted)
+    if name in ("integer", "long", "short") and isinstance(dtype, T.IntegralType):
+        return col.try_cast(wanted)
+    return value(lexical(col, xsd, dtype), xsd)
 
 
 def value_type(xsd: str) -> str:

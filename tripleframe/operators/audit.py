@@ -19,7 +19,6 @@ from tripleframe.model import RDF_TYPE, ClassMap, Link, Mapping, Tbox
 from tripleframe.plans.support import broadcast_if_small, union_all
 
 WARN_BELOW = 0.9
-RANK_GROUPS = 256
 
 
 def _count_if(cond: Column) -> Column:
@@ -403,28 +402,6 @@ def reconcile_counts(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return _two_counts(expected, "expected", stored, "stored").select("expected", "stored", state.alias("state"))
 
 
-def limit_consistent(df: DataFrame, keys: list[Column | str], n: int, offset: int = 0) -> DataFrame:
-    """Whether a limited, ordered result equals the slice of the full order; one row.
-
-    The order is completed with all other columns. Positions are found in two steps: rows are ranked
-    within hash groups first, and only the first ``n + offset`` of each group are ranked together, so the
-    full order is never built in one place.
-    """
-    last = n + offset
-    order = [F.col(k) if isinstance(k, str) else k for k in keys]
-    order += [F.col(c).asc() for c in df.columns]
-    limited = df.orderBy(*order).offset(offset).limit(n)
-    group = F.pmod(F.xxhash64(*df.columns), F.lit(RANK_GROUPS))
-    near = df.withColumn("__pos", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(
-        F.col("__pos") <= last).drop("__pos")
-    full = near.withColumn("__pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    sliced = full.where((F.col("__pos") > offset) & (F.col("__pos") <= last)).drop("__pos")
-    sides = limited.withColumn("__side", F.lit(1)).unionByName(sliced.withColumn("__side", F.lit(-1)))
-    per = sides.groupBy(*df.columns).agg(F.sum("__side").alias("__d"), F.count(F.lit(1)).alias("__c"))
-    return per.agg(_nothing(F.col("__c")).alias("compared"), _count_if(F.col("__d") != 0).alias("different")).select(
-        (F.col("compared") / 2).cast("bigint").alias("rows"), (F.col("different") == 0).alias("consistent"))
-
-
 def expect(actual: DataFrame, cases: list[tuple[str, int]]) -> DataFrame:
     """Acceptance table: ``actual`` is (``name``, ``n``); a case that is not in it counts as 0."""
     wanted = actual.sparkSession.createDataFrame(cases, "name string, expected bigint")
@@ -461,9 +438,10 @@ def lint_graph(triples: DataFrame) -> DataFrame:
 IDENTIFIER_ENDINGS = ("Id", "ID", "_id", "Code", "Number", "No")
 
 
-def _named_like_key(name: str) -> bool:
-    name = name.strip()
-    return name.lower() == "id" or (len(name) > 2 and name.endswith(IDENTIFIER_ENDINGS))
+def _named_like_key(name: Column) -> Column:
+    """Whether a column of names holds an identifier's: the plain name in any case, or an ending with something in front."""
+    bare = F.trim(name)
+    return (F.lower(bare) == "id") | (F.length(bare) >= 3) & bare.rlike(f"({'|'.join(IDENTIFIER_ENDINGS)})$")
 
 
 def candidate_keys(df: DataFrame) -> DataFrame:
@@ -480,8 +458,7 @@ def candidate_keys(df: DataFrame) -> DataFrame:
         _nothing(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"),
         F.count("v").alias("distinct"))
     good = [f.name for f in plain if isinstance(f.dataType, (T.StringType, T.IntegralType))]
-    typed, named = F.col("column").isin(good), F.col("column").isin(
-        [f.name for f in plain if _named_like_key(f.name)])
+    typed, named = F.col("column").isin(good), _named_like_key(F.col("column"))
     unique = (F.col("nulls") == 0) & (F.col("distinct") == F.col("rows"))
     return out.select("column", "rows", "nulls", "distinct", (typed & named).alias("name_says_key"),
                       (typed & unique).alias("values_say_key"))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tripleframe.plans.support import BROADCAST_ROWS, broadcast_if_small, cut_lineage, union_all
 
-MAX_HOPS, MAX_PATHS = 8, 2000
-
 
 def pattern_text(nodes: Column, preds: Column, fwd: Column) -> Column:
     """``{A} ->p-> {B} ->^q-> {C}``"""
@@ -20,17 +18,16 @@ def pattern_text(nodes: Column, preds: Column, fwd: Column) -> Column:
     return F.concat(F.lit("{"), F.element_at(nodes, 1), F.lit("}"), F.array_join(steps, ""))
 
 
-def path_library(edges: DataFrame, h: int = 4, cap: int | None = 300, seeds: DataFrame | None = None) -> DataFrame:
+def path_library(edges: DataFrame, h: int = 4, cap: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """All simple paths of 1 to ``h`` hops, either way along an edge, ordered by (hops, text).
 
-    ``cap`` keeps the first so many of that order. Since shorter paths come first, the loop can stop
-    as soon as the shorter ones alone fill it. ``seeds`` (one column) restricts where paths start, which
+    All of them by default. ``cap`` keeps the first so many of that order and adds a column ``truncated``, which says on
+    every row whether there are more. Since shorter paths come first, the loop can stop
+    as soon as the shorter ones alone exceed it. ``seeds`` (one column) restricts where paths start, which
     is how to use it on data edges.
     """
-    if not 1 <= h <= MAX_HOPS:
-        raise ValueError(f"hops must be between 1 and {MAX_HOPS}")
-    if cap is not None and not 1 <= cap <= MAX_PATHS:
-        raise ValueError(f"cap must be between 1 and {MAX_PATHS}")
+    if h < 1 or (cap is not None and cap < 1):
+        raise ValueError("hops and cap start at 1")
     def way(a, b, forward):
         return F.struct(F.col(a).alias("a"), "p", F.col(b).alias("b"), F.lit(forward).alias("f"))
 
@@ -58,10 +55,10 @@ def path_library(edges: DataFrame, h: int = 4, cap: int | None = 300, seeds: Dat
         levels.append(level.select(F.lit(hop).alias("hops"), pattern_text(
             F.col("nodes"), F.col("preds"), F.col("fwd")).alias("pattern"), "nodes", "preds", "fwd"))
         found += n
-        if not n or (cap is not None and found >= cap):
+        if not n or (cap is not None and found > cap):
             break
     out = union_all(levels)
-    return out if cap is None else out.orderBy("hops", "pattern").limit(cap)
+    return out if cap is None else out.orderBy("hops", "pattern").limit(cap).withColumn("truncated", F.lit(found > cap))
 
 
 def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:

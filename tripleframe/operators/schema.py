@@ -59,9 +59,14 @@ def observed_domain_range(triples: DataFrame) -> DataFrame:
 
 
 def sample_values(triples: DataFrame, props: list[str]) -> DataFrame:
-    """Smallest value and literal type of each property."""
-    return triples.where(F.col("p").isin(props) & (F.col("o_kind") == "lit")).groupBy("p").agg(
-        F.min(F.struct("o", "o_type")).alias("m")).select("p", F.col("m.o").alias("sample"), F.col("m.o_type").alias("o_type"))
+    """Smallest value of each property and literal type: numbers by value, others as text (which orders dates too).
+
+    Text that is no number though its type says so comes after all numbers.
+    """
+    number = F.when(F.col("o_type").isin("integer", "long", "short", "decimal", "double", "float"), F.col("o").try_cast("double"))
+    least = F.min(F.struct(number.isNull().alias("text"), number.alias("number"), F.col("o")))
+    return triples.where(F.col("p").isin(props) & (F.col("o_kind") == "lit")).groupBy("p", "o_type").agg(least.alias("m")).select(
+        "p", F.col("m.o").alias("sample"), "o_type")
 
 
 def namespaces(iris: DataFrame) -> DataFrame:

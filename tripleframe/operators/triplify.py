@@ -221,7 +221,7 @@ def _class_outputs(m: Mapping, cm: ClassMap, w: Widening) -> list[tuple[Output,
         item(pred, o, "lit", terms.xsd_name(xsd))
         for extra in w.domain.get(pred, ()):
             if extra not in types:
-                item(RDF_TYPE, F.when(F.col(col).isNotNull(), F.lit(extra)), "iri", None, extra)
+                item(RDF_TYPE, F.when(terms.present(F.col(col), xsd, cm.df.schema[col].dataType), F.lit(extra)), "iri", None, extra)
     for prop, obj in cm.consts.items():
         pred, obj = m.iri(prop), m.iri(obj)
         for p in [pred, *w.super_props.get(pred, ())]:
@@ -371,9 +371,9 @@ def mapping_stats(m: Mapping, tbox: Tbox | None = None) -> DataFrame:
             1 + len(w.super_props.get(m.iri(p), ())) + len(set(w.domain.get(m.iri(p), ())) - set(w.types(m, cm)))
             for p in cm.consts)
         per_row = F.lit(types).cast("bigint")
-        for prop, (col, _) in cm.props.items():
+        for prop, (col, xsd) in cm.props.items():
             extra = len(set(w.domain.get(m.iri(prop), ())) - set(w.types(m, cm)))
-            per_row = per_row + F.when(F.col(col).isNotNull(), 1 + extra).otherwise(0)
+            per_row = per_row + F.when(terms.present(F.col(col), xsd, cm.df.schema[col].dataType), 1 + extra).otherwise(0)
         frames.append(_keyed(cm.df.select(*used), cm.pk).agg(
             F.coalesce(F.sum(per_row), F.lit(0).cast("bigint")).alias("n_triples"),
         ).select(F.lit(f"map-{cm.name.lower()}").alias("mapping"), "n_triples"))

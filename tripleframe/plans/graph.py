@@ -17,8 +17,6 @@ from tripleframe.plans.patterns import (
     Literal, Pattern, hidden, in_join_order, is_var, longest_chain, normalise,
 )
 
-MAX_HOPS = 8
-
 
 class Graph(ABC):
     @staticmethod
@@ -41,13 +39,10 @@ class Graph(ABC):
     def _count(self, patterns: list[Pattern], by: list[str], typed: dict[str, str]) -> DataFrame:
         """Partly grouped counts ``__n`` of bindings, with the columns ``by``."""
 
-    @abstractmethod
-    def _is_edge(self, pattern: Pattern, patterns: list[Pattern]) -> bool: ...
-
     # ------------------------------------------------------------ matching
 
     def match(self, *patterns, typed: dict[str, str] | None = None, with_types: bool = False,
-              max_hops: int = MAX_HOPS) -> DataFrame:
+              max_hops: int | None = None) -> DataFrame:
         """Bindings of a set of patterns.
 
         ``typed`` asks for typed values instead of text for some variables, e.g. ``{"total": "decimal"}``.
@@ -62,17 +57,18 @@ class Graph(ABC):
         keep = [c for n in names for c in ([n, f"{n}__type"] if with_types else [n])]
         return out.select(*keep)
 
-    def _checked(self, patterns, max_hops: int) -> list[Pattern]:
+    def _checked(self, patterns, max_hops: int | None) -> list[Pattern]:
         ps = normalise(patterns, self.iri)
         if not ps:
             raise ValueError("at least one pattern is needed")
-        hops = longest_chain(ps, lambda p: self._is_edge(p, ps))
-        if hops > max_hops:
+        # The same for either kind of graph: a step counts if its object goes on as a node, whatever a schema may know.
+        hops = longest_chain(ps, lambda p: sum(p.o in q.ends() for q in ps) > 1)
+        if max_hops is not None and hops > max_hops:
             raise ValueError(f"{hops} hops exceed the limit of {max_hops}")
         return ps
 
     def count_by(self, by: list[str], *patterns, typed: dict[str, str] | None = None,
-                 max_hops: int = MAX_HOPS) -> DataFrame:
+                 max_hops: int | None = None) -> DataFrame:
         """Number of bindings per value of some variables: ``match(...).groupBy(by).count()`` as ``n``.
 
         Bindings are never written out. A variable is counted away as soon as no later pattern needs it, so
@@ -188,10 +184,6 @@ class StoredGraph(Graph):
             return RDF_TYPE
         return name if "://" in name or name.startswith(("urn:", "_:")) else self.ns + name
 
-    def _is_edge(self, pattern: Pattern, patterns: list[Pattern]) -> bool:
-        # Without a schema, an object that occurs nowhere else is taken for a literal value.
-        return sum(pattern.o in p.ends() for p in patterns) > 1
-
     def _pattern(self, p: Pattern) -> DataFrame:
         rows, cols, seen = self.df, [], set()
 
@@ -272,15 +264,17 @@ class StoredGraph(Graph):
         return out.select(*[(terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v) for v in by], "__n")
 
     def star(self, cls: str, props: dict[str, str]) -> DataFrame:
-        """Instances of a class with several single-valued properties, in one aggregate.
+        """Instances of a class with several properties, as ``match`` gives them, in one aggregate.
 
-        ``props`` maps output column to predicate. One shuffle instead of a join per property; an
-        instance that lacks a property gets NULL.
+        ``props`` maps output column to predicate. One shuffle by subject instead of a join per property: values are gathered
+        per subject and multiplied out again, so a property with two values gives two rows, and a subject without one of them none.
         """
         preds = {out: self.iri(p) for out, p in props.items()}
         rows = self.df.where(F.col("p").isin([RDF_TYPE, *preds.values()]))
         is_cls = (F.col("p") == RDF_TYPE) & (F.col("o") == self.iri(cls))
         out = rows.groupBy(F.col("s").alias("x")).agg(
             F.max(is_cls).alias("__is"),
-            *[F.max(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in preds.items()])
-        return out.where("__is").drop("__is")
+            *[F.collect_list(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in preds.items()]).where("__is").drop("__is")
+        for c in preds:
+            out = out.withColumn(c, F.explode(c))
+        return out

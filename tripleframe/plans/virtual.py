@@ -168,9 +168,6 @@ class VirtualGraph(Graph):
     def iri(self, name: str) -> str:
         return self.m.iri(name)
 
-    def _is_edge(self, pattern: Pattern, patterns: list[Pattern]) -> bool:
-        return any(pattern.p in self._preds(l) for l in self.m.links) or is_var(pattern.p)
-
     def _preds(self, link: Link) -> list[str]:
         p = self.m.iri(link.edge.name)
         return [p, *self.w.super_props.get(p, ())]
@@ -186,9 +183,11 @@ class VirtualGraph(Graph):
             s = Key(m.template(cm), tuple(cm.pk))
             types = w.types(m, cm)
 
-            def add(pred, o, col=None, cm=cm, s=s):
+            def add(pred, o, col=None, xsd=None, cm=cm, s=s):
                 piece = Piece(cm.df, cm, None, cm.unique)
                 piece.where += [F.col(c).isNotNull() for c in dict.fromkeys([*cm.pk, *([col] if col else [])])]
+                if xsd is not None:
+                    piece.where.append(terms.present(F.col(col), xsd, cm.df.schema[col].dataType))
                 out.append((piece, s, pred, o))
 
             if wants_type:
@@ -197,11 +196,11 @@ class VirtualGraph(Graph):
             for prop, (col, xsd) in cm.props.items():
                 pred = m.iri(prop)
                 if fits(pred):
-                    add(pred, Text(col, xsd), col)
+                    add(pred, Text(col, xsd), col, xsd)
                 if wants_type:
                     for t in w.domain.get(pred, ()):
                         if t not in types:
-                            add(RDF_TYPE, Const(t), col)
+                            add(RDF_TYPE, Const(t), col, xsd)
             for prop, obj in cm.consts.items():
                 pred = m.iri(prop)
                 for q in [pred, *w.super_props.get(pred, ())]:

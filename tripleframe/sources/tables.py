@@ -2,9 +2,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tripleframe.model import TRIPLE_COLS
+from tripleframe.plans.support import cut_lineage
+
 FETCH_SIZE = 10_000
 
 
@@ -36,8 +38,8 @@ def bind(df: DataFrame, column_mappings: dict[str, str]) -> DataFrame:
 def cap_rows(df: DataFrame, n: int, keys: list[str] | None = None) -> tuple[DataFrame, bool]:
     """The first ``n`` rows by ``keys`` (then all other columns), and whether there were more."""
     order = list(dict.fromkeys([*(keys or []), *df.columns]))
-    more = df.limit(n + 1).count() > n
-    return df.orderBy(*order).limit(n), more
+    first = cut_lineage(df.orderBy(*order).limit(n + 1))
+    return first.orderBy(*order).limit(n), first.count() > n
 
 
 def to_csv(df: DataFrame, path: str) -> None:
@@ -54,13 +56,11 @@ def preview(triples: DataFrame, q: str = "", limit: int = 100, offset: int = 0)
 
     ``has_more`` says on every row whether another page follows.
     """
-    limit, offset, q = max(1, min(limit, 500)), max(0, offset), q.strip().lower()
-    rows = triples.select("s", "p", "o")
-    if q:
-        rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "s", "p", "o")), F.lit(q)))
-    page = rows.orderBy("s", "p", "o").offset(offset).limit(limit + 1)
-    # At most 501 rows are left, so ranking them in one place is nothing.
-    at = Window.partitionBy(F.lit(1)).orderBy("s", "p", "o")
-    every = Window.partitionBy(F.lit(1))
-    return page.select("s", "p", "o", (F.count(F.lit(1)).over(every) > limit).alias("has_more"),
-                       F.row_number().over(at).alias("n")).where(F.col("n") <= limit).drop("n")
+    if limit < 1 or offset < 0:
+        raise ValueError("a page holds at least one row and starts at 0 or later")
+    needle = q.strip().lower()
+    text = F.lower(F.concat_ws(" ", *TRIPLE_COLS[:3]))
+    found = triples.select(*TRIPLE_COLS[:3]).where(text.contains(needle) if needle else F.lit(True)).orderBy(*TRIPLE_COLS[:3])
+    # The row after the page, if there is one, is the only thing to know about what follows.
+    following = found.offset(offset + limit).limit(1).agg((F.count(F.lit(1)) > 0).alias("has_more"))
+    return found.offset(offset).limit(limit).join(F.broadcast(following))

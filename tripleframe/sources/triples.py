@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from tripleframe.functions.terms import XSD_NS, nt_unescape, object_to_nt
 from tripleframe.model import RDF_TYPE, TRIPLE_COLS, TRIPLE_SCHEMA
 
-# The forms of a line and of its object in N-Triples. Possessive quantifiers, because Java
-# matches them in a loop; others recurse once per escape and overflow the stack on long texts.
-LINE = r"^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(.+)$"
+# Terms of the public N-Triples grammar (IRIREF, BLANK_NODE_LABEL, STRING_LITERAL_QUOTE, LANGTAG). Possessive
+# quantifiers, because Java matches them in a loop; others recurse once per escape and overflow the stack on long texts.
+UCHAR = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+IRIREF = rf"<(?:[^\x00-\x20<>\"{{}}|^`\\]|{UCHAR})*+>"
+LABEL = r"_:[\p{L}\p{Nd}_](?:[\p{L}\p{Nd}\p{M}_.\-\u00B7]*[\p{L}\p{Nd}\p{M}_\-\u00B7])?"
+LINE = rf"^({IRIREF}|{LABEL})[ \t]*({IRIREF})[ \t]*(\S.*)$"
 QUOTED = r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 TAG = r"^(?:\^\^<([^>]*)>|(@[A-Za-z0-9-]+))?$"
-NODE = r"^(<[^<>\"\s]*>|_:\S+)$"
+NODE = rf"^(?:{IRIREF}|{LABEL})$"
 
 
 def to_nt(triples: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def parse_nt(lines: DataFrame) -> DataFrame:
               .when(kind.startswith(XSD_NS), F.substr(kind, F.lit(len(XSD_NS) + 1)))
               .when(kind != "", kind).otherwise("string"))
     return cut.select(
-        problem.alias("problem"), "line", _unwrap(F.col("s")).alias("s"), "p",
+        problem.alias("problem"), "line", _unwrap(F.col("s")).alias("s"), _unwrap(F.col("p")).alias("p"),
         F.when(F.col("is_lit"), nt_unescape(F.col("text"))).otherwise(_unwrap(F.col("o"))).alias("o"),
         F.when(F.col("is_lit"), "lit").otherwise("iri").alias("o_kind"), o_type.alias("o_type"))
 
@@ -68,10 +71,10 @@ def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
             parsed.where("problem is not null and problem <> 'comment'").select("problem", "line"))
 
 
-def ingest_report(spark: SparkSession, path: str, samples: int = 3) -> DataFrame:
-    """One row per outcome: number of lines and the first few examples."""
+def ingest_report(spark: SparkSession, path: str, samples: int = 3, width: int | None = None) -> DataFrame:
+    """One row per outcome: number of lines and the first few examples, whole or cut to ``width`` characters."""
     parsed = parse_nt(spark.read.text(path)).select(F.coalesce("problem", F.lit("triple")).alias("outcome"),
-                                                    F.substr("line", F.lit(1), F.lit(100)).alias("line"))
+                                                    F.col("line") if width is None else F.left("line", F.lit(width)).alias("line"))
     from pyspark.sql import Window
     counts = parsed.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
     few = parsed.where("outcome <> 'triple'").withColumn("r", F.row_number().over(

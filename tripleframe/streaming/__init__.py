@@ -1,4 +1,4 @@
 """Continuous triple generation."""
-from tripleframe.streaming.triples import stream_triples
+from tripleframe.streaming.triples import complete_edges, missing_edges, stream_triples
 
-__all__ = ["stream_triples"]
+__all__ = ["complete_edges", "missing_edges", "stream_triples"]

@@ -2,26 +2,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tripleframe.model import ClassMap, Mapping
+from tripleframe.model import TRIPLE_COLS, ClassMap, Mapping
 from tripleframe.operators import triplify
 from tripleframe.plans.support import union_all
+from tripleframe.sources.triples import load_triples
 
 
-def triple_stream(df: DataFrame, m: Mapping, cm: ClassMap, event_time: str | None = None,
-                  delay: str = "1 hour", edges: tuple[str, ...] = ()) -> DataFrame:
+def triple_stream(df: DataFrame, m: Mapping, cm: ClassMap, distinct: bool | None = None, edges: tuple[str, ...] = ()) -> DataFrame:
     """Class and literal triples of a streaming table, and those of its foreign-key ``edges``.
 
-    Without ``event_time`` this is a stateless projection; edges look their parents up in the static tables
-    of ``m``, as they are when a batch runs. With ``event_time``, rows that repeat key and event time within
-    ``delay`` are dropped; the watermark lets Spark forget old keys, so state does not grow with the stream.
+    With a key declared unique this is a stateless projection, however old a row is. ``distinct`` (by default, when it is not
+    declared) drops triples that were there before, by state that holds every triple's hash and is never forgotten: no
+    watermark, so a late row is not lost, but the state grows with the graph. Edges look their parents up in the
+    static tables of ``m``, as they are when a batch runs; :func:`complete_edges` adds those whose parent came later.
     """
-    if event_time is not None:
-        # A watermark needs an instant; zone-less timestamps are read in the session's time zone.
-        df = df.withColumn("__at", F.col(event_time).cast("timestamp")).withWatermark("__at", delay)
-        df = df.dropDuplicates([*cm.pk, "__at"])
     live = ClassMap(cm.name, df, cm.pk, cm.path, cm.props, cm.sep, True, cm.consts)
     structs = [c for _, c in triplify._class_outputs(m, live, triplify.Widening.none())]
     frames = [triplify._class_frame(m, live, structs)]
@@ -32,17 +28,30 @@ def triple_stream(df: DataFrame, m: Mapping, cm: ClassMap, event_time: str | Non
             if link.owner is not live:
                 raise ValueError(f"edge {link.edge.name} is not a foreign key in the table of {cm.name}")
             frames.append(triplify.edge_triples(moving, link.edge))
-    return union_all(frames)
+    out = union_all(frames)
+    return out.dropDuplicates(TRIPLE_COLS) if (not cm.unique if distinct is None else distinct) else out
 
 
-def stream_triples(df: DataFrame, m: Mapping, cm: ClassMap, path: str, checkpoint: str,
-                   event_time: str | None = None, delay: str = "1 hour", edges: tuple[str, ...] = (),
-                   once: bool = True) -> StreamingQuery:
+def stream_triples(df: DataFrame, m: Mapping, cm: ClassMap, path: str, checkpoint: str, distinct: bool | None = None,
+                   edges: tuple[str, ...] = (), once: bool = True) -> StreamingQuery:
     """Write the triples of a stream to a parquet store; ``once`` takes what is there and stops.
 
     The checkpoint folder and the sink's commit log make every input file count exactly once.
     """
-    out = triple_stream(df, m, cm, event_time, delay, edges)
+    out = triple_stream(df, m, cm, distinct, edges)
     writer = (out.writeStream.format("parquet").outputMode("append").partitionBy("p")
               .option("path", path).option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+
+
+def missing_edges(m: Mapping, path: str, edges: tuple[str, ...]) -> DataFrame:
+    """Triples of ``edges`` of the static mapping that a streamed store does not hold, such as those whose parent came late."""
+    spark = m.classes[0].df.sparkSession
+    wanted = union_all([triplify.edge_triples(m, e) for e in m.edges if e.name in edges])
+    have = load_triples(spark, path).where("o_kind = 'iri'").select("s", "p", "o")
+    return wanted.join(have, ["s", "p", "o"], "left_anti").select(*TRIPLE_COLS)
+
+
+def complete_edges(m: Mapping, path: str, extra: str, edges: tuple[str, ...]) -> None:
+    """Write what :func:`missing_edges` finds to ``extra``, a store of its own beside the one a stream writes to."""
+    missing_edges(m, path, edges).write.mode("overwrite").partitionBy("p").parquet(extra)
