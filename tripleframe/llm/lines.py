@@ -42,16 +42,27 @@ class Lines(NamedTuple):
     number: np.ndarray  # of the line in its text
 
 
-def line_sets(os: list[bytes], counts: np.ndarray | None = None) -> Lines:
-    """Words in lower case (A to Z), rare ones first if ``counts`` are given, else by hash."""
+def line_sets(os: list[bytes], counts: np.ndarray | None = None, only: np.ndarray | None = None) -> Lines:
+    """Words in lower case (A to Z), rare ones first if ``counts`` are given, else by hash; all lines, or those with a word of ``only`` (rising)."""
     b = W.batch([o.lower() for o in os])
     if not len(b.hashes):
         return Lines(b.hashes, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     breaks = np.cumsum(np.frombuffer(b.data, np.uint8) == 10, dtype=np.int64)
-    line = breaks[b.starts]
+    line, text = breaks[b.starts], b.text
+    if only is not None:
+        mask = np.zeros(1 << 20, bool)
+        mask[only & np.uint64((1 << 20) - 1)] = True
+        near = np.flatnonzero(mask[b.hashes & np.uint64((1 << 20) - 1)])
+        near = near[np.isin(b.hashes[near], only)]
+        with_one = np.zeros(int(breaks[-1]) + 1, bool)
+        with_one[line[near]] = True
+        keep = with_one[line]
+        b, line, text = b._replace(hashes=b.hashes[keep]), line[keep], text[keep]
+        if not len(line):
+            return Lines(b.hashes, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     weight = [counts[(b.hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]] if counts is not None else []
     order = np.lexsort((b.hashes, *weight, line))
-    h, line, text = b.hashes[order], line[order], b.text[order]
+    h, line, text = b.hashes[order], line[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     h, line, text = h[new], line[new], text[new]
@@ -94,7 +105,20 @@ def _flat(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _prefixes(counts: np.ndarray, percent: int, buckets: int):
+def _asked_words(counts: np.ndarray, percent: int):
+    """Prefix words of the asked lines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, os, rows in texts(batches):
+            asked = [b"\n".join(parts[j] for j in want) for parts, want in ((o.split(b"\n"), w) for o, w in zip(os, rows.column("ask").to_pylist(), strict=True))]
+            x = line_sets(asked, counts)
+            size = np.diff(x.first)
+            take = size - _least(size, percent) + 1
+            at = np.repeat(x.first[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(x.hashes[at]).view(np.int64))], names=["w"])
+    return run
+
+
+def _prefixes(counts: np.ndarray, percent: int, buckets: int, only: np.ndarray | None = None):
     """Packed prefix words of lines, the first of equal lines in a batch, a row per bucket; and the lines known to go.
 
     With a column ``ask``, only its lines look for partners, and equal lines of the batch are not looked at again.
@@ -103,7 +127,7 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int):
         for ks, os, rows in texts(batches):
             order = np.argsort(np.array(ks, np.int64), kind="stable")
             ks = np.array(ks, np.int64)[order]
-            x = line_sets([os[i] for i in order], counts)
+            x = line_sets([os[i] for i in order], counts, only)
             if not len(x.text):
                 continue
             size = np.diff(x.first)
@@ -125,6 +149,11 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int):
             line = np.repeat(np.arange(len(size)), take)
             i = np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
             h = x.hashes[x.first[line] + i]
+            if only is not None:
+                keep = np.isin(h, only)
+                line, i, h = line[keep], i[keep], h[keep]
+            if not len(h):
+                continue
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             line, i, h, bucket = line[order], i[order], h[order], bucket[order]
@@ -212,8 +241,9 @@ def _pairs(percent: int, most: int | None):
                 if done.all():
                     break
         q, p = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (qs, ps))
-        settled = np.unique(q[same(q, p)])  # equal sets, by 96 bits and their size
-        known.append((keys[settled], line[settled]))
+        settled = np.unique(q[same(q, p)])  # equal sets, by 96 bits and their size; they meet at every word and are told of once
+        told = settled[i[settled] == 0]
+        known.append((keys[told], line[told]))
         open_ = ~np.isin(q, settled)
         q, p = q[open_], p[open_]
         order = np.lexsort((time[p], q))
@@ -303,7 +333,11 @@ def repeated_lines(base: DataFrame, percent: int) -> DataFrame:
     gone = gone.unionByName(found.where("k2 is null").select("k", "line"))
     rest = cut_lineage(found.where("more").select("k", "line").distinct().join(gone, ["k", "line"], "left_anti").groupBy("k").agg(F.collect_list("line").alias("ask")))
     if rest.limit(1).count():
-        asked = base.join(_small(rest, "ask"), "k", "left").select("k", "o", "ask").mapInArrow(_prefixes(counts, percent, buckets), _PACKED)
+        small, only = _small(rest, "ask"), None
+        words = cut_lineage(base.join(small, "k").select("o", "ask", "k").mapInArrow(_asked_words(counts, percent), "w long").distinct())
+        if words.count() <= BROADCAST_BYTES // 8:  # else every line is sent again
+            only = np.sort(np.array([r.w for r in words.collect()], np.int64).view(np.uint64))
+        asked = base.join(small, "k", "left").select("k", "o", "ask").mapInArrow(_prefixes(counts, percent, buckets, only), _PACKED)
         found = cut_lineage(asked.groupBy("b").applyInArrow(_pairs(percent, None), schema).select("k", "line", "k2", "line2").distinct())
         gone = gone.unionByName(similar(found))
     return gone.distinct()
