@@ -6,7 +6,8 @@ similar two sets are. Registers are banded: sets that agree in a whole band meet
 
 * Equal sets are one class from the start; one of it stands for all.
 * In every bucket all others are compared with one member only, drawn anew for each bucket, so a bucket of n takes n - 1 comparisons.
-* What is linked is merged; only pairs that share a bucket and are still apart are compared after that, so no link is lost.
+* What is linked is merged, and what is still apart in a bucket is held against another member drawn, twice over.
+* Only pairs that share a bucket and are then still apart are all compared, so no link is lost.
 * A comparison first estimates the Jaccard similarity from both registers by maximum likelihood, drops pairs far below the
   threshold, and then counts both whole sets.
 """
@@ -25,7 +26,9 @@ from tripleframe.plans.support import cut_lineage
 
 BANDS, ROWS = 48, 6  # two sets of similarity 0.8 share no band with a chance of 5e-7
 BASE, RATE, TOP = 1.02, 20.0, 65_535
-MARGIN = 0.15  # six deviations of the estimate
+MARGIN = 0.118  # five deviations of the estimate
+DRAWS = 2  # further rounds of one comparison per bucket before all that is left
+BROADCAST_KEYS = 500_000  # of eight bytes
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -174,26 +177,42 @@ def near_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
                          .where("m > 1").select("bh", F.col("p.k").alias("pivot")))
     shared = cut_lineage(bands.join(pivots, "bh"))
 
+    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (``a``, ``b``) that are linked."""
         r = lambda x: reps.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
         t = lambda x: base.select(F.col("k").alias(x), F.col("o").alias("o" + x))
-        likely = cut_lineage(pairs.join(r("a"), "a").join(r("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(
+        likely = cut_lineage(pairs.join(r("a"), "a").join(r("b"), "b").where(alike("na", "nb")).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(
             _estimated(percent / 100 - MARGIN), "a long, b long"))
         need = cut_lineage(likely.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-        own = base.select("k", "o").join(need, "k").dropDuplicates(["k"])
+        # Few keys are sent to the texts, many meet them by a shuffle.
+        own = base.select("k", "o").join(F.broadcast(need) if need.count() <= BROADCAST_KEYS else need, "k").dropDuplicates(["k"])
         t = lambda x: own.select(F.col("k").alias(x), F.col("o").alias("o" + x))
         return cut_lineage(likely.join(t("a"), "a").join(t("b"), "b").select("a", "b", "oa", "ob").mapInArrow(_confirmed(width, percent), "a long, b long"))
 
     first = links(shared.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct())
-    label = components(first)
-    spread = shared.select("bh", "k", "pivot").join(label, "k", "left").select("bh", "k", "pivot", F.coalesce("c", "k").alias("c"))
-    open_ = cut_lineage(spread.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bh"))
-    spread = cut_lineage(spread.join(open_, "bh"))
-    other = spread.select("bh", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("pivot").alias("q"))
-    apart = spread.select("bh", F.col("k").alias("a"), "c", "pivot").join(other, "bh").where("a < b and c <> cb and a <> pivot and b <> pivot").select("a", "b").distinct()
-    second = links(apart)
-    label = components(first.unionByName(second)) if second.limit(1).count() else label
+    found = first
+
+    def apart(draw: int) -> DataFrame:
+        """Members of buckets that hold several components, and a member drawn for each bucket."""
+        spread = shared.select("bh", "k", "pivot").join(label, "k", "left").select("bh", "k", "pivot", F.coalesce("c", "k").alias("c"))
+        drawn = F.min(F.struct(F.xxhash64("k", "bh", F.lit(draw)).alias("x"), F.col("k").alias("q"), F.col("c").alias("cq")))
+        open_ = cut_lineage(spread.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), drawn.alias("d")).where("lo <> hi").select("bh", "d.q", "d.cq"))
+        return spread.join(open_, "bh")
+
+    label = components(found)
+    for draw in range(DRAWS):
+        more = links(apart(draw).where("c <> cq").select(F.least("k", "q").alias("a"), F.greatest("k", "q").alias("b")).distinct())
+        if more.limit(1).count() == 0:
+            continue
+        found = found.unionByName(more)
+        label = components(found)
+    spread = cut_lineage(apart(DRAWS).join(reps.select("k", "n"), "k").select("bh", "k", "c", "pivot", "n"))
+    other = spread.select("bh", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    apart_ = spread.select("bh", F.col("k").alias("a"), "c", "pivot", "n").join(other, "bh").where(F.expr("a < b and c <> cb and a <> pivot and b <> pivot") & alike("n", "nb"))
+    second = links(apart_.select("a", "b").distinct())
+    label = components(found.unionByName(second)) if second.limit(1).count() else label
     whole = sketches.select("k", F.col("n").alias("n_shingles")).join(members, "k", "left").select("k", "n_shingles", F.coalesce("rep", "k").alias("rep"))
     # A class is named by its smallest member, so the smallest label of a component is its smallest key.
     return whole.join(label.select(F.col("k").alias("rep"), "c"), "rep", "left").select("k", "n_shingles", F.coalesce("c", "rep").alias("c"))
