@@ -177,6 +177,29 @@ def test_second_round(spark, monkeypatch):
     assert got == line_repeats(texts)
 
 
+@pytest.mark.parametrize("apart", [True, False])
+def test_second_round_tells_of_equal_lines(spark, monkeypatch, apart):
+    """Lines that share rare words and differ in frequent ones, then one of them again: too many earlier candidates to meet it in the first round."""
+    monkeypatch.setattr(lines, "EARLIEST", 1)
+    monkeypatch.setattr(lines, "_SMALL", 4)
+    rare = [f"r{i}" for i in range(53)]
+    own = [[f"p{i}x{j}" for j in range(7)] for i in range(16)]
+    texts = {i: " ".join(rare + w) for i, w in enumerate(own)} | {i: " ".join(rare + own[i - 4]) for i in range(16, 20)}
+    texts[20] = " ".join(w for ws in own for w in ws * 200)
+    want = line_repeats(texts)
+    assert [i for i, gone in want.items() if gone] == [16, 17, 18, 19]
+    df = frame(spark, texts)
+    rows = df.repartition(21, "s") if apart else df.coalesce(1)
+    if not apart:  # the first round sees every line apart from its equal, the second both in one batch
+        first = lines._prefixes
+
+        def prefixes(counts, percent, buckets, *only):
+            run = first(counts, percent, buckets, *only)
+            return run if only else lambda batches: (out for b in batches for i in range(b.num_rows) for out in run(iter([b.slice(i, 1)])))
+        monkeypatch.setattr(lines, "_prefixes", prefixes)
+    assert {r.s: r.removed for r in lines.drop_repeated_lines(rows).collect()} == want
+
+
 def test_leaks(spark, docs, odd, empty):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op5_benchmark_decontamination"](spark, SF).collect()}

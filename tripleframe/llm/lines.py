@@ -121,7 +121,7 @@ def _asked_words(counts: np.ndarray, percent: int):
 def _prefixes(counts: np.ndarray, percent: int, buckets: int, only: np.ndarray | None = None):
     """Packed prefix words of lines, the first of equal lines in a batch, a row per bucket; and the lines known to go.
 
-    With a column ``ask``, only its lines look for partners, and equal lines of the batch are not looked at again.
+    With a column ``ask``, only its lines look for partners, and only they are known to go.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ks, os, rows in texts(batches):
@@ -158,7 +158,7 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int, only: np.ndarray |
             order = np.argsort(bucket, kind="stable")
             line, i, h, bucket = line[order], i[order], h[order], bucket[order]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            known = pack(x.text[again], x.number[again], ks) if "ask" not in rows.schema.names else (b"",) * 3
+            known = pack(x.text[again & ask], x.number[again & ask], ks)
             out = []
             for b in np.flatnonzero(np.diff(edge)):
                 s = slice(edge[b], edge[b + 1])
@@ -320,17 +320,19 @@ def repeated_lines(base: DataFrame, percent: int) -> DataFrame:
     schema = "k long, line long, k2 long, line2 long, more boolean"
 
     def similar(pairs: DataFrame) -> DataFrame:
+        """Lines of pairs that are similar, and lines without a second one, which go."""
+        known = pairs.where("k2 is null").select("k", "line")
+        pairs = pairs.where("k2 is not null").select("k", "line", "k2", "line2")
         ends = pairs.select(F.explode(F.array(F.struct("k", "line"), F.struct(F.col("k2").alias("k"), F.col("line2").alias("line")))).alias("e")).select("e.*").distinct()
         need = ends.groupBy("k").agg(F.sort_array(F.collect_list("line")).alias("lines"))
         sets = cut_lineage(base.join(_small(need, "lines"), "k").select("k", "o", "lines").mapInArrow(_sets, "k long, line long, words binary").dropDuplicates(["k", "line"]))
         other = sets.select(F.col("k").alias("k2"), F.col("line").alias("line2"), F.col("words").alias("wb"))
         both = pairs.join(sets.withColumnRenamed("words", "wa"), ["k", "line"]).join(other, ["k2", "line2"])
-        return cut_lineage(both.select("k", "line", "wa", "wb").mapInArrow(_similar(percent), "k long, line long").distinct())
+        return cut_lineage(both.select("k", "line", "wa", "wb").mapInArrow(_similar(percent), "k long, line long").distinct()).unionByName(known)
 
     entries = base.select("k", "o").mapInArrow(_prefixes(counts, percent, buckets), _PACKED)
     found = cut_lineage(entries.groupBy("b").applyInArrow(_pairs(percent, EARLIEST), schema).groupBy("k", "line", "k2", "line2").agg(F.max("more").alias("more")))
-    gone = similar(found.where("k2 is not null").select("k", "line", "k2", "line2"))
-    gone = gone.unionByName(found.where("k2 is null").select("k", "line"))
+    gone = similar(found)
     rest = cut_lineage(found.where("more").select("k", "line").distinct().join(gone, ["k", "line"], "left_anti").groupBy("k").agg(F.collect_list("line").alias("ask")))
     if rest.limit(1).count():
         small, only = _small(rest, "ask"), None
