@@ -48,11 +48,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line resembles (Jaccard of words 0.8 or more)."""
+    """All documents, without lines that an earlier line resembles (Jaccard of words 0.8 or more); rows that repeat id and text are one document."""
     send_package(spark)
-    rows, k, _, base = _base(docs)
+    rows, k, unique, base = _base(docs)
     gone = spare(docs, "gone")
-    lists = repeated_lines(base, 80).groupBy(F.col("k").alias(k)).agg(F.collect_list("line").alias(gone))
+    lists = repeated_lines(base if unique else base.dropDuplicates(["k"]), 80).groupBy(F.col("k").alias(k)).agg(F.collect_list("line").alias(gone))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}

@@ -200,6 +200,18 @@ def test_second_round_tells_of_equal_lines(spark, monkeypatch, apart):
     assert {r.s: r.removed for r in lines.drop_repeated_lines(rows).collect()} == want
 
 
+def test_lines_of_repeated_rows(spark):
+    """A row given twice is one literal, whose lines repeat nothing."""
+    text = "seven words that no other row holds\nand a second line of it"
+    rows = [("a", text), ("a", text), ("b", "some text of another row"), ("c", "and a second line of it")]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "s string, o string").repartition(4)).collect()
+    assert sorted((r.s, r.n_lines, r.removed, r.o) for r in got) == [("a", 2, [], text)] * 2 + [("b", 1, [], rows[2][1]), ("c", 1, [0], "")]
+    for kind, key in (("string", str), ("long", ord)):
+        df = spark.createDataFrame([(key(s), o, len(o)) for s, o in rows], f"doc_id {kind}, text string, n_chars int")
+        got = corpus_pipeline.line_dedup(spark, df, SF).collect()
+        assert sorted(tuple(r) for r in got) == sorted([(key(s), o, len(o)) for s, o in rows[:3]] + [(key("c"), "", 0)])
+
+
 def test_leaks(spark, docs, odd, empty):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op5_benchmark_decontamination"](spark, SF).collect()}

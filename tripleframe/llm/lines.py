@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tripleframe.llm import words as W
 from tripleframe.llm.packed import bucket_count, pack, unpack
-from tripleframe.llm.rows import numbered, texts
+from tripleframe.llm.rows import keyed, texts
+from tripleframe.llm.rows import literals as as_literals
 from tripleframe.plans.support import cut_lineage
 
 COUNTERS = 1 << 16
@@ -314,7 +315,7 @@ def _small(lists: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_lines(base: DataFrame, percent: int) -> DataFrame:
-    """``k`` and ``line`` of every line of numbered literals that an earlier line resembles."""
+    """``k`` and ``line`` of every line of numbered literals that an earlier line resembles; no two literals may share a key."""
     counts = word_counts(base)
     buckets = bucket_count((base.agg(F.sum(F.length("o"))).first()[0] or 0) // 4)
     schema = "k long, line long, k2 long, line2 long, more boolean"
@@ -352,8 +353,8 @@ def drop_repeated_lines(literals: DataFrame, percent: int = 80) -> DataFrame:
     whether or not that one goes too. Lines without words stay. A NULL text has no lines. NULL subjects come first; rows that repeat subject and
     text are one literal and all get its result; other literals of one subject are ordered by a hash of their text.
     """
-    base = numbered(literals)
+    base, _, unique = keyed(as_literals(literals), "s", "o")
     kind = base.schema["s"].dataType.simpleString()
-    gone = repeated_lines(base, percent).groupBy("k").agg(F.collect_list("line").alias("gone"))
+    gone = repeated_lines(base if unique else base.dropDuplicates(["k"]), percent).groupBy("k").agg(F.collect_list("line").alias("gone"))
     return base.join(gone, "k", "left").select("s", "o", "k", "gone").mapInArrow(
         _kept, f"s {kind}, n_lines long, n_removed long, o string, removed array<long>")
