@@ -228,6 +228,21 @@ def test_leaks(spark, docs, odd, empty):
     assert leaks.leaks(odd, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [leaks.LOCAL_WINDOWS, -1])
+def test_leaks_of_numbers_and_names(spark, limit):
+    """Windows that are placeholders mostly, names in lower case, and one of two equal numbers changed."""
+    words = [f"word{i}" for i in range(59)]
+    words[10] = words[40] = "12"
+    ten = [w if i % 6 else "2" for i, w in enumerate(words)]
+    items = {1: "What is 12 + 7 * 3?", 2: "11 12 13 14 15 16 17 18 19 20 21", 3: "by Anna Bert Carl Dora Emil Fritz Gerd Hans Inge", 4: " ".join(words), 5: " ".join(ten),
+             6: "we count 1 2 3 4 5 6 7 8 9 10 11 12 and then slowly walk home along this very long road"}
+    texts = {1: f"So: {items[1]} Tell me.", 2: f"table {items[2]} ends", 3: "Seen " + items[3].lower() + " there", 4: " ".join(w if i != 40 else "30" for i, w in enumerate(words)),
+             5: " ".join(w if i != 36 else "3" for i, w in enumerate(ten)), 6: items[6].replace(" 5 ", " 77 ").replace("11", "88"), 7: "What is 12 * 7 + 3?", 8: "What is 12 + 7 * 4?", 9: "11 12 13 14 15 16 17 18 99 20 21 22".replace("11", "10"), 10: "by Anna Bert Carl Dora Emil Fritz Gerd Inge Hans".replace("Carl", "Karl")}
+    bench = spark.createDataFrame(list(items.items()), "item int, o string")
+    got = {(r.s, r.item): (r.windows, r.item_windows, r.same_values) for r in leaks.leaks(frame(spark, texts), bench, local_windows=limit).collect()}
+    assert got == {(1, 1): (1, 1, True), (2, 2): (4, 4, True), (3, 3): (3, 3, True), (4, 4): (36, 52, False), (5, 5): (44, 52, False), (6, 6): (7, 17, False)}
+
+
 def test_languages(spark, odd, empty):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op6_language_id"](spark, SF).collect()
