@@ -239,10 +239,20 @@ def test_leaks_of_numbers_and_names(spark, limit):
     texts = {1: f"So: {items[1]} Tell me.", 2: f"table {items[2]} ends", 3: "Seen " + items[3].lower() + " there", 4: " ".join(w if i != 40 else "30" for i, w in enumerate(words)),
              5: " ".join(w if i != 36 else "3" for i, w in enumerate(ten)), 6: items[6].replace(" 5 ", " 77 ").replace("11", "88"), 7: "What is 12 * 7 + 3?", 8: "What is 12 + 7 * 4?", 9: "11 12 13 14 15 16 17 18 99 20 21 22".replace("11", "10"), 10: "by Anna Bert Carl Dora Emil Fritz Gerd Inge Hans".replace("Carl", "Karl")}
     bench = spark.createDataFrame(list(items.items()), "item int, o string")
-    got = {(r.s, r.item): (r.windows, r.item_windows, r.same_values) for r in leaks.leaks(frame(spark, texts), bench, local_windows=limit).collect()}
+    got = {(r.s, r.item): (r.windows, r.item_windows, r.same_values) for r in leaks.leaks(frame(spark, texts), bench, local_windows=limit, run=1000).collect()}
     assert got == {(1, 1): (1, 1, True), (2, 2): (4, 4, True), (3, 3): (3, 3, True), (4, 4): (36, 52, False), (5, 5): (44, 52, False), (6, 6): (7, 17, False)}
 
 
+@pytest.mark.parametrize("limit", [leaks.LOCAL_WINDOWS, -1])
+def test_leaks_of_long_runs(spark, limit):
+    """Part of a long item, less than half of its windows."""
+    words = [f"word{i}" for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item int, o string")
+    texts = {1: " ".join(words[40:60]), 2: " ".join(words[40:59]), 3: " ".join(words[:15] + ["x"] + words[16:32])}
+    got = [tuple(r) for r in leaks.leaks(frame(spark, texts), bench, local_windows=limit).collect()]
+    assert got == [(1, 1, 13, 93, True)]
+
+
 def test_languages(spark, odd, empty):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op6_language_id"](spark, SF).collect()

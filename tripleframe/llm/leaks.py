@@ -26,6 +26,7 @@ from tripleframe.plans.support import cut_lineage
 
 WINDOW = 8
 SHARE = 0.5
+RUN = 20  # words in a row that are a leak whatever their share of the item
 PLAIN = 4  # words of a window that must not be placeholders (half of a shorter one), or it is joined by its words
 LOCAL_WINDOWS = 2_000_000  # up to this many hashes of benchmark windows (20 bytes each) are sent to every task; beyond, both sides are shuffled
 
@@ -142,8 +143,17 @@ def _index(bs: list[bytes], window: int) -> pd.DataFrame:
     return frame
 
 
-def _decide(hits: list[tuple], share: float) -> list[tuple]:
-    """Hits (item, ipos, dpos, item slots, text slots, places, thin, total, plain) of one text: rows (item, windows, total, same values) of what it leaks.
+def _run(places: set[int]) -> int:
+    """Most windows that follow each other."""
+    best = n = 0
+    for p in sorted(places):
+        n = n + 1 if p - 1 in places else 1
+        best = max(best, n)
+    return best
+
+
+def _decide(hits: list[tuple], share: float, run: int) -> list[tuple]:
+    """Hits (item, ipos, dpos, item slots, text slots, places, thin, total, plain, width) of one text: rows (item, windows, total, same values) of what it leaks.
 
     Hits by the words themselves have no text slots: these are the item's.
     """
@@ -161,28 +171,32 @@ def _decide(hits: list[tuple], share: float) -> list[tuple]:
             counts[a][b] += 1
         means = {a: max(bs, key=bs.get) for a, bs in counts.items() if list(bs.values()).count(max(bs.values())) == 1}
         agree = [h for h in own if all(means.get(a) == b for a, b in zip(h[3], h[4] or h[3], strict=True))]
-        seen, plain, _, _, same = found.setdefault(item, (set(), set(), own[0][7], own[0][8], set()))
+        seen, plain, _, _, same, long = found.setdefault(item, (set(), set(), own[0][7], own[0][8], set(), set()))
+        in_a_row = {h[1] for h in agree} | {h[1] for h in own if h[3] == (h[4] or h[3])}  # the same words are a copy, whatever else the text says
+        if _run(in_a_row) + own[0][9] - 1 >= run:
+            long.update(in_a_row)
         seen.update(h[1] for h in agree)
         plain.update(h[1] for h in agree if not h[6])
-        if agree:
+        if agree or long:
             same.add(all(a == b for a, b in met.values()))
-    return [(item, len(seen), total, any(same)) for item, (seen, plain, total, n, same) in found.items()
-            if seen and (len(seen) >= share * total or (plain and len(plain) >= share * n))]
+    return [(item, len(seen | long), total, any(same)) for item, (seen, plain, total, n, same, long) in found.items()
+            if long or (seen and (len(seen) >= share * total or (plain and len(plain) >= share * n)))]
 
 
-def leaks(literals: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
+def leaks(literals: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, local_windows: int = LOCAL_WINDOWS, run: int = RUN) -> DataFrame:
     """``s``, ``item``, ``windows``, ``item_windows`` and ``same_values`` for every literal that leaks a benchmark item.
 
-    ``benchmark`` has ``item`` and ``o``. An item leaks if ``share`` of its windows, or of those with enough plain words, are found. An item shorter than ``window`` words is one window; one without words is never found. Windows that are nearly all placeholders are
+    ``benchmark`` has ``item`` and ``o``. An item leaks if ``share`` of its windows, or of those with enough plain words, are found, or windows
+    in a row that span ``run`` words. An item shorter than ``window`` words is one window; one without words is never found. Windows that are nearly all placeholders are
     found with the same values only. NULL and empty texts leak nothing. Rows that repeat subject and text give one row per item; repeated
     items are found each, and NULL items are passed over. Windows of an item match anywhere in a text, however long.
     """
     lits = numbered(literals)
-    found = leaked_items(lits, benchmark, window, share, local_windows)
+    found = leaked_items(lits, benchmark, window, share, local_windows, run)
     return lits.select("k", "s").distinct().join(found, "k").drop("k")
 
 
-def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, local_windows: int = LOCAL_WINDOWS) -> DataFrame:
+def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, local_windows: int = LOCAL_WINDOWS, run: int = RUN) -> DataFrame:
     """The same by key ``k`` of numbered literals."""
     items = benchmark.select("item", F.coalesce(F.col("o").cast("string"), F.lit("")).alias("o")).where("item is not null")
     size = items.agg(F.sum(F.length("o"))).first()[0] or 0
@@ -191,7 +205,7 @@ def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     if size <= local_windows:  # a window has two hashes at most and begins at a word, which takes two characters at least
         rows = [r for r in items.collect()]
         index = _index([r.o.encode() for r in rows], window).sort_values("hash", kind="stable", ignore_index=True)
-        found = lits.select("k", "o").mapInArrow(_probe(index, [r.item for r in rows], share, to_arrow_type(benchmark.schema["item"].dataType)), out)
+        found = lits.select("k", "o").mapInArrow(_probe(index, [r.item for r in rows], share, run, to_arrow_type(benchmark.schema["item"].dataType)), out)
     else:
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -204,13 +218,13 @@ def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         hits = lits.select("k", "o").mapInArrow(_windows_of(widths), "k long, width int, hash long, dpos long, dslots array<string>").join(index, ["width", "hash"])
 
         def decide(rows: pd.DataFrame) -> pd.DataFrame:
-            hits = list(zip(rows["item"], rows["ipos"], rows["dpos"], *(map(tuple, rows[c]) for c in ("slots", "dslots", "places")), *(rows[c] for c in ("thin", "total", "plain")), strict=True))
-            return pd.DataFrame([(rows["k"].iloc[0], *r) for r in _decide(hits, share)], columns=["k", "item", "windows", "item_windows", "same_values"])
+            hits = list(zip(rows["item"], rows["ipos"], rows["dpos"], *(map(tuple, rows[c]) for c in ("slots", "dslots", "places")), *(rows[c] for c in ("thin", "total", "plain", "width")), strict=True))
+            return pd.DataFrame([(rows["k"].iloc[0], *r) for r in _decide(hits, share, run)], columns=["k", "item", "windows", "item_windows", "same_values"])
         found = hits.groupBy("k").applyInPandas(decide, out)
     return found.distinct()
 
 
-def _probe(index: pd.DataFrame, names: list, share: float, kind: pa.DataType):
+def _probe(index: pd.DataFrame, names: list, share: float, least: int, kind: pa.DataType):
     by_width = [(int(w), f["hash"].to_numpy(np.int64), f) for w, f in index.groupby("width")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +241,9 @@ def _probe(index: pd.DataFrame, names: list, share: float, kind: pa.DataType):
                     mine = () if exact[j] else _values(b, t, text[j], at[j], width)
                     m = low[j]
                     while m < len(keys) and keys[m] == h[j]:
-                        hits.setdefault(int(text[j]), []).append((f["item"].iat[m], f["ipos"].iat[m], int(at[j]), f["slots"].iat[m], mine, *(f[c].iat[m] for c in ("places", "thin", "total", "plain"))))
+                        hits.setdefault(int(text[j]), []).append((f["item"].iat[m], f["ipos"].iat[m], int(at[j]), f["slots"].iat[m], mine, *(f[c].iat[m] for c in ("places", "thin", "total", "plain")), width))
                         m += 1
-            out += [(ks[i], names[r[0]], *r[1:]) for i, own in hits.items() for r in _decide(own, share)]
+            out += [(ks[i], names[r[0]], *r[1:]) for i, own in hits.items() for r in _decide(own, share, least)]
             if len(out) > 4096:
                 yield _rows(out)
                 out = []
