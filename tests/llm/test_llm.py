@@ -253,6 +253,18 @@ def test_leaks_of_long_runs(spark, limit):
     assert got == [(1, 1, 13, 93, True)]
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+@pytest.mark.parametrize("limit", [leaks.LOCAL_WINDOWS, -1])
+def test_leaks_of_repeated_ids(spark, limit, kind):
+    """Texts of one item id are judged each by itself."""
+    words = [f"word{i}" for i in range(60)]
+    one = 1 if kind == "int" else "one"
+    bench = spark.createDataFrame([(one, " ".join(words[:18])), (one, " ".join(words[20:50])), (one, " ".join(words[:18]))], f"item {kind}, o string")
+    texts = {1: " ".join(words[:18]), 2: " ".join(words[:11] + words[20:31]), 3: " ".join(words)}
+    got = [tuple(r) for r in leaks.leaks(frame(spark, texts), bench, local_windows=limit).collect()]
+    assert sorted(got) == [(1, one, 11, 11, True), (3, one, 11, 11, True), (3, one, 23, 23, True)]
+
+
 def test_languages(spark, odd, empty):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op6_language_id"](spark, SF).collect()

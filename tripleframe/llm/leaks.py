@@ -189,7 +189,7 @@ def leaks(literals: DataFrame, benchmark: DataFrame, window: int = WINDOW, share
     ``benchmark`` has ``item`` and ``o``. An item leaks if ``share`` of its windows, or of those with enough plain words, are found, or windows
     in a row that span ``run`` words. An item shorter than ``window`` words is one window; one without words is never found. Windows that are nearly all placeholders are
     found with the same values only. NULL and empty texts leak nothing. Rows that repeat subject and text give one row per item; repeated
-    items are found each, and NULL items are passed over. Windows of an item match anywhere in a text, however long.
+    items are found each by their own text, and NULL items are passed over. Windows of an item match anywhere in a text, however long.
     """
     lits = numbered(literals)
     found = leaked_items(lits, benchmark, window, share, local_windows, run)
@@ -210,16 +210,17 @@ def leaked_items(lits: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 f = _index([t.encode() for t in batch["o"]], window)
-                f["item"] = batch["item"].to_numpy()[f["item"].to_numpy(int)]
+                at = f["item"].to_numpy(int)
+                f["item"], f["row"] = batch["item"].to_numpy()[at], batch["row"].to_numpy()[at]
                 f["slots"], f["places"] = f["slots"].map(list), f["places"].map(list)
                 yield f
-        index = cut_lineage(items.mapInPandas(cut, f"width int, hash long, item {kind}, ipos long, slots array<string>, places array<int>, thin boolean, total long, plain long"))
+        index = cut_lineage(items.withColumn("row", F.xxhash64("o")).mapInPandas(cut, f"width int, hash long, item {kind}, row long, ipos long, slots array<string>, places array<int>, thin boolean, total long, plain long"))
         widths = [r.width for r in index.select("width").distinct().collect()]
         hits = lits.select("k", "o").mapInArrow(_windows_of(widths), "k long, width int, hash long, dpos long, dslots array<string>").join(index, ["width", "hash"])
 
         def decide(rows: pd.DataFrame) -> pd.DataFrame:
-            hits = list(zip(rows["item"], rows["ipos"], rows["dpos"], *(map(tuple, rows[c]) for c in ("slots", "dslots", "places")), *(rows[c] for c in ("thin", "total", "plain", "width")), strict=True))
-            return pd.DataFrame([(rows["k"].iloc[0], *r) for r in _decide(hits, share, run)], columns=["k", "item", "windows", "item_windows", "same_values"])
+            hits = list(zip(zip(rows["item"], rows["row"], strict=True), rows["ipos"], rows["dpos"], *(map(tuple, rows[c]) for c in ("slots", "dslots", "places")), *(rows[c] for c in ("thin", "total", "plain", "width")), strict=True))
+            return pd.DataFrame([(rows["k"].iloc[0], r[0][0], *r[1:]) for r in _decide(hits, share, run)], columns=["k", "item", "windows", "item_windows", "same_values"])
         found = hits.groupBy("k").applyInPandas(decide, out)
     return found.distinct()
 
