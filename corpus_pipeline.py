@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm.languages import DIMS, UNKNOWN, learn_languages
+from tripleframe.llm.languages import learn_languages
 from tripleframe.llm.leaks import leaked_items
 from tripleframe.llm.lines import repeated_lines
 from tripleframe.llm.near_literals import near_classes
@@ -19,9 +19,6 @@ from tripleframe.llm.queries import TOKENIZER
 from tripleframe.llm.rows import keyed, send_package, spare
 from tripleframe.plans.support import shared_dir
 
-# Cosine below which a text resembles no known language: unrelated vectors differ from 0 by 1 / sqrt(DIMS) as a rule.
-LEAST_COSINE = 1.5 / DIMS ** 0.5
-
 # No SQL for the whole: language profiles and sequences are beyond it. The tests compare it with plain Python.
 ORACLE_SQL = None
 
@@ -35,16 +32,15 @@ def _base(docs: DataFrame) -> tuple[DataFrame, str, bool, DataFrame]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that tagged documents are in; without any tag there is nothing to tell by, and all stay.
 
-    Texts that are NULL or have no letter go.
+    Texts that are NULL or have no letter go, and texts that resemble every language less than all but one in a thousand of its tagged documents
+    of like length do. Of a few words this may be any, so that texts of a few words in no known language may stay.
     """
     send_package(spark)
     known = docs.where("lang is not null").select(F.col("text").alias("o"), F.concat(F.lit("@"), "lang").alias("o_type"))
     profiles = learn_languages(known)
     if not profiles.tags:
         return docs
-    tag = spare(docs, "tag")
-    rows = docs.withColumn(tag, profiles.of(F.col("text")))
-    return rows.where((F.col(tag)["o_type"] != UNKNOWN) & (F.col(tag)["score"] >= LEAST_COSINE)).select(*docs.columns)
+    return docs.where(profiles.resembles(F.col("text"), profiles.least_cosines(known)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -435,6 +435,19 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, d.where("false"), SF).count() == 0
 
 
+def test_unknown_languages_go(spark, docs):
+    """Gibberish and a language that no document is tagged with go; every clean document stays."""
+    rng = np.random.default_rng(3)
+    noise = {9100 + i: " ".join("".join(chr(a + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(60 + 20 * i)) for a in (97, 0x430) for i in range(a % 10, a % 10 + 5)}
+    noise[9200] = ("Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir qual era e cosa dura "
+                   "questa selva selvaggia e aspra e forte che nel pensier rinova la paura! Tant'e amara che poco e piu morte; ma per trattar del ben ch'io vi trovai.")
+    noise[9201] = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме Облонских. Жена узнала, что муж был в связи."
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(k, t, None) for k, t in noise.items()] + [(9300, docs[1], None)], d.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, d.unionByName(extra), SF).collect()}
+    assert kept == {*docs, 9300}
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and math.isclose(rows.agg(F.max("length")).first()[0], 1024)

@@ -22,6 +22,9 @@ DIMS = 1024
 UNKNOWN = "@und"
 _DENSE = 96  # alphabets up to this size count trigrams in a table, larger ones by sorting
 _GROUP = 1 << 20
+LOW = 0.001  # share of the tagged texts of a language and length that may resemble it less than its bound asks
+_SIZES = 32  # lengths by powers of two
+_STEPS = 1000  # cosines are counted by thousandths
 
 
 @lru_cache(maxsize=1 << 14)
@@ -74,7 +77,12 @@ def _lookup(codes: np.ndarray, rank: np.ndarray, flat: np.ndarray) -> np.ndarray
 
 def bundles(texts: list[str], dims: int = DIMS, seed: int = 1) -> np.ndarray:
     """A vector for each text; zero for a text without letters."""
-    out, at = np.zeros((len(texts), dims), np.float32), 0
+    return _bundles(texts, dims, seed)[0]
+
+
+def _bundles(texts: list[str], dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors, and how many letters each text has."""
+    out, letter_counts, at = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), np.int64), 0
     while at < len(texts):
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) <= _GROUP):
@@ -87,8 +95,13 @@ def bundles(texts: list[str], dims: int = DIMS, seed: int = 1) -> np.ndarray:
             place = place.reshape(grams.shape)
             bound = np.roll(base, 2, 1)[place[:, 0]] * np.roll(base, 1, 1)[place[:, 1]] * base[place[:, 2]]
             out[at:to] = counts.astype(np.float32) @ bound.astype(np.float32)
+            letter_counts[at:to] = counts.sum(1)
         at = to
-    return out
+    return out, letter_counts
+
+
+def _size(letter_counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letter_counts, 1)).astype(np.int64), _SIZES - 1)
 
 
 @dataclass(frozen=True)
@@ -97,6 +110,7 @@ class LanguageProfiles:
     tags: tuple[str, ...]
     prototypes: np.ndarray
     seed: int
+    lengths: np.ndarray | None = None  # of the sums that the prototypes come from
 
     def guess(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         v = bundles(texts, self.prototypes.shape[1], self.seed).astype(np.float64)
@@ -117,6 +131,56 @@ class LanguageProfiles:
             return pd.DataFrame({"o_type": tags, "score": score})
         return tagged(text)
 
+    def least_cosines(self, tagged: DataFrame, low: float = LOW) -> np.ndarray:
+        """By tag and size (power of two of the letters), what a text must have in common with the language.
+
+        ``tagged`` is what the profiles were learned from. The bound is the ``low`` quantile of the cosines of all texts of that tag and size with the
+        rest of their language, from below; with fewer than 1 / ``low`` of them, the least. A size that the tag does not have takes the
+        bound of the next smaller one, and no bound is below 1.5 / sqrt(dimensions), as unrelated vectors differ from 0 by 1 / sqrt(dimensions).
+        """
+        sums = self.prototypes * self.lengths[:, None]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros((len(self.tags), _SIZES, _STEPS + 1), np.int64)
+            for batch in batches:
+                tags, texts = np.array(batch.column("o_type").to_pylist(), object), batch.column("o").to_pylist()
+                for t, tag in enumerate(self.tags):
+                    own = [texts[i] for i in np.flatnonzero(tags == tag)]
+                    for at in range(0, len(own), 512):
+                        v, letter_counts = _bundles(own[at:at + 512], sums.shape[1], self.seed)
+                        v = v[letter_counts > 0].astype(np.float64)
+                        rest = sums[t] - v
+                        cos = (v * rest).sum(1) / np.maximum(np.sqrt((v * v).sum(1) * (rest * rest).sum(1)), 1e-9)
+                        np.add.at(found[t], (_size(letter_counts[letter_counts > 0]), (np.clip(cos, 0, 1) * _STEPS).astype(np.int64)), 1)
+            at = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in at), pa.array(found[at])], names=["t", "size", "cos", "n"])
+
+        rows = _tagged(tagged).mapInArrow(count, "t int, size int, cos int, n long").groupBy("t", "size", "cos").agg(F.sum("n").alias("n")).collect()
+        found = np.zeros((len(self.tags), _SIZES, _STEPS + 1), np.int64)
+        for r in rows:
+            found[r.t, r.size, r.cos] = r.n
+        out = np.full((len(self.tags), _SIZES), 1.5 / sums.shape[1] ** 0.5)
+        for t in range(len(self.tags)):
+            for size in range(_SIZES):
+                n = np.cumsum(found[t, size])
+                bound = np.searchsorted(n, int(low * n[-1]), "right") / _STEPS if n[-1] else out[t, max(size - 1, 0)]
+                out[t, size] = max(out[t, size], bound)
+        return out
+
+    def resembles(self, text: Column, least: np.ndarray) -> Column:
+        """Whether a text has letters and reaches the bound of any language (see :meth:`least_cosines`)."""
+        @F.pandas_udf("boolean")
+        def enough(column: pd.Series) -> pd.Series:
+            v, letter_counts = _bundles(["" if t is None else t for t in column], self.prototypes.shape[1], self.seed)
+            v = v.astype(np.float64)
+            cos = v @ self.prototypes.T / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
+            return pd.Series((cos >= least[:, _size(letter_counts)].T).any(1) & (letter_counts > 0))
+        return enough(text)
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("o").cast("string").alias("o"), F.col("o_type").alias("o_type")).where("o is not null and o_type like '@%'")
+
 
 def learn_languages(tagged: DataFrame, dims: int = DIMS, seed: int = 1) -> LanguageProfiles:
     """Prototypes from literals ``(o, o_type)`` whose type is a language tag such as ``@en``.
@@ -139,15 +203,14 @@ def learn_languages(tagged: DataFrame, dims: int = DIMS, seed: int = 1) -> Langu
         for tag, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([tag] * dims), pa.array(range(dims), pa.int32()), pa.array(v)], schema=schema)
 
-    rows = tagged.select(F.col("o").cast("string").alias("o"), F.col("o_type").alias("o_type")).where(
-        "o is not null and o_type like '@%'")
-    sums = rows.mapInArrow(partial, "o_type string, d int, v double").groupBy("o_type", "d").agg(F.sum("v").alias("v")).collect()
+    sums = _tagged(tagged).mapInArrow(partial, "o_type string, d int, v double").groupBy("o_type", "d").agg(F.sum("v").alias("v")).collect()
     tags = tuple(sorted({r.o_type for r in sums}))
     at = {t: i for i, t in enumerate(tags)}
     protos = np.zeros((len(tags), dims))
     for r in sums:
         protos[at[r.o_type], r.d] = r.v
-    return LanguageProfiles(tags, protos / np.maximum(np.sqrt((protos ** 2).sum(1, keepdims=True)), 1e-9), seed)
+    lengths = np.sqrt((protos ** 2).sum(1))
+    return LanguageProfiles(tags, protos / np.maximum(lengths, 1e-9)[:, None], seed, lengths)
 
 
 def tag_literals(literals: DataFrame, profiles: LanguageProfiles) -> DataFrame:
