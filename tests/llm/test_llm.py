@@ -409,6 +409,20 @@ def test_iris(spark):
     assert none.count() == 0 and iri_filter.judge_iris(df, rules, none).count() == len(rows) and iri_filter.judge_iris(df.where("false"), rules, none).count() == 0
 
 
+def test_suffixes_of_several_labels(spark):
+    """Sites under co.uk and github.io are strangers to each other, as those under com are."""
+    rows = [(i, f"http://www.{'bad' if i % 2 else 'good'}{i // 80}.{tail}/{i}", i % 2) for tail in ("co.uk", "github.io") for i in range(160)]
+    df = spark.createDataFrame(rows, "s long, o string, bad int")
+    known = iri_filter.host_reputation(df)
+    assert {(r.level, r.name) for r in known.collect() if r.level != "host"} == {("suffix", t) for t in ("co.uk", "github.io")} | {
+        ("domain", f"{kind}{i}.{t}") for t in ("co.uk", "github.io") for kind in ("bad", "good") for i in (0, 1)}
+    ask = spark.createDataFrame([(1, "http://new.bad0.co.uk"), (2, "http://other.co.uk"), (3, "http://new.good0.co.uk"), (4, "http://co.uk"), (5, "http://x.gov.zz")], "s long, o string")
+    got = {r.s: (r.level, r.verdict) for r in iri_filter.judge_iris(ask, [], known).collect()}
+    assert got == {1: ("domain", "block"), 2: ("suffix", "allow"), 3: ("domain", "allow"), 4: ("suffix", "allow"), 5: (None, "allow")}
+    last = iri_filter.host_reputation(df, suffixes=())
+    assert {r.name for r in last.where("level = 'suffix'").collect()} == {"uk", "io"}
+
+
 def test_pipeline_stages(spark, docs):
     """Every stage against plain Python on its own input; and the columns it must return."""
     d = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"k": F.lit(1), "gone": F.lit("g"), "S": F.lit(None).cast("string")})
