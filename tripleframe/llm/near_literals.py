@@ -32,27 +32,6 @@ BROADCAST_KEYS = 500_000  # of eight bytes
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(os: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, one text after the other, and where each text's begin.
-
-    A to Z count as lower case; a text of fewer words is one shingle, one without words has none.
-    """
-    b = W.batch([o.lower() for o in os])
-    sizes = np.diff(b.first)
-    h, text = W.rolling(b.hashes, width), b.text
-    inside = text[:len(h)] == text[width - 1:] if len(h) else np.zeros(0, bool)
-    h, own = h[inside], text[:len(inside)][inside]
-    short = np.flatnonzero((sizes > 0) & (sizes < width))
-    extra = np.array([W.rolling(b.hashes[b.first[i]:b.first[i + 1]], int(sizes[i]))[0] for i in short], np.uint64)
-    h, own = np.concatenate([h, W.mix(extra ^ np.uint64(0x5851F42D4C957F2D))]), np.concatenate([own, short])
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-    h, own = h[new], own[new]
-    return h, np.searchsorted(own, np.arange(len(os) + 1))
-
-
 def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A row of registers for each set that is not empty."""
     begin = first[:-1][np.diff(first) > 0]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import iri_filter, languages, leaks, lines, near_literals, packing, quality, repeated_text, token_files, topk
+from tripleframe.llm import gram_join, iri_filter, languages, leaks, lines, near_literals, packing, quality, repeated_text, spellings, token_files, topk, whitening
 from tripleframe.llm.rows import send_package
 from tripleframe.plans.support import cut_lineage, shared_dir
 
@@ -117,6 +117,25 @@ def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("s").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+@query
+def op11_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    out = gram_join.similar_literals(documents(spark, sf).select("s", "o"))
+    return out.select(F.col("s").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component_s").alias("component_id"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Deviations beyond 64 bits, of some 10^8 vectors on, are NULL here; the operator has them."""
+    out = whitening.whiten(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("s"), F.col("embedding").alias("vector")))
+    return out.select(F.col("s").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    out = spellings.spelling_variants(documents(spark, sf).select("s", "o"), misspell=31)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = repeated_text.drop_repeats(documents(spark, sf))
