@@ -5,11 +5,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from suite.registry import NS, case, i, money, n, t
+from suite.registry import NS, TYPE, case, i, money, n, t
 from suite.tables import class_map, mapping, table
 from tripleframe import ClassMap, EdgeMap, Graph, Mapping, class_triples, direct_map, literal_triples, mapping_stats, materialize
 from tripleframe.plans.support import shared_dir, union_all
 from tripleframe.sources import ontology, tables as src, triples as store
+from tripleframe.sources.store import TripleStore
 
 
 def fresh(spark, name: str) -> str:
@@ -114,6 +115,34 @@ def s7(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("subjects"))
 
 
+def _version_sql(version: int, orders: str) -> str:
+    """Number of triples and subjects per predicate where ``orders`` are the orders."""
+    rows = [f"select {t(i('order', 'o_orderkey'), TYPE, n('Order'))} from {orders}", f"select {t(i('customer', 'c_custkey'), TYPE, n('Customer'))} from customer",
+            f"select {t(i('order', 'o_orderkey'), n('placedBy'), i('customer', 'o_custkey'))} from {orders} where o_custkey in (select c_custkey from customer)"]
+    for tab, path, key, props in ((orders, "order", "o_orderkey", ("status o_orderstatus", "total o_totalprice", "orderDate o_orderdate", "priority o_orderpriority")),
+                                  ("customer", "customer", "c_custkey", ("customerName c_name", "segment c_mktsegment", "balance c_acctbal"))):
+        rows += [f"select {t(i(path, key), n(p.split()[0]), f'cast({p.split()[1]} as varchar)', 'string')} from {tab} where {p.split()[1]} is not null" for p in props]
+    return f"select {version} as version, p, count(*) as n, count(distinct s) as subjects from ({' union all '.join(rows)}) group by p"
+
+
+@case("S7_versioned_store", f"""
+    select v.*, p in ({n('customerName')}, {n('segment')}, {n('balance')}) or version = 1 as as_first_written from (
+      {_version_sql(1, 'orders')} union all {_version_sql(2, "(select * from orders where o_orderstatus <> 'O')")}) v""")
+def s7b(spark, sf):
+    """All predicates of a store before and after open orders went, and whether their files are still those of the first version."""
+    kept = TripleStore(spark, fresh(spark, "versions"))
+    kept.refresh(materialize(mapping(spark, sf, ["Customer", "Order"], ["placedBy"])))
+    closed = class_map(spark, sf, "Order", table(spark, sf, "orders").where("o_orderstatus <> 'O'"))
+    kept.refresh(materialize(mapping(spark, sf, ["Customer", "Order"], ["placedBy"]).with_classes(Order=closed)))
+    first = kept.manifest(1).select("write").first()[0]
+    out = []
+    for v in kept.versions():
+        found = kept.load(v).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("subjects"))
+        same = kept.manifest(v).groupBy("p").agg(F.min(F.col("write") == first).alias("as_first_written"))
+        out.append(found.join(same, "p").select(F.lit(v).alias("version"), "p", "n", "subjects", "as_first_written"))
+    return union_all(out)
+
+
 @case("S8_data_binding", f"""
     select {t(i('client', 'c_custkey'), n('name'), 'c_name', 'string')} from customer where c_name is not null
     union all select {t(i('client', 'c_custkey'), n('market'), 'c_mktsegment', 'string')} from customer where c_mktsegment is not null

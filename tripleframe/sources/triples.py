@@ -107,15 +107,14 @@ def load_triples(spark: SparkSession, path: str) -> DataFrame:
 def refresh_triples(triples: DataFrame, path: str, version: str) -> bool:
     """Rebuild a store only when ``version`` (say, a hash of the sources' state) is a new one.
 
-    The version is written after the triples, so a broken rebuild is done again next time.
+    The version is written after the triples, so a broken rebuild is done again next time. Readers may meet a store that is half written;
+    :class:`tripleframe.sources.store.TripleStore` keeps the old version readable and writes only what differs.
     """
     spark = triples.sparkSession
     mark = f"{path.rstrip('/')}_version"
-    try:
-        same = spark.read.text(mark).where(F.col("value") == version).limit(1).count() == 1
-    except Exception:
-        same = False
-    if same:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(mark)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if there and spark.read.text(mark).where(F.col("value") == version).limit(1).count() == 1:
         return False
     save_triples(triples, path)
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
