@@ -62,7 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     send_package(spark)
     rows, k, unique, base = _base(docs)
-    kept = near_classes(base, 5, 80).where("k = c").select(F.col("k").alias(k))
+    kept = near_classes(base if unique else base.dropDuplicates(["k"]), 5, 80).where("k = c").select(F.col("k").alias(k))
     out = rows.join(kept, k, "left_semi")
     return (out if unique else out.dropDuplicates([k])).select(*docs.columns)
 
