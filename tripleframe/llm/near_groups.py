@@ -235,14 +235,15 @@ def confirmed(pairs: DataFrame, base: DataFrame, sizes: DataFrame, width: int, p
     size = lambda x: sizes.select(F.col("k").alias(x), F.col("n").alias("n" + x))
     pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = cut_lineage(pairs.select("a", "b", "nb"))
+    if pairs.limit(1).count() == 0:
+        return pairs.select("a", "b")
     heavy = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.max("nb").alias("nb")).select(
         "b", F.ceil(F.col("m") / PARTNERS).cast("int").alias("salts"), F.ceil(F.col("nb") / FRAGMENT).cast("int").alias("v"))
-    heavy = cut_lineage(heavy)
     role = lambda pivot, salt, of: F.struct(F.col(pivot).alias("pivot"), salt.cast("int").alias("salt"), F.col("v").alias("v"), F.lit(of).alias("role")).alias("r")
     partners = pairs.join(heavy, "b").select(F.col("a").alias("k"), role("b", F.pmod(F.xxhash64("a"), F.col("salts")), 1))
     pivots = heavy.select("b", "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(F.col("b").alias("k"), role("b", F.col("salt"), 0))
     need = cut_lineage(partners.unionByName(pivots).groupBy("k").agg(F.collect_list("r").alias("roles")))
-    few = need.count() <= BROADCAST_KEYS // 4 and (need.agg(F.sum(F.size("roles"))).first()[0] or 0) <= BROADCAST_KEYS
+    few = need.agg(F.count(F.lit(1)) * 4 + F.sum(F.size("roles"))).first()[0] <= BROADCAST_KEYS
     parts = base.select("k", "o").join(F.broadcast(need) if few else need, "k").mapInArrow(_routed(width), _FRAGMENTS)
     parts = parts.repartition("pivot", "salt", "f").sortWithinPartitions("pivot", "salt", "f", "role")
     counts = parts.mapInArrow(_counted, "a long, b long, na long, nb long, both long")

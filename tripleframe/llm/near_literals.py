@@ -5,9 +5,7 @@ cut to 16 bits. Registers of a union are the larger of both, so they can be merg
 similar two sets are. Registers are banded: sets that agree in a whole band meet in a bucket.
 
 * Equal sets are one class from the start; one of it stands for all.
-* In every bucket all others are compared with one member only, drawn anew for each bucket, so a bucket of n takes n - 1 comparisons.
-* What is linked is merged, and what is still apart in a bucket is held against another member drawn, twice over.
-* Only pairs that share a bucket and are then still apart are all compared, so no link is lost.
+* In every bucket all others are first compared with one member only; how buckets are settled, without all pairs, is in ``near_groups``.
 * A comparison first estimates the Jaccard similarity from both registers by maximum likelihood, drops pairs far below the
   threshold, and then counts both whole sets.
 """
@@ -21,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.llm import words as W
-from tripleframe.llm.rows import numbered, texts
+from tripleframe.llm.near_groups import confirmed, groups, shingle_sets
+from tripleframe.llm.rows import keyed, texts
+from tripleframe.llm.rows import literals as as_literals
 from tripleframe.plans.support import cut_lineage
 
 BANDS, ROWS = 48, 6  # two sets of similarity 0.8 share no band with a chance of 5e-7
 BASE, RATE, TOP = 1.02, 20.0, 65_535
 MARGIN = 0.118  # five deviations of the estimate
-DRAWS = 2  # further rounds of one comparison per bucket before all that is left
-BROADCAST_KEYS = 500_000  # of eight bytes
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -95,38 +93,19 @@ def _estimated(floor: float):
     return run
 
 
-def _confirmed(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                h, first = shingle_sets([*part.column("oa").cast(pa.binary()).to_pylist(), *part.column("ob").cast(pa.binary()).to_pylist()], width)
-                n, keep = len(part), []
-                for i in range(n):
-                    a, b = h[first[i]:first[i + 1]], h[first[n + i]:first[n + i + 1]]
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-                keep = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
-    return run
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``k`` and ``c``, the smallest key each key of ``links`` (``a``, ``b``) is connected with.
-
-    Every round takes the smallest label among neighbours and then the label of that label, so long chains take few rounds; a round is
-    cut off by a checkpoint.
-    """
-    both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut_lineage(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("c")).select("k", F.least("k", "c").alias("c")))
-    while True:
-        near = both.join(label.select(F.col("k").alias("b"), "c"), "b").groupBy(F.col("a").alias("k")).agg(F.min("c").alias("m"))
-        step = cut_lineage(label.join(near, "k").select("k", F.least("c", "m").alias("c"), F.col("c").alias("old")))
-        jump = step.select(F.col("k").alias("c"), F.col("c").alias("c2"))
-        step = cut_lineage(step.join(jump, "c").select("k", "c2", "old"))
-        label = step.select("k", F.col("c2").alias("c"))
-        if step.where("c2 <> old").limit(1).count() == 0:
-            return label
+def _may_link(percent: int):
+    """Pairs whose sizes and registers do not rule out that they are linked, as :func:`_estimated` judges them."""
+    def fit(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
+        out = 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+        for i in range(len(x)):
+            at = np.flatnonzero(out[i])
+            if len(at):
+                keep = np.zeros(len(y), bool)
+                keep[at] = similarity(np.broadcast_to(x[i], (len(at), x.shape[1])), y[at], np.full(len(at), na[i]), nb[at]) >= percent / 100 - MARGIN
+                out[i] = keep
+        return out
+    return fit
 
 
 def near_literals(literals: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -136,62 +115,37 @@ def near_literals(literals: DataFrame, width: int = 5, percent: int = 80) -> Dat
     NULL, empty or without words have no shingles and are linked with nothing. Rows that repeat subject and text are one literal; literals of
     one subject with different texts are rows of their own, ordered by a hash of the text. NULL subjects come first.
     """
-    base = numbered(literals)
+    base, _, unique = keyed(as_literals(literals), "s", "o")
+    base = base if unique else base.dropDuplicates(["k"])
     whole = near_classes(base, width, percent)
-    names = base.select("k", "s").distinct()
+    names = base.select("k", "s")
     return whole.join(names, "k").join(names.select(F.col("k").alias("c"), F.col("s").alias("component")), "c").select(
         "s", "n_shingles", "component", (F.col("k") == F.col("c")).alias("kept"))
 
 
 def near_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
-    """``k``, ``n_shingles`` and ``c`` (smallest connected key) for every key of numbered literals."""
-    sketches = cut_lineage(base.select("k", "o").mapInArrow(_sketch(width), "k long, n long, sig1 long, sig2 long, sketch binary").dropDuplicates(["k"]))
+    """``k``, ``n_shingles`` and ``c`` (smallest connected key) for every key of numbered literals, of which no two share a key."""
+    sketches = cut_lineage(base.select("k", "o").mapInArrow(_sketch(width), "k long, n long, sig1 long, sig2 long, sketch binary"))
     sets = ["sig1", "sig2", "n"]
     full = sketches.where("n > 0")
     classes = cut_lineage(full.groupBy(*sets).agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
     members = cut_lineage(full.select("k", *sets).join(classes, sets).select("k", "rep"))
-    reps = cut_lineage(full.select("k", "n", "sketch").join(members.where("k <> rep").select("k"), "k", "left_anti"))
+    reps = full.select("k", "n", "sketch").join(members.where("k <> rep").select("k"), "k", "left_anti")
     bands = reps.select("k", "sketch").mapInArrow(_bands, "k long, bh long")
-    pivots = cut_lineage(bands.groupBy("bh").agg(F.min(F.struct(F.xxhash64("k", "bh").alias("x"), "k")).alias("p"), F.count(F.lit(1)).alias("m"))
-                         .where("m > 1").select("bh", F.col("p.k").alias("pivot")))
-    shared = cut_lineage(bands.join(pivots, "bh"))
-
-    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (``a``, ``b``) that are linked."""
-        r = lambda x: reps.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-        t = lambda x: base.select(F.col("k").alias(x), F.col("o").alias("o" + x))
-        likely = cut_lineage(pairs.join(r("a"), "a").join(r("b"), "b").where(alike("na", "nb")).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(
-            _estimated(percent / 100 - MARGIN), "a long, b long"))
-        need = cut_lineage(likely.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-        # Few keys are sent to the texts, many meet them by a shuffle.
-        own = base.select("k", "o").join(F.broadcast(need) if need.count() <= BROADCAST_KEYS else need, "k").dropDuplicates(["k"])
-        t = lambda x: own.select(F.col("k").alias(x), F.col("o").alias("o" + x))
-        return cut_lineage(likely.join(t("a"), "a").join(t("b"), "b").select("a", "b", "oa", "ob").mapInArrow(_confirmed(width, percent), "a long, b long"))
-
-    first = links(shared.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct())
-    found = first
-
-    def apart(draw: int) -> DataFrame:
-        """Members of buckets that hold several components, and a member drawn for each bucket."""
-        spread = shared.select("bh", "k", "pivot").join(label, "k", "left").select("bh", "k", "pivot", F.coalesce("c", "k").alias("c"))
-        drawn = F.min(F.struct(F.xxhash64("k", "bh", F.lit(draw)).alias("x"), F.col("k").alias("q"), F.col("c").alias("cq")))
-        open_ = cut_lineage(spread.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), drawn.alias("d")).where("lo <> hi").select("bh", "d.q", "d.cq"))
-        return spread.join(open_, "bh")
-
-    label = components(found)
-    for draw in range(DRAWS):
-        more = links(apart(draw).where("c <> cq").select(F.least("k", "q").alias("a"), F.greatest("k", "q").alias("b")).distinct())
-        if more.limit(1).count() == 0:
-            continue
-        found = found.unionByName(more)
-        label = components(found)
-    spread = cut_lineage(apart(DRAWS).join(reps.select("k", "n"), "k").select("bh", "k", "c", "pivot", "n"))
-    other = spread.select("bh", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    apart_ = spread.select("bh", F.col("k").alias("a"), "c", "pivot", "n").join(other, "bh").where(F.expr("a < b and c <> cb and a <> pivot and b <> pivot") & alike("n", "nb"))
-    second = links(apart_.select("a", "b").distinct())
-    label = components(found.unionByName(second)) if second.limit(1).count() else label
+    common = bands.groupBy("bh").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("bh")
+    shared = cut_lineage(bands.join(common, "bh"))
+    sizes = sketches.select("k", "n")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        r = lambda x: full.select(F.col("k").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+        alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        likely = pairs.join(r("a"), "a").join(r("b"), "b").where(alike).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(
+            _estimated(percent / 100 - MARGIN), "a long, b long")
+        return confirmed(likely, base, sizes, width, percent)
+
+    label = groups(shared, linked, lambda keys: full.select("k", "n", "sketch").join(keys, "k"), _may_link(percent))
     whole = sketches.select("k", F.col("n").alias("n_shingles")).join(members, "k", "left").select("k", "n_shingles", F.coalesce("rep", "k").alias("rep"))
+    if label is None:
+        return whole.select("k", "n_shingles", F.col("rep").alias("c"))
     # A class is named by its smallest member, so the smallest label of a component is its smallest key.
     return whole.join(label.select(F.col("k").alias("rep"), "c"), "rep", "left").select("k", "n_shingles", F.coalesce("c", "rep").alias("c"))
