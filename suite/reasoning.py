@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from suite.registry import NULL, TYPE, case, i, n, t
 from suite.scans import fresh
 from suite.tables import mapping, table, tbox
-from tripleframe import edge_triples, materialize
+from tripleframe import MappedTriples, edge_triples, materialize
 from tripleframe.operators import reason
 from tripleframe.sources import triples as store
 
@@ -21,6 +21,11 @@ def _triples(spark, sf):
         ~F.col("p").isin(list(names - {m.iri("total")})))
 
 
+def _mapped(spark, sf):
+    """All triples of the mapping, of which a rule makes those of its predicates."""
+    return MappedTriples(mapping(spark, sf, _PARTS))
+
+
 _STEPS = """select 'order/' || cast(o_orderkey as varchar) as child, 'customer/' || cast(o_custkey as varchar) as parent from orders
     union select 'customer/' || cast(c_custkey as varchar), 'nation/' || cast(c_nationkey as varchar) from customer
     union select 'nation/' || cast(n_nationkey as varchar), 'region/' || cast(n_regionkey as varchar) from nation"""
@@ -66,7 +71,7 @@ def r2(spark, sf):
     union all select {t(i('region', 'r_regionkey'), TYPE, n('Place'))} from region
     union all select {t(i('order', 'o_orderkey'), TYPE, n('Order'))} from orders where o_orderpriority = '1-URGENT'""")
 def r3(spark, sf):
-    return reason.widen_types(_triples(spark, sf), tbox(spark))
+    return reason.widen_types(_mapped(spark, sf), tbox(spark))
 
 
 _LOCATED = f"""
@@ -78,7 +83,7 @@ _LOCATED = f"""
 @case("R4_super_property_edges", f"""select s, p, o, 'iri' as o_kind, {NULL} as o_type
     from ({_LOCATED}), (values ({n('locatedIn')}), ({n('relatedTo')})) v(p)""")
 def r4(spark, sf):
-    return reason.widen_edges(_triples(spark, sf), tbox(spark))
+    return reason.widen_edges(_mapped(spark, sf), tbox(spark))
 
 
 @case("R5_domain_typing", f"""
@@ -87,7 +92,7 @@ def r4(spark, sf):
       union select l_orderkey from lineitem where l_orderkey in (select o_orderkey from orders) and l_partkey in (select p_partkey from part))
     union all select {t(i('event', 'event_id'), TYPE, n('Event'))} from events where user_id in (select c_custkey from customer)""")
 def r5(spark, sf):
-    return reason.type_by_domain(_triples(spark, sf), tbox(spark))
+    return reason.type_by_domain(_mapped(spark, sf), tbox(spark))
 
 
 @case("R6_range_typing", f"""
@@ -96,7 +101,7 @@ def r5(spark, sf):
     union all select distinct {t(i('part', 'l_partkey'), TYPE, n('Part'))} from lineitem
       where l_orderkey in (select o_orderkey from orders) and l_partkey in (select p_partkey from part)""")
 def r6(spark, sf):
-    return reason.type_by_range(_triples(spark, sf), tbox(spark))
+    return reason.type_by_range(_mapped(spark, sf), tbox(spark))
 
 
 _WIDE = f"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from suite.registry import NS, case, i, money, n
 from suite.tables import mapping, table, tbox
-from tripleframe import Graph, materialize
+from tripleframe import Graph, MappedTriples, materialize
 from tripleframe.functions import local_name
 from tripleframe.operators import paths, schema
 
@@ -100,7 +100,7 @@ _MENU_CLASSES = ["Customer", "Nation", "Region", "Order"]
 
 @case("G3_pattern_menu", _MENU)
 def g3(spark, sf):
-    return schema.pattern_menu(materialize(mapping(spark, sf, _MENU_CLASSES)))
+    return schema.pattern_menu(MappedTriples(mapping(spark, sf, _MENU_CLASSES)))
 
 
 @case("G4_filter_paths", f"""with p as ({_paths_sql(_EDGES, 'true', 4)}),
@@ -129,7 +129,7 @@ def g4c(spark, sf):
 @case("G7_observed_domain_range", f"""with m as ({_MENU}) select p, 'domain' as side, s_class as cls, n from m
     union all select p, 'range', target, n from m where kind = 'edge'""")
 def g7(spark, sf):
-    return schema.observed_domain_range(materialize(mapping(spark, sf, _MENU_CLASSES)))
+    return schema.observed_domain_range(MappedTriples(mapping(spark, sf, _MENU_CLASSES)))
 
 
 @case("G7_inferred_domain_range", f"""with m as ({_MENU}) select p, s_class as domain,

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tripleframe import ClassMap, EdgeMap, Graph, Mapping, Tbox, iri, lexical, local_name, materialize, namespace, value
+from tripleframe import ClassMap, EdgeMap, Graph, Mapping, Tbox, iri, lexical, local_name, mapping_stats, materialize, namespace, value
 from tripleframe.functions import nt_escape, nt_unescape
 from tripleframe.functions.terms import RDF_TYPE
 from tripleframe.operators import audit, paths, reason, schema
@@ -416,3 +416,25 @@ def test_lines_follow_the_public_grammar(spark):
              "<http://s> <http://p q> <http://o> .", "_:b! <http://p> <http://o> .", "<http://s> _:p <http://o> .", "<http://s\\u00e9> <http://p> _:b.1 ."]
     got = store.parse_nt(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [r.problem is None for r in got] == [True, True, True, False, False, False, False, False, True]
+
+
+def test_keys_of_different_types(spark):
+    """Text keys over numbers find what is a number, and what is none dangles; nothing aborts."""
+    kids = spark.createDataFrame([(1, "7", "7"), (2, " 8", "x"), (3, "n", None), (4, None, "9"), (5, "11", "8")], "id int, up string, other string")
+    tops = spark.createDataFrame([(7,), (8,), (9,)], "id long")
+    links = spark.createDataFrame([("1", 7), ("n", 8), ("3", 99)], "kid string, top int")
+    m = Mapping(NS, [ClassMap("Kid", kids, ["id"], unique=True), ClassMap("Top", tops, ["id"], unique=True)],
+                [EdgeMap("up", "Kid", "Top", "domain_fk", ["up"]), EdgeMap("down", "Top", "Kid", "range_fk", ["other"]), EdgeMap("tied", "Kid", "Top", "junction", ["kid"], ["top"], links)])
+    stored = {tuple(r) for r in materialize(m, preds=["up", "down", "tied"]).select("s", "p", "o").collect()}
+    kid, top = (lambda i: f"{NS}kid/{i}"), (lambda i: f"{NS}top/{i}")
+    want = {(kid(1), NS + "up", top(7)), (kid(2), NS + "up", top(8)), (top(7), NS + "down", kid(1)), (top(9), NS + "down", kid(4)), (top(8), NS + "down", kid(5)), (kid(1), NS + "tied", top(7))}
+    assert stored == want
+    g = Graph.virtual(m)
+    assert {(r.a, NS + p, r.b) for p in ("up", "down", "tied") for r in g.match(("?a", p, "?b")).collect()} == want
+    assert {(r.a, r.b) for r in g.match(("?a", "up", "?t"), ("?b", "tied", "?t")).collect()} == {(kid(1), kid(1))}
+    assert g.match(("?a", "up", top(8))).first().a == kid(2)
+    rates = {r.edge: (r.total, r.hit) for r in audit.fk_hit_rates(m, side="both").collect()}
+    assert rates == {"up": (4, 2), "down": (4, 3), "tied": (3, 2), "tied:domain": (3, 2)}
+    edges = {r.edge: (r.kept, r.null_key, r.dangling) for r in audit.reconcile_edges(m).collect()}
+    assert edges == {"up": (2, 1, 2), "down": (3, 1, 1), "tied": (1, 0, 2)}
+    assert {r.mapping: r.n_triples for r in mapping_stats(m).collect()}["map-up"] == 2

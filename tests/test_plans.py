@@ -108,6 +108,43 @@ def test_wanted_predicates_prune_tables(spark):
     assert materialize(Mapping(NS, m.classes), preds=["none"]).count() == 0
 
 
+def scans(df):
+    return plan(df).count("Scan parquet")
+
+
+def test_unmade_triples_read_only_what_is_asked_for(spark):
+    from tripleframe import MappedTriples
+    from tripleframe.operators import reason, schema
+    m, ontology = mapping(spark, SF), tbox(spark)
+    lazy, whole = MappedTriples(m), materialize(m)
+    tables = 12  # of the mapping
+    for preds in (["segment"], ["placedBy"], ["a"], ["segment", "containsPart"]):
+        assert scans(lazy.only(preds)) == scans(materialize(m, preds=preds)) < scans(whole)
+    g, stored = Graph.materialized(lazy, NS), Graph.materialized(whole, NS)
+    patterns = [("?o", "placedBy", "?c"), ("?c", "segment", "?s"), ("?o", "total", "?t")]
+    assert scans(g.match(*patterns)) == 4 and g.match(*patterns).exceptAll(stored.match(*patterns)).isEmpty()
+    assert g.count_by(["s"], *patterns).exceptAll(stored.count_by(["s"], *patterns)).isEmpty()
+    assert g.match(("?s", "?p", f"{NS}nation/3")).exceptAll(stored.match(("?s", "?p", f"{NS}nation/3"))).isEmpty()
+    for rule in (reason.widen_types, reason.widen_edges, reason.type_by_domain, reason.type_by_range):
+        few, many = rule(lazy, ontology), rule(whole, ontology)
+        assert scans(few) <= 2 * tables < scans(many)
+        assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+    assert reason.widen(lazy, ontology).exceptAll(reason.widen(whole, ontology)).isEmpty()
+    assert reason.inverse_edges(lazy, ontology.inverse).exceptAll(reason.inverse_edges(whole, ontology.inverse)).isEmpty()
+    few = audit.coverage(lazy, ontology)
+    assert scans(few) <= 2 * tables and sorted(few.collect()) == sorted(audit.coverage(whole, ontology).collect())
+    apart = mapping(spark, SF, ["Customer", "Nation", "Region", "Order"])
+    few, many = schema.pattern_menu(MappedTriples(apart)), schema.pattern_menu(materialize(apart))
+    assert scans(few) <= 2 * 4 and "concat" not in plan(few) and sorted(few.select(many.columns).collect()) == sorted(many.collect())
+    few, many = schema.pattern_menu(lazy), schema.pattern_menu(whole)  # orders and urgent orders share IRIs
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+
+
+def test_lint_reads_triples_once(spark):
+    m = mapping(spark, SF, ["Customer", "Order"])
+    assert scans(audit.lint_graph(materialize(m))) == scans(materialize(m))
+
+
 def test_stored_lookup_prunes_folders(spark, tmp_path):
     from tripleframe.sources.triples import load_triples, save_triples
     path = str(tmp_path / "s")

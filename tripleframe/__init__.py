@@ -2,11 +2,11 @@
 from tripleframe.functions.terms import iri, lexical, local_name, namespace, value
 from tripleframe.model import TRIPLE_SCHEMA, ClassMap, EdgeMap, Mapping, Tbox
 from tripleframe.operators.triplify import (
-    class_triples, const_edge, direct_map, edge_triples, literal_triples, mapping_stats, materialize,
+    MappedTriples, class_triples, const_edge, direct_map, edge_triples, literal_triples, mapping_stats, materialize,
 )
 from tripleframe.plans.graph import Graph
 from tripleframe.plans.patterns import Literal
 
-__all__ = ["TRIPLE_SCHEMA", "ClassMap", "EdgeMap", "Graph", "Literal", "Mapping", "Tbox", "class_triples",
+__all__ = ["TRIPLE_SCHEMA", "ClassMap", "EdgeMap", "Graph", "Literal", "MappedTriples", "Mapping", "Tbox", "class_triples",
            "const_edge", "direct_map", "edge_triples", "iri", "lexical", "literal_triples", "local_name",
            "mapping_stats", "materialize", "namespace", "value"]

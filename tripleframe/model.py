@@ -23,6 +23,12 @@ TRIPLE_COLS = TRIPLE_SCHEMA.fieldNames()
 EDGE_MODES = ("domain_fk", "range_fk", "junction")
 
 
+def like(col: Column, have: T.DataType, want: T.DataType) -> Column | None:
+    """``col`` as a value of type ``want`` to compare it with, NULL if it is none; None where the types compare as they are."""
+    whole = isinstance(have, T.IntegralType) and isinstance(want, T.IntegralType)
+    return None if whole or have == want or isinstance(want, T.NullType) else col.try_cast(want.simpleString())
+
+
 @dataclass(frozen=True)
 class Template:
     """Shape of the IRIs of a class: two templates with the same shape give comparable keys."""
@@ -121,6 +127,13 @@ class Link:
     parents: tuple[tuple[ClassMap, tuple[str, ...]], ...]
     # class whose own table is scanned, when it is one
     owner: ClassMap | None
+    # the link on the key columns as they are, where their types differ from those of the parents' keys
+    given: "Link | None" = None
+
+    @property
+    def as_given(self) -> "Link":
+        """The link on raw key columns, for audits of what is in them."""
+        return self.given or self
 
     @property
     def checks(self) -> tuple[tuple[ClassMap, tuple[str, ...]], ...]:
@@ -175,7 +188,28 @@ class Mapping:
         missing = [c for c in [*s, *o] if c not in df.columns]
         if missing:
             return f"edge {e.name}: column {', '.join(missing)} is not in its table, skipped"
-        return Link(e, a, b, df, tuple(s), tuple(o), tuple((c, tuple(k)) for c, k in parents), owner)
+        link = Link(e, a, b, df, tuple(s), tuple(o), tuple((c, tuple(k)) for c, k in parents), owner)
+        return self._fitted(link)
+
+    @staticmethod
+    def _fitted(link: Link) -> Link:
+        """Key columns brought to the type of the parent's key, so that text `7` finds the number 7 and text `n` finds nothing."""
+        new: dict[str, Column] = {}
+        parents = []
+        for cm, cols in link.parents:
+            names = []
+            for c, k in zip(cols, cm.pk):
+                have, want = link.df.schema[c].dataType, cm.df.schema[k].dataType
+                fit = like(F.col(c), have, want)
+                name = c if fit is None else f"__{c}_as_{want.simpleString()}"
+                if fit is not None:
+                    new[name] = fit
+                names.append(name)
+            parents.append((cm, tuple(names)))
+        if not new:
+            return link
+        ends = {"domain_fk": (link.s_cols, parents[0][1]), "range_fk": (parents[0][1], link.o_cols)}.get(link.edge.mode) or (parents[0][1], parents[1][1])
+        return replace(link, df=link.df.withColumns(new), s_cols=ends[0], o_cols=ends[1], parents=tuple(parents), given=link)
 
     def iri(self, name: str) -> str:
         """Full IRI of a class or property; names that already are IRIs pass through."""

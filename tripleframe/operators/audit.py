@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from tripleframe.functions import terms
-from tripleframe.model import RDF_TYPE, ClassMap, Link, Mapping, Tbox
+from tripleframe.model import RDF_TYPE, ClassMap, Link, Mapping, Tbox, like
+from tripleframe.operators.triplify import MappedTriples
 from tripleframe.plans.support import broadcast_if_small, union_all
 
 WARN_BELOW = 0.9
@@ -35,7 +36,8 @@ def _parents(parent: ClassMap, tag: str) -> DataFrame:
 
 
 def _with_parent(rows: DataFrame, parent: ClassMap, cols, tag: str) -> DataFrame:
-    return rows.join(_parents(parent, tag), [F.col(c) == F.col(f"{tag}{i}") for i, c in enumerate(cols)], "left")
+    fit = [like(F.col(c), rows.schema[c].dataType, parent.df.schema[k].dataType) for c, k in zip(cols, parent.pk)]
+    return rows.join(_parents(parent, tag), [(F.col(c) if x is None else x) == F.col(f"{tag}{i}") for i, (c, x) in enumerate(zip(cols, fit))], "left")
 
 
 def _two_counts(a: DataFrame, a_name: str, b: DataFrame, b_name: str) -> DataFrame:
@@ -77,7 +79,7 @@ def fk_hit_rates(m: Mapping, edges: list[str] | None = None, sample_n: int | Non
     middle. For a junction the range side is checked; ``side="both"`` adds the domain side.
     """
     frames = []
-    for link in m.links:
+    for link in (x.as_given for x in m.links):
         if edges is not None and link.edge.name not in edges:
             continue
         for name, parent, cols, order in _checked(link, side):
@@ -104,7 +106,7 @@ def reconcile_edges(m: Mapping, edges: list[str] | None = None) -> DataFrame:
     with a NULL in any key column of either end; what is left over dangles.
     """
     frames = []
-    for link in m.links:
+    for link in (x.as_given for x in m.links):
         if edges is not None and link.edge.name not in edges:
             continue
         used = list(dict.fromkeys([*link.s_cols, *link.o_cols]))
@@ -306,16 +308,21 @@ def _used_names(triples: DataFrame) -> DataFrame:
     return triples.groupBy("p", F.when(F.col("p") == RDF_TYPE, F.col("o")).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def coverage(triples: DataFrame, tbox: Tbox) -> DataFrame:
-    """Declared classes and properties that no triple uses; a property is also used by its inverse."""
+def coverage(triples: DataFrame | MappedTriples, tbox: Tbox) -> DataFrame:
+    """Declared classes and properties that no triple uses; a property is also used by its inverse.
+
+    For a mapping nothing is written out: its outputs are counted on the tables.
+    """
     inv = tbox.inverse.toDF("a", "b")
     both = inv.union(inv.select("b", "a"))
-    names = _used_names(triples).select(F.explode(F.array("p", "cls")).alias("name")).where("name is not null")
+    seen = triples.counts().where("n > 0").select("p", F.when(F.col("p") == RDF_TYPE, F.col("o_class")).alias("cls")) if isinstance(triples, MappedTriples) else _used_names(triples)
+    names = seen.select(F.explode(F.array("p", "cls")).alias("name")).where("name is not null")
     used = names.join(both, names["name"] == both["a"], "left").select(
         F.explode(F.array("name", "b")).alias("name")).where("name is not null").distinct()
     declared = tbox.classes.select(F.lit("class").alias("kind"), F.col("cls").alias("name")).union(
         tbox.properties.select(F.lit("property"), "prop")).distinct()
-    return declared.join(used, "name", "left_anti").select("kind", "name")
+    # An anti join would be pushed into both parts of the declared names, and the triples read for each.
+    return declared.join(used.withColumn("used", F.lit(True)), "name", "left").where("used is null").select("kind", "name")
 
 
 def inverse_duplicates(triples: DataFrame, inverse: DataFrame) -> DataFrame:
@@ -419,19 +426,28 @@ def lint_graph(triples: DataFrame) -> DataFrame:
     """Findings on triples: dangling objects, class or property names that differ only in case, and
     properties with several value types.
 
-    One row per finding with how many triples or spellings it concerns.
+    One row per finding with how many triples or spellings it concerns. The triples are read once: every one says what it shows of its nodes,
+    names and type, which is counted per node, name and type, and then per finding.
     """
-    iris = triples.where((F.col("o_kind") == "iri") & (F.col("p") != RDF_TYPE))
-    # Objects and subjects are reduced to distinct nodes before they meet.
-    objects = iris.groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    dangling = objects.join(triples.select(F.col("s").alias("node")).distinct(), "node", "left_anti").select(
-        F.lit("dangling_object").alias("finding"), F.col("node").alias("subject"), "n")
-    names = _used_names(triples).select(F.explode(F.array("p", "cls")).alias("node")).where("node is not null").distinct()
-    case = names.groupBy(F.lower("node").alias("subject")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.lit("same_up_to_case").alias("finding"), "subject", "n")
-    kinds = triples.where("o_kind = 'lit'").select("p", "o_type").distinct().groupBy(F.col("p").alias("subject")).agg(
-        F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("mixed_value_types").alias("finding"), "subject", "n")
-    return dangling.unionByName(case).unionByName(kinds)
+    is_type, is_iri = F.col("p") == RDF_TYPE, F.col("o_kind") == "iri"
+
+    def shown(what: str, a: Column, b: Column, known: Column, uses: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), a.alias("a"), b.alias("b"), known.cast("int").alias("known"), uses.cast("int").alias("uses"))
+
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    cells = F.array(
+        shown("dangling_object", F.col("s"), none, F.lit(1), zero),
+        F.when(is_iri & ~is_type, shown("dangling_object", F.col("o"), none, zero, F.lit(1))),
+        shown("same_up_to_case", F.col("p"), none, zero, zero),
+        F.when(is_type, shown("same_up_to_case", F.col("o"), none, zero, zero)),
+        F.when(~is_iri, shown("mixed_value_types", F.col("p"), F.coalesce("o_type", F.lit("")), zero, zero)))
+    seen = triples.select(F.inline(F.filter(cells, lambda c: c.isNotNull()))).where("a is not null").groupBy("what", "a", "b").agg(F.max("known").alias("known"), F.sum("uses").alias("uses"))
+    subject = F.when(F.col("what") == "same_up_to_case", F.lower("a")).otherwise(F.col("a"))
+    found = seen.groupBy(F.col("what").alias("finding"), subject.alias("subject")).agg(
+        F.max("known").alias("known"), F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("spellings"))
+    dangling = F.col("finding") == "dangling_object"
+    return found.where(F.when(dangling, (F.col("known") == 0) & (F.col("uses") > 0)).otherwise(F.col("spellings") > 1)).select(
+        "finding", "subject", F.when(dangling, F.col("uses")).otherwise(F.col("spellings")).alias("n"))
 
 
 # Fixed value: endings of column names that look like identifiers, besides the plain name "id".

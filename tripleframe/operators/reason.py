@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripleframe.functions.terms import XSD_NS
 from tripleframe.model import RDF_TYPE, TRIPLE_COLS, Tbox
+from tripleframe.operators.triplify import MappedTriples, pick
 from tripleframe.plans.support import broadcast_if_small, cut_lineage, union_all
 
 # Trimming stops when a round removes a smaller share of the edges than this.
@@ -67,17 +68,17 @@ def _typed(node, cls) -> list:
             F.lit(None).cast("string").alias("o_type")]
 
 
-def widen_types(triples: DataFrame, tbox: Tbox) -> DataFrame:
+def widen_types(triples: DataFrame | MappedTriples, tbox: Tbox) -> DataFrame:
     """Type triples that follow from subclass axioms: an instance of a class is one of all its ancestors."""
     up = broadcast_if_small(closure(tbox.sub_class))
-    typed = triples.where(F.col("p") == RDF_TYPE)
+    typed = pick(triples, [RDF_TYPE])
     return typed.join(up, typed["o"] == up["child"]).select(*_typed(F.col("s"), F.col("ancestor"))).distinct()
 
 
-def widen_edges(triples: DataFrame, tbox: Tbox, literals: bool = False) -> DataFrame:
+def widen_edges(triples: DataFrame | MappedTriples, tbox: Tbox, literals: bool = False) -> DataFrame:
     """Triples under all super-properties; object properties only, unless ``literals`` is set."""
     up = broadcast_if_small(closure(tbox.sub_prop))
-    rows = triples if literals else triples.where("o_kind = 'iri'")
+    rows = pick(triples, up.select("child"), None if literals else "iri")
     return rows.join(up, rows["p"] == up["child"]).select(
         "s", F.col("ancestor").alias("p"), "o", "o_kind", "o_type").dropDuplicates(TRIPLE_COLS)
 
@@ -90,29 +91,30 @@ def _declared(tbox: Tbox, part: str) -> DataFrame:
     return axioms.join(tbox.classes.select("cls").distinct(), "cls", "left_semi")
 
 
-def type_by_domain(triples: DataFrame, tbox: Tbox) -> DataFrame:
+def type_by_domain(triples: DataFrame | MappedTriples, tbox: Tbox) -> DataFrame:
     """The subject of a property belongs to the property's domain class."""
     dom = broadcast_if_small(_declared(tbox, "domain"))
-    return triples.join(dom, triples["p"] == dom["prop"]).select(*_typed(F.col("s"), F.col("cls"))).distinct()
+    rows = pick(triples, dom.select("prop"))
+    return rows.join(dom, rows["p"] == dom["prop"]).select(*_typed(F.col("s"), F.col("cls"))).distinct()
 
 
-def type_by_range(triples: DataFrame, tbox: Tbox) -> DataFrame:
+def type_by_range(triples: DataFrame | MappedTriples, tbox: Tbox) -> DataFrame:
     """The object of an object property belongs to the property's range class."""
     rng = broadcast_if_small(_declared(tbox, "range"))
-    rows = triples.where("o_kind = 'iri'")
+    rows = pick(triples, rng.select("prop"), "iri")
     return rows.join(rng, rows["p"] == rng["prop"]).select(*_typed(F.col("o"), F.col("cls"))).distinct()
 
 
-def inverse_edges(triples: DataFrame, inverse: DataFrame) -> DataFrame:
+def inverse_edges(triples: DataFrame | MappedTriples, inverse: DataFrame) -> DataFrame:
     """Triples of each property's inverse, in both directions of the axiom."""
     pairs = canonical_pairs(inverse, *inverse.columns[:2])
     both = broadcast_if_small(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("prop", "inv"))
-    rows = triples.where("o_kind = 'iri'")
+    rows = pick(triples, both.select("prop"), "iri")
     return rows.join(both, rows["p"] == both["prop"]).select(
         F.col("o").alias("s"), F.col("inv").alias("p"), F.col("s").alias("o"), "o_kind", "o_type").distinct()
 
 
-def widen(triples: DataFrame, tbox: Tbox) -> DataFrame:
+def widen(triples: DataFrame | MappedTriples, tbox: Tbox) -> DataFrame:
     """Triples plus everything the four rules add, as a set.
 
     Only triples under a predicate that a rule can produce are compared; all others pass through
@@ -122,8 +124,12 @@ def widen(triples: DataFrame, tbox: Tbox) -> DataFrame:
     made = broadcast_if_small(
         closure(tbox.sub_prop).select(F.col("ancestor").alias("p")).distinct()
         .union(tbox.spark.createDataFrame([(RDF_TYPE,)], "p string")))
-    touched = triples.join(made, "p", "left_semi").select(*TRIPLE_COLS)
-    rest = triples.join(made, "p", "left_anti").select(*TRIPLE_COLS)
+    if isinstance(triples, MappedTriples):
+        names = {r.p for r in made.where(F.col("p").isin(triples.predicates())).collect()}
+        touched, rest = triples.only(sorted(names)), triples.only([p for p in triples.predicates() if p not in names])
+    else:
+        touched = triples.join(made, "p", "left_semi").select(*TRIPLE_COLS)
+        rest = triples.join(made, "p", "left_anti").select(*TRIPLE_COLS)
     return rest.unionByName(touched.unionByName(added).dropDuplicates(TRIPLE_COLS))
 
 

@@ -6,19 +6,30 @@ from pyspark.sql import functions as F
 
 from tripleframe.functions.terms import XSD_NS, local_name, namespace, xsd_name
 from tripleframe.model import RDF_TYPE, Mapping
-from tripleframe.operators.triplify import edge_stats
+from tripleframe.operators.triplify import MappedTriples, edge_stats, pick
 from tripleframe.plans.support import local_frame, union_all
 
 
-def pattern_menu(triples: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def _mapped_menu(triples: MappedTriples) -> DataFrame:
+    target = F.coalesce("o_class", "o_type")
+    kind = F.when(F.col("o_class").isNotNull(), "edge").otherwise("literal")
+    out = triples.counts().where(F.col("p") != RDF_TYPE).groupBy("s_class", "p", target.alias("target"), kind.alias("kind")).agg(F.sum("n").alias("n"))
+    return out.where("n > 0")
+
+
+def pattern_menu(triples: DataFrame | MappedTriples, labels: DataFrame | None = None) -> DataFrame:
     """Observed patterns: (subject class, predicate, object class or literal type), with counts.
 
+    Of a mapping whose classes have no IRIs in common, where every node's class is known, the tables are counted and no triple is made. Else
     ``triples`` is a set. Facts meet the class of their subject first; literals are then counted away.
     Edges are counted per (object, subject class, predicate) before they meet the class of their object,
     so an object that a third of all edges point to is joined as a few rows.
     """
-    types = triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("node"), F.col("o").alias("cls"))
-    facts = triples.where(F.col("p") != RDF_TYPE).select(
+    if isinstance(triples, MappedTriples) and triples.typed_apart():
+        return _with_labels(_mapped_menu(triples), labels)
+    types = pick(triples, [RDF_TYPE]).select(F.col("s").alias("node"), F.col("o").alias("cls"))
+    facts = triples.only([p for p in triples.predicates() if p != RDF_TYPE]) if isinstance(triples, MappedTriples) else triples.where(F.col("p") != RDF_TYPE)
+    facts = facts.select(
         "s", "p", "o_kind", "o_type", F.when(F.col("o_kind") == "iri", F.col("o")).alias("o"))
     mine = types.select(F.col("node").alias("s"), F.col("cls").alias("s_class"))
     theirs = types.select(F.col("node").alias("o"), F.col("cls").alias("o_class"))
@@ -26,8 +37,11 @@ def pattern_menu(triples: DataFrame, labels: DataFrame | None = None) -> DataFra
     met = seen.join(theirs, "o", "left")
     target = F.when(F.col("o_kind") == "iri", F.col("o_class")).otherwise(F.col("o_type"))
     kind = F.when(F.col("o_kind") == "iri", "edge").otherwise("literal")
-    out = met.groupBy("s_class", "p", target.alias("target"), kind.alias("kind")).agg(F.sum("n").alias("n"))
-    out = out.withColumn("self_loop", (F.col("kind") == "edge") & F.coalesce(F.col("s_class") == F.col("target"), F.lit(False)))
+    return _with_labels(met.groupBy("s_class", "p", target.alias("target"), kind.alias("kind")).agg(F.sum("n").alias("n")), labels)
+
+
+def _with_labels(menu: DataFrame, labels: DataFrame | None) -> DataFrame:
+    out = menu.withColumn("self_loop", (F.col("kind") == "edge") & F.coalesce(F.col("s_class") == F.col("target"), F.lit(False)))
     if labels is None:
         return out
     return out.join(labels.select(F.col("name").alias("p"), "label"), "p", "left")
@@ -50,7 +64,7 @@ def schema_edges(m: Mapping) -> DataFrame:
         local_name("domain").alias("s"), local_name("p").alias("p"), local_name("range").alias("o"))
 
 
-def observed_domain_range(triples: DataFrame) -> DataFrame:
+def observed_domain_range(triples: DataFrame | MappedTriples) -> DataFrame:
     """Classes that subjects and objects of every predicate really have, with counts."""
     side = lambda name, cls: F.struct(F.lit(name).alias("side"), cls.alias("cls"))
     ends = F.when(F.col("kind") == "edge", F.array(side("domain", F.col("s_class")), side("range", F.col("target")))).otherwise(

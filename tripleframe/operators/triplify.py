@@ -309,7 +309,11 @@ def materialize(m: Mapping, tbox: Tbox | None = None, preds: list[str] | None =
     domain and range classes; these rules do not feed each other. With ``preds`` only triples of those
     predicates are made, and tables that have none are not read.
     """
-    parts = _parts(m, Widening.of(m, tbox), None if preds is None else {m.iri(p) for p in preds})
+    return _materialized(m, Widening.of(m, tbox), None if preds is None else {m.iri(p) for p in preds})
+
+
+def _materialized(m: Mapping, w: Widening, wanted: set[str] | None) -> DataFrame:
+    parts = _parts(m, w, wanted)
     done = [p.frame for p in parts if p.distinct]
     rest = [p.frame for p in parts if not p.distinct]
     if rest:
@@ -319,6 +323,113 @@ def materialize(m: Mapping, tbox: Tbox | None = None, preds: list[str] | None =
     return union_all(done)
 
 
+class MappedTriples:
+    """The triples of a mapping before they are a frame: who asks for some predicates gets a frame that reads only the tables of those.
+
+    A frame of all triples hides its predicates from Spark, which then reads every table for each of them. The operators of :mod:`reason`, :mod:`schema` and
+    :mod:`audit` that look at some predicates, and ``Graph.materialized``, take this in place of a frame and ask for what they need.
+    """
+
+    def __init__(self, m: Mapping, tbox: Tbox | None = None):
+        self.m, self.w = m, Widening.of(m, tbox)
+        self.kinds: dict[str, set[str]] = {}
+        for cm in m.classes:
+            for out, _ in _class_outputs(m, cm, self.w):
+                self.kinds.setdefault(out.pred, set()).add("iri" if out.xsd is None else "lit")
+        for link in m.links:
+            pred = m.iri(link.edge.name)
+            for p in [pred, *self.w.super_props.get(pred, ())]:
+                self.kinds.setdefault(p, set()).add("iri")
+
+    @property
+    def sparkSession(self):
+        return self.m.classes[0].df.sparkSession
+
+    def predicates(self, kind: str | None = None) -> list[str]:
+        """Predicates that the mapping may give, of all kinds of objects or of one (``iri`` or ``lit``)."""
+        return sorted(p for p, ks in self.kinds.items() if kind is None or kind in ks)
+
+    def only(self, preds: list[str] | DataFrame | None = None, kind: str | None = None) -> DataFrame:
+        """Triples of some predicates (names, or a frame of one column of IRIs) and of one kind of objects."""
+        wanted = set(self.predicates(kind))
+        if isinstance(preds, DataFrame):
+            wanted &= {r[0] for r in preds.where(F.col(preds.columns[0]).isin(sorted(wanted))).distinct().collect()}
+        elif preds is not None:
+            wanted &= {self.m.iri(p) for p in preds}
+        out = _materialized(self.m, self.w, wanted)
+        return out if kind is None or all(len(self.kinds[p]) == 1 for p in wanted) else out.where(F.col("o_kind") == kind)
+
+    def counts(self) -> DataFrame:
+        """``s_class``, ``p``, ``o_class`` (NULL for literals), ``o_type`` and ``n`` of every output of the mapping, counted on the tables.
+
+        A type is an output with ``o_class`` as its object. One scan per class counts its rows and literals, and the rows of a foreign key in its own table
+        with them, on counts per key; every other edge takes a scan of its own. No text is built. Rows of a class without a unique key count each.
+        """
+        m, w, frames = self.m, self.w, []
+        merged: set[int] = set()
+
+        def items(n: Column, pred: str, s_class: str, o_class: str | None, xsd: str | None) -> Column:
+            return F.struct(F.lit(s_class).alias("s_class"), F.lit(pred).alias("p"), F.lit(o_class).cast("string").alias("o_class"),
+                            F.lit(xsd).cast("string").alias("o_type"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n"))
+
+        def edge_items(link: Link, n: Column) -> list[Column]:
+            pred, a, b = m.iri(link.edge.name), m.iri(link.domain.name), m.iri(link.range.name)
+            out = [items(n, p, a, b, None) for p in [pred, *w.super_props.get(pred, ())]]
+            return out + [items(n, RDF_TYPE, cls, t, None) for cls, extra in ((a, w.domain), (b, w.range)) for t in extra.get(pred, ())]
+
+        for cm in m.classes:
+            own = m.iri(cm.name)
+            measures = {"__rows": F.lit(1)} | {f"__{i}": F.when(terms.present(F.col(c), x, cm.df.schema[c].dataType), 1).otherwise(0) for i, (c, x) in enumerate(cm.props.values())}
+            rows = _keyed(cm.df, cm.pk)
+            link = next((x for x in m.links if x.owner is cm and x.df is cm.df and len(x.checks) == 1 and x.unique), None)
+            if link is not None:
+                merged.add(id(link))
+                parent, cols = link.parents[0]
+                rows = rows.groupBy(*cols).agg(*[F.sum(v).alias(k) for k, v in measures.items()])
+                keys = parent.df.select(*[F.col(k).alias(f"__pk{i}") for i, k in enumerate(parent.pk)], F.lit(1).alias("__hit"))
+                keys = keys if parent.unique else keys.distinct()
+                rows = rows.join(keys, [F.col(c) == F.col(f"__pk{i}") for i, c in enumerate(cols)], "left")
+                one = rows.agg(*[F.sum(k).alias(k) for k in measures], F.sum(F.when(F.col("__hit") == 1, F.col("__rows"))).alias("__edge"))
+            else:
+                one = rows.agg(*[F.sum(v).alias(k) for k, v in measures.items()])
+            n = F.col("__rows")
+            cells = [items(n, RDF_TYPE, own, t, None) for t in w.types(m, cm)]
+            for i, (prop, (_, x)) in enumerate(cm.props.items()):
+                cells.append(items(F.col(f"__{i}"), m.iri(prop), own, None, terms.xsd_name(x)))
+                cells += [items(F.col(f"__{i}"), RDF_TYPE, own, t, None) for t in w.domain.get(m.iri(prop), ()) if t not in w.types(m, cm)]
+            for prop, obj in cm.consts.items():
+                cells += [items(n, p, own, m.iri(obj), None) for p in [m.iri(prop), *w.super_props.get(m.iri(prop), ())]]
+                cells += [items(n, RDF_TYPE, own, t, None) for t in w.domain.get(m.iri(prop), ()) if t not in w.types(m, cm)]
+            if link is not None:
+                cells += edge_items(link, F.col("__edge"))
+            frames.append(one.select(F.inline(F.array(*cells))))
+        for link in m.links:
+            if id(link) not in merged:
+                frames.append(edge_keys(link).agg(F.count(F.lit(1)).alias("__n")).select(F.inline(F.array(*edge_items(link, F.col("__n"))))))
+        return union_all(frames)
+
+    def typed_apart(self) -> bool:
+        """Whether the class of every node is known from where it is made: no two classes share IRIs, keys are unique, ends of edges exist, and no axiom adds types."""
+        m, w = self.m, self.w
+        tpls = [m.template(cm) for cm in m.classes]
+        if not all(cm.unique and m.template(cm).injective(cm.dtypes(cm.pk)) and not cm.consts for cm in m.classes):
+            return False
+        if any(not a.disjoint(b) for i, a in enumerate(tpls) for b in tpls[:i]) or w.domain or w.range or any(w.super_props.values()) or any(w.supers.values()):
+            return False
+        names = [m.iri(p) for cm in m.classes for p in cm.props] + [m.iri(x.edge.name) for x in m.links]
+        sure = lambda x: {id(c) for c, _ in x.checks} | ({id(x.owner)} if x.owner else set()) >= {id(x.domain), id(x.range)}
+        return len(set(m.iri(x.edge.name) for x in m.links)) == len(m.links) and len(names) >= len(set(names)) and all(sure(x) and _pairs_injective(m, x) for x in m.links)
+
+
+def pick(triples: "DataFrame | MappedTriples", preds: list[str] | DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """Triples that an operator looks at. Of a frame only the kind of objects is cut down, as joins with predicates do the rest, unless ``preds`` is a list."""
+    if isinstance(triples, MappedTriples):
+        return triples.only(preds, kind)
+    if isinstance(preds, list):
+        triples = triples.where(F.col("p").isin(preds)) if len(preds) > 1 else triples.where(F.col("p") == preds[0])
+    return triples if kind is None else triples.where(F.col("o_kind") == kind)
+
+
 def emitted(m: Mapping) -> DataFrame:
     """Plain union of all outputs of a mapping, repeats included (parents never multiply rows)."""
     w = Widening.none()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tripleframe.functions import terms
 from tripleframe.model import RDF_TYPE, TRIPLE_COLS, Mapping, Tbox
+from tripleframe.operators.triplify import MappedTriples
 from tripleframe.plans.patterns import (
     Literal, Pattern, hidden, in_join_order, is_var, longest_chain, normalise,
 )
@@ -20,7 +21,8 @@ from tripleframe.plans.patterns import (
 
 class Graph(ABC):
     @staticmethod
-    def materialized(triples: DataFrame, ns: str = "") -> "StoredGraph":
+    def materialized(triples: DataFrame | MappedTriples, ns: str = "") -> "StoredGraph":
+        """A graph of stored triples, or of those of a mapping, of which a pattern then makes the ones it asks for."""
         return StoredGraph(triples, ns)
 
     @staticmethod
@@ -176,8 +178,15 @@ def _only_iris(df: DataFrame, v: str) -> DataFrame:
 class StoredGraph(Graph):
     """Patterns over a triples frame. With triples stored by predicate, a pattern reads one folder."""
 
-    def __init__(self, triples: DataFrame, ns: str = ""):
-        self.df, self.ns = triples.select(*TRIPLE_COLS), ns
+    def __init__(self, triples: DataFrame | MappedTriples, ns: str = ""):
+        self.source, self.ns = triples, ns
+
+    def _some(self, preds: list[str] | None = None) -> DataFrame:
+        """Triples of some predicates, or all."""
+        if isinstance(self.source, MappedTriples):
+            return self.source.only(preds)
+        rows = self.source.select(*TRIPLE_COLS)
+        return rows if preds is None else rows.where(F.col("p").isin(preds) if len(preds) > 1 else F.col("p") == preds[0])
 
     def iri(self, name: str) -> str:
         if name in ("a", "rdf:type"):
@@ -185,7 +194,7 @@ class StoredGraph(Graph):
         return name if "://" in name or name.startswith(("urn:", "_:")) else self.ns + name
 
     def _pattern(self, p: Pattern) -> DataFrame:
-        rows, cols, seen = self.df, [], set()
+        rows, cols, seen = self._some(None if is_var(p.p) else [p.p]), [], set()
 
         def bind(term, col, kinded=False):
             nonlocal rows
@@ -208,7 +217,8 @@ class StoredGraph(Graph):
                     cols.extend([F.col("o_kind").alias(f"{term[1:]}__kind"),
                                  F.col("o_type").alias(f"{term[1:]}__type")])
 
-        bind(p.p, "p")
+        if is_var(p.p):
+            bind(p.p, "p")
         bind(p.s, "s")
         bind(p.o, "o", kinded=True)
         return rows.select(*cols) if cols else rows.select(F.lit(True).alias("__hit"))
@@ -270,7 +280,7 @@ class StoredGraph(Graph):
         per subject and multiplied out again, so a property with two values gives two rows, and a subject without one of them none.
         """
         preds = {out: self.iri(p) for out, p in props.items()}
-        rows = self.df.where(F.col("p").isin([RDF_TYPE, *preds.values()]))
+        rows = self._some(sorted({RDF_TYPE, *preds.values()}))
         is_cls = (F.col("p") == RDF_TYPE) & (F.col("o") == self.iri(cls))
         out = rows.groupBy(F.col("s").alias("x")).agg(
             F.max(is_cls).alias("__is"),
