@@ -105,7 +105,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(words: DataFrame) -> DataFrame:
     """``word``, ``n``, ``other`` and ``other_n``: every word with each one that differs by exactly one inserted, deleted or replaced letter, both ways."""
     sides = words.select("word", "n").mapInArrow(_signed, "sig long, kind byte, word string, n long")
-    fit = F.expr(f"x.sig = y.sig and (x.kind = {SAME} and y.kind = {SAME} and x.word < y.word or x.kind = {SHORT} and y.kind = {LONG}) and levenshtein(x.word, y.word, 1) = 1")
+    # The kinds are compared in one number: conditions on one side alone would make the sides differ, and both would be shuffled.
+    both = "x.kind * 3 + y.kind"
+    fit = F.expr(f"x.sig = y.sig and ({both} = {4 * SAME} and x.word < y.word or {both} = {3 * SHORT + LONG}) and levenshtein(x.word, y.word, 1) = 1")
     pairs = sides.alias("x").join(sides.alias("y"), fit).select("x.word", "x.n", F.col("y.word").alias("other"), F.col("y.n").alias("other_n"))
     pairs = cut_lineage(pairs.distinct())
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
