@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 DIMS = 1024
 UNKNOWN = "@und"
-_DENSE = 96  # alphabets up to this size count trigrams in a table, larger ones by sorting
-_GROUP = 1 << 20
+_GROUP, _BLOCK = 1 << 19, 4096  # characters of a group of texts, trigrams of a block
+_SLICE = 256  # texts whose vectors are held at once
 LOW = 0.001  # share of the tagged texts of a language and length that may resemble it less than its bound asks
 _SIZES = 32  # lengths by powers of two
 _STEPS = 1000  # cosines are counted by thousandths
@@ -37,36 +37,34 @@ def _is_letter(code: int) -> bool:
     return chr(code).isalpha()
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigrams (rows of three code points) and how often each text has each; no letters, no trigrams.
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams (rows of three code points), and for every trigram in the texts its text and its row, rows rising; no letters, no trigrams.
 
     Texts are lower-cased, and every run of other characters is one space, also at both ends.
     """
-    flat = np.frombuffer(("\n" + "\n\n".join(t.lower() for t in texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    low = [t.lower() for t in texts]
+    flat = np.frombuffer(("\n" + "\n\n".join(low) + "\n").encode("utf-32-le", "replace"), np.uint32)
     codes = np.unique(flat)
     letter = np.array([_is_letter(int(c)) for c in codes])
     rank = np.where(letter, np.cumsum(letter), 0)  # 0: the space
     ids = rank[np.searchsorted(codes, flat)] if len(codes) > 4096 else _lookup(codes, rank, flat)
     edge = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t.lower()) + 2 for t in texts], out=edge[1:])
+    np.cumsum([len(t) + 2 for t in low], out=edge[1:])
     own = np.repeat(np.arange(len(texts)), np.diff(edge))
-    keep = (ids > 0) | np.concatenate([[True], (ids[1:] == 0) & (ids[:-1] > 0)]) | np.isin(np.arange(len(ids)), edge)
+    keep = (ids > 0) | np.concatenate([[True], (ids[1:] == 0) & (ids[:-1] > 0)])
+    keep[edge[:-1]] = True
     # a run of spaces keeps its first; the space in front of a text is kept unless letters never came
     ids, own = ids[keep], own[keep]
     a, b, c = ids[:-2], ids[1:-1], ids[2:]
     good = (own[:-2] == own[2:]) & (b > 0)
     size = int(letter.sum()) + 1
     gram, own = ((a * size + b) * size + c)[good], own[:-2][good]
-    if size <= _DENSE:
-        used = np.flatnonzero(np.bincount(gram, minlength=1))
-        table = np.zeros(size ** 3, np.int64)
-        table[used] = np.arange(len(used))
-        col = table[gram]
-    else:
-        used, col = np.unique(gram, return_inverse=True)
-    counts = np.bincount(own * len(used) + col, minlength=len(texts) * len(used)).reshape(len(texts), len(used))
+    order = np.argsort(gram)
+    gram, own = gram[order], own[order]
+    new = np.diff(gram, prepend=-1) != 0
+    used, row = gram[new], np.cumsum(new) - 1
     back = np.concatenate([[32], codes[letter]]).astype(np.int64)
-    return np.stack([back[used // (size * size)], back[used // size % size], back[used % size]], 1), counts
+    return np.stack([back[used // (size * size)], back[used // size % size], back[used % size]], 1), own, row
 
 
 def _lookup(codes: np.ndarray, rank: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -81,21 +79,27 @@ def bundles(texts: list[str], dims: int = DIMS, seed: int = 1) -> np.ndarray:
 
 
 def _bundles(texts: list[str], dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors, and how many letters each text has."""
+    """The vectors, and how many letters each text has.
+
+    Texts are taken in groups, a group's trigrams in blocks: what is held at once does not grow with the alphabet.
+    """
     out, letter_counts, at = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), np.int64), 0
     while at < len(texts):
         to, size = at, 0
         while to < len(texts) and (to == at or size + len(texts[to]) <= _GROUP):
             size += len(texts[to])
             to += 1
-        grams, counts = _grams(texts[at:to])
-        if len(grams):
-            letters, place = np.unique(grams, return_inverse=True)
+        grams, own, row = _grams(texts[at:to])
+        letter_counts[at:to] = np.bincount(own, minlength=to - at)
+        edge = np.searchsorted(row, np.arange(0, len(grams) + _BLOCK, _BLOCK))
+        for b, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            part = grams[b * _BLOCK:(b + 1) * _BLOCK]
+            letters, place = np.unique(part, return_inverse=True)
             base = np.stack([_letter(int(x), dims, seed) for x in letters])
-            place = place.reshape(grams.shape)
+            place = place.reshape(part.shape)
             bound = np.roll(base, 2, 1)[place[:, 0]] * np.roll(base, 1, 1)[place[:, 1]] * base[place[:, 2]]
-            out[at:to] = counts.astype(np.float32) @ bound.astype(np.float32)
-            letter_counts[at:to] = counts.sum(1)
+            counts = np.bincount(own[lo:hi] * len(part) + row[lo:hi] - b * _BLOCK, minlength=(to - at) * len(part)).reshape(to - at, len(part))
+            out[at:to] += counts.astype(np.float32) @ bound.astype(np.float32)
         at = to
     return out, letter_counts
 
@@ -113,15 +117,20 @@ class LanguageProfiles:
     lengths: np.ndarray | None = None  # of the sums that the prototypes come from
 
     def guess(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        v = bundles(texts, self.prototypes.shape[1], self.seed).astype(np.float64)
-        length = np.sqrt((v * v).sum(1))
-        if not self.tags:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cos = v @ self.prototypes.T / np.maximum(length, 1e-9)[:, None]
-        best = cos.argmax(1)
-        score = np.clip(cos[np.arange(len(texts)), best], 0.0, 1.0)
-        tags = [self.tags[b] if n > 0 else UNKNOWN for b, n in zip(best, length, strict=True)]
-        return tags, np.where(length > 0, score, 0.0)
+        tags, scores = [], []
+        for at in range(0, len(texts), _SLICE):
+            v = bundles(texts[at:at + _SLICE], self.prototypes.shape[1], self.seed).astype(np.float64)
+            length = np.sqrt((v * v).sum(1))
+            if not self.tags:
+                tags += [UNKNOWN] * len(v)
+                scores.append(np.zeros(len(v)))
+                continue
+            cos = v @ self.prototypes.T / np.maximum(length, 1e-9)[:, None]
+            best = cos.argmax(1)
+            score = np.clip(cos[np.arange(len(cos)), best], 0.0, 1.0)
+            tags += [self.tags[b] if n > 0 else UNKNOWN for b, n in zip(best, length, strict=True)]
+            scores.append(np.where(length > 0, score, 0.0))
+        return tags, np.concatenate(scores) if scores else np.zeros(0)
 
     def of(self, text: Column) -> Column:
         """A struct (``o_type``, ``score``) for a text column."""
@@ -146,8 +155,8 @@ class LanguageProfiles:
                 tags, texts = np.array(batch.column("o_type").to_pylist(), object), batch.column("o").to_pylist()
                 for t, tag in enumerate(self.tags):
                     own = [texts[i] for i in np.flatnonzero(tags == tag)]
-                    for at in range(0, len(own), 512):
-                        v, letter_counts = _bundles(own[at:at + 512], sums.shape[1], self.seed)
+                    for at in range(0, len(own), _SLICE):
+                        v, letter_counts = _bundles(own[at:at + _SLICE], sums.shape[1], self.seed)
                         v = v[letter_counts > 0].astype(np.float64)
                         rest = sums[t] - v
                         cos = (v * rest).sum(1) / np.maximum(np.sqrt((v * v).sum(1) * (rest * rest).sum(1)), 1e-9)
@@ -171,10 +180,13 @@ class LanguageProfiles:
         """Whether a text has letters and reaches the bound of any language (see :meth:`least_cosines`)."""
         @F.pandas_udf("boolean")
         def enough(column: pd.Series) -> pd.Series:
-            v, letter_counts = _bundles(["" if t is None else t for t in column], self.prototypes.shape[1], self.seed)
-            v = v.astype(np.float64)
-            cos = v @ self.prototypes.T / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
-            return pd.Series((cos >= least[:, _size(letter_counts)].T).any(1) & (letter_counts > 0))
+            out = [np.zeros(0, bool)]
+            for at in range(0, len(column), _SLICE):
+                v, letter_counts = _bundles(["" if t is None else t for t in column[at:at + _SLICE]], self.prototypes.shape[1], self.seed)
+                v = v.astype(np.float64)
+                cos = v @ self.prototypes.T / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
+                out.append((cos >= least[:, _size(letter_counts)].T).any(1) & (letter_counts > 0))
+            return pd.Series(np.concatenate(out))
         return enough(text)
 
 
@@ -197,8 +209,8 @@ def learn_languages(tagged: DataFrame, dims: int = DIMS, seed: int = 1) -> Langu
             texts = batch.column("o").to_pylist()
             for tag in sorted(set(tags)):
                 own = [texts[i] for i in np.flatnonzero(tags == tag)]
-                for at in range(0, len(own), 512):
-                    v = bundles(own[at:at + 512], dims, seed).astype(np.float64).sum(0)
+                for at in range(0, len(own), _SLICE):
+                    v = bundles(own[at:at + _SLICE], dims, seed).astype(np.float64).sum(0)
                     sums[tag] = sums.get(tag, 0) + v
         for tag, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([tag] * dims), pa.array(range(dims), pa.int32()), pa.array(v)], schema=schema)

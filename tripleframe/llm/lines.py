@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.llm import words as W
@@ -29,6 +29,7 @@ from tripleframe.plans.support import cut_lineage
 COUNTERS = 1 << 16
 EARLIEST = 8
 BROADCAST_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20  # of text that is cut into words at once
 _SMALL = 512
 _LONG = 64  # lines of more words send 256 bits of parity instead of 64
 _PACKED = "b int, docs binary, counts binary, pos binary, value binary, n binary, i binary, parity binary, sign binary, wide binary, ask binary, known_docs binary, known_counts binary, known_pos binary"
@@ -43,6 +44,21 @@ class Lines(NamedTuple):
     number: np.ndarray  # of the line in its text
 
 
+def _order(h: np.ndarray, line: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """The order by line, rarity and hash. Sorted as one number where that tells all words of a line apart, as it does but for rare batches."""
+    weight = np.zeros(len(h), np.int64) if counts is None else counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    if counts is not None:
+        weight = np.searchsorted(np.unique(counts), weight)  # below 2^16, in the same order
+    first = int(line[0])
+    if line[-1] - first < 1 << 20:
+        key = (line - first).astype(np.uint64) << np.uint64(44) | weight.astype(np.uint64) << np.uint64(28) | h >> np.uint64(36)
+        order = np.argsort(key)
+        sorted_key, sorted_h = key[order], h[order]
+        if not ((sorted_key[1:] == sorted_key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            return order
+    return np.lexsort((h, weight, line))
+
+
 def line_sets(os: list[bytes], counts: np.ndarray | None = None, only: np.ndarray | None = None) -> Lines:
     """Words in lower case (A to Z), rare ones first if ``counts`` are given, else by hash; all lines, or those with a word of ``only`` (rising)."""
     b = W.batch([o.lower() for o in os])
@@ -61,8 +77,7 @@ def line_sets(os: list[bytes], counts: np.ndarray | None = None, only: np.ndarra
         b, line, text = b._replace(hashes=b.hashes[keep]), line[keep], text[keep]
         if not len(line):
             return Lines(b.hashes, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    weight = [counts[(b.hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]] if counts is not None else []
-    order = np.lexsort((b.hashes, *weight, line))
+    order = _order(b.hashes, line, counts)
     h, line, text = b.hashes[order], line[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -79,7 +94,7 @@ def word_counts(base: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for _, os, _ in texts(batches):
+        for _, os, _ in texts(batches, PIECE_BYTES):
             h = W.words(b"\n".join(os).lower()).hashes
             total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array(range(COUNTERS // piece), pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, piece)])], names=["p", "v"])
@@ -109,7 +124,7 @@ def _flat(x: bytes) -> np.ndarray:
 def _asked_words(counts: np.ndarray, percent: int):
     """Prefix words of the asked lines."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, os, rows in texts(batches):
+        for _, os, rows in texts(batches, PIECE_BYTES):
             asked = [b"\n".join(parts[j] for j in want) for parts, want in ((o.split(b"\n"), w) for o, w in zip(os, rows.column("ask").to_pylist(), strict=True))]
             x = line_sets(asked, counts)
             size = np.diff(x.first)
@@ -125,7 +140,7 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int, only: np.ndarray |
     With a column ``ask``, only its lines look for partners, and only they are known to go.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ks, os, rows in texts(batches):
+        for ks, os, rows in texts(batches, PIECE_BYTES):
             order = np.argsort(np.array(ks, np.int64), kind="stable")
             ks = np.array(ks, np.int64)[order]
             x = line_sets([os[i] for i in order], counts, only)
@@ -144,7 +159,6 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int, only: np.ndarray |
             bit, part = np.uint64(1) << (x.hashes >> np.uint64(58)), (x.hashes >> np.uint64(56)) & np.uint64(3)
             parity = np.bitwise_xor.reduceat(bit, x.first[:-1])
             wide = np.stack([np.bitwise_xor.reduceat(np.where(part == c, bit, np.uint64(0)), x.first[:-1]) for c in range(3)], 1)
-            short = (sign[0] >> np.uint64(32)).astype(np.uint32)
             take = size - _least(size, percent) + 1
             take[again] = 0
             line = np.repeat(np.arange(len(size)), take)
@@ -165,13 +179,23 @@ def _prefixes(counts: np.ndarray, percent: int, buckets: int, only: np.ndarray |
                 s = slice(edge[b], edge[b + 1])
                 at = line[s]
                 out.append((int(b), *pack(x.text[at], x.number[at], ks), (h[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _planes(size[at]), _planes(i[s]),
-                            parity[at].tobytes(), short[at].tobytes(), wide[at[size[at] > _LONG]].tobytes(), np.packbits(ask[at]).tobytes(), *known))
+                            parity[at].tobytes(), sign[0][at].tobytes(), wide[at[size[at] > _LONG]].tobytes(), np.packbits(ask[at]).tobytes(), *known))
                 known = (b"",) * 3
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_NAMES)
     return run
 
 
+def _length_classes(percent: int, top: int) -> list[tuple[int, int]]:
+    """Classes of lengths, from the first to below the second; similar lines are in one or in two next to each other."""
+    low, out = 1, []
+    while low <= top:
+        high = max(low + 1, -(-low * 130 // 100), -(-low * 105 // percent))
+        out.append((low, high))
+        low = high
+    return out
+
+
 def _pairs(percent: int, most: int | None):
     """Candidate pairs of a bucket: a line (``k``, ``line``), an earlier one (``k2``, ``line2``), and whether the line may have ``more``. Without a second line: goes."""
     def run(rows: pa.Table) -> pa.Table:
@@ -179,7 +203,7 @@ def _pairs(percent: int, most: int | None):
         for r in rows.to_pylist():
             keys, line = unpack(r["docs"], r["counts"], r["pos"])
             parts.append((np.frombuffer(r["value"], np.uint32), keys, line, _flat(r["n"]), _flat(r["i"]), np.frombuffer(r["parity"], np.uint64),
-                          np.frombuffer(r["sign"], np.uint32), np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=len(keys)).astype(bool)))
+                          np.frombuffer(r["sign"], np.uint64), np.unpackbits(np.frombuffer(r["ask"], np.uint8), count=len(keys)).astype(bool)))
             if r["known_docs"]:
                 known.append(unpack(r["known_docs"], r["known_counts"], r["known_pos"]))
         wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, 3)
@@ -209,40 +233,71 @@ def _pairs(percent: int, most: int | None):
 
         begin = np.flatnonzero(np.diff(value.astype(np.int64), prepend=-1))
         size = np.diff(np.append(begin, len(value)))
+        per = np.repeat(size, size)
         qs, ps = [], []
-        rank = np.arange(len(value)) - np.repeat(begin, size)
-        # Within a word lines are in order of length; each meets the shorter ones down to the smallest that can be similar.
-        live, d = np.flatnonzero((np.repeat(size, size) <= _SMALL) & (rank > 0)), 1
-        while len(live):
-            live = live[rank[live] >= d]
-            live = live[100 * n[live - d] >= percent * n[live]]
-            later = np.where(time[live] > time[live - d], live, live - d)
-            earlier = 2 * live - d - later
-            asked = ask[later]
-            q, p = passes(later[asked], earlier[asked])
-            qs.append(q)
-            ps.append(p)
-            d += 1
-        for at, f in zip(begin[size > _SMALL], size[size > _SMALL], strict=True):
-            # A word of many lines: from the earliest on, each is held against those that still look for partners.
-            own = slice(at, at + f)
-            done, found = ~ask[own], np.zeros(f, np.int64)
-            for p in np.argsort(time[own], kind="stable"):
-                lo = np.searchsorted(n[own], (percent * n[at + p] + 99) // 100, "left")
-                hi = np.searchsorted(n[own], 100 * n[at + p] // percent, "right")
-                q = np.flatnonzero(~done[lo:hi] & (time[at + lo:at + hi] > time[at + p])) + at + lo
-                q, r = passes(q, np.full(len(q), at + p))
+
+        def meet(at: np.ndarray, group: np.ndarray) -> None:
+            """Holds lines ``at`` (in order of group and length) against those of their group; groups are small."""
+            start = np.flatnonzero(np.diff(group, prepend=-1))
+            rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+            live, d = np.flatnonzero(rank > 0), 1
+            while len(live):
+                live = live[rank[live] >= d]
+                live = live[100 * n[at[live - d]] >= percent * n[at[live]]]
+                a, b = at[live], at[live - d]
+                later, earlier = np.where(time[a] > time[b], a, b), np.where(time[a] > time[b], b, a)
+                q, p = passes(later[ask[later]], earlier[ask[later]])
+                qs.append(q)
+                ps.append(p)
+                d += 1
+
+        def meet_in_time(own: np.ndarray) -> None:
+            """From the earliest on, each line of a large group (in order of length) is held against those that still look for partners."""
+            done, found, when = ~ask[own], np.zeros(len(own), np.int64), time[own]
+            sizes = n[own]
+            for x in np.argsort(when, kind="stable"):
+                lo = np.searchsorted(sizes, (percent * sizes[x] + 99) // 100, "left")
+                hi = np.searchsorted(sizes, 100 * sizes[x] // percent, "right")
+                later = np.flatnonzero(~done[lo:hi] & (when[lo:hi] > when[x])) + lo
+                q, p = passes(own[later], np.full(len(later), own[x]))
                 if len(q):
                     qs.append(q)
-                    ps.append(r)
-                    found[q - at] += 1
-                    full = same(q, r) | (found[q - at] > most if most is not None else False)
-                    done[q[full] - at] = True
-                done[p] = True  # it has met all earlier ones
+                    ps.append(p)
+                    hit = np.searchsorted(own, q)
+                    found[hit] += 1
+                    full = same(q, p) | (found[hit] > most if most is not None else False)
+                    done[hit[full]] = True
+                done[x] = True  # it has met all earlier ones
                 if done.all():
                     break
+
+        small = np.flatnonzero(per <= _SMALL)
+        meet(small, np.repeat(np.arange(len(begin)), size)[small])
+        # Lines with a word that many have must also have one of several stretches of parity bits in common: they differ in fewer words than there
+        # are stretches. How many that takes depends on a class of lengths; a line looks in its own class and in the next.
+        many = np.flatnonzero(per > _SMALL)
+        for low, high in _length_classes(percent, int(n[many].max(initial=0))):
+            mine = many[(n[many] < high) & (100 * n[many] >= percent * low)]
+            apart = 2 * (high - 1) * (100 - percent) // (100 + percent)
+            if not len(mine) or apart > 20:
+                groups = [(mine, value[mine].astype(np.int64))]
+            else:
+                edge = (np.arange(apart + 2) * 64) // (apart + 1)
+                groups = [(mine, W.mix((parity[mine] >> np.uint64(x) & np.uint64((1 << y - x) - 1)) ^ W.mix(value[mine].astype(np.uint64) + np.uint64(x << 32))).view(np.int64))
+                          for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)] if apart else [(mine, W.mix(parity[mine] ^ W.mix(value[mine].astype(np.uint64))).view(np.int64))]
+            for at, key in groups:
+                order = np.argsort(key, kind="stable")  # length stays in order within a group
+                at, key = at[order], key[order]
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                length = np.diff(np.append(start, len(key)))
+                number, of = np.repeat(np.arange(len(start)), length), np.repeat(length, length)
+                few = of <= _SMALL
+                meet(at[few], number[few])
+                for x, y in zip(start[length > _SMALL], length[length > _SMALL], strict=True):
+                    meet_in_time(np.sort(at[x:x + y]))
         q, p = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (qs, ps))
-        settled = np.unique(q[same(q, p)])  # equal sets, by 96 bits and their size; they meet at every word and are told of once
+        q, p = np.divmod(np.unique(q * len(value) + p), max(len(value), 1))  # a pair may have met more than once
+        settled = np.unique(q[same(q, p)])  # equal sets, by 64 bits of a sum of hashes, parity and size; they meet at every word and are told of once
         told = settled[i[settled] == 0]
         known.append((keys[told], line[told]))
         open_ = ~np.isin(q, settled)
@@ -267,7 +322,7 @@ def _pairs(percent: int, most: int | None):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the asked lines."""
-    for ks, os, rows in texts(batches):
+    for ks, os, rows in texts(batches, PIECE_BYTES):
         lists = rows.column("lines").to_pylist()
         asked = [b"\n".join(parts[j] for j in want) for parts, want in ((o.split(b"\n"), w) for o, w in zip(os, lists, strict=True))]
         x = line_sets(asked)
@@ -293,7 +348,7 @@ def _similar(percent: int):
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, os, rows in texts(batches):
+    for _, os, rows in texts(batches, PIECE_BYTES):
         lists = rows.column("gone").to_pylist()
         out, count = [], []
         for o, gone in zip(os, lists, strict=True):
@@ -307,6 +362,20 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([sorted(g or ()) for g in lists], pa.list_(pa.int64()))], names=["s", "n_lines", "n_removed", "o", "removed"])
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """A text without the lines whose numbers (from 0) are in ``gone``; as it is where that is NULL."""
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, numbers in zip(texts, lists, strict=True):
+            if t is not None and numbers is not None:
+                bad = set(numbers.tolist())
+                t = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in bad)
+            out.append(t)
+        return pd.Series(out, dtype=object)
+    return F.when(gone.isNull(), text).otherwise(cut(text, gone))
+
+
 def _small(lists: DataFrame, name: str) -> DataFrame:
     """Lists of lines by key, in a checkpoint; to be broadcast only if a count of them shows that they take few bytes."""
     lists = cut_lineage(lists)
