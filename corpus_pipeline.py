@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tripleframe.llm.languages import learn_languages
 from tripleframe.llm.leaks import leaked_items
-from tripleframe.llm.lines import repeated_lines
+from tripleframe.llm.lines import repeated_lines, without_lines
 from tripleframe.llm.near_literals import near_classes
 from tripleframe.llm.packing import pack_literals
 from tripleframe.llm.queries import TOKENIZER
@@ -44,13 +44,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line resembles (Jaccard of words 0.8 or more); rows that repeat id and text are one document."""
+    """All documents, without lines that an earlier line resembles (Jaccard of words 0.8 or more); rows that repeat id and text are one document.
+
+    Earlier is a smaller id, NULL first, then a hash of the text, or above in the same text. NULL texts stay NULL, empty ones and lines without words stay as they
+    are; a text of which every line goes becomes empty, and its document stays. Texts of any length are judged line by line.
+    """
     send_package(spark)
     rows, k, unique, base = _base(docs)
     gone = spare(docs, "gone")
     lists = repeated_lines(base if unique else base.dropDuplicates(["k"]), 80).groupBy(F.col("k").alias(k)).agg(F.collect_list("line").alias(gone))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    text = without_lines(F.col("text"), F.col(gone))
     size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return rows.join(lists, k, "left").withColumn("text", text).withColumns(size).select(*docs.columns)
 
@@ -68,7 +71,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item.
+
+    NULL and empty texts leak nothing and stay. Every row is judged by itself, repeated rows and ids as well, on its whole text, however long; without
+    benchmark items all stay.
+    """
     send_package(spark)
     rows, k, _, base = _base(docs)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select(F.col("item_id").alias("item"), F.col("text").alias("o"))
@@ -77,7 +84,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens, with their ids."""
+    """Pieces of sequences of at most 1024 tokens, with their ids.
+
+    A NULL or empty text is its end id alone. Repeated rows are packed each; a long text is cut into as many pieces as it takes. No documents, no rows.
+    """
     send_package(spark)
     out = pack_literals(docs.select(F.col("doc_id").alias("s"), F.col("text").alias("o")), TOKENIZER)
     return out.select(F.col("s").alias("doc_id"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
