@@ -94,16 +94,17 @@ def _estimated(floor: float):
 
 
 def _may_link(percent: int):
-    """Pairs whose sizes and registers do not rule out that they are linked, as :func:`_estimated` judges them."""
+    """Pairs whose sizes and registers do not rule out that they are linked.
+
+    Sets of similarity j have at least that share of their registers equal on average, so the bound is that of :func:`_estimated`, told from equal ones alone.
+    """
     def fit(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
         out = 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+        least = (percent / 100 - MARGIN) * x.shape[1]
         for i in range(len(x)):
             at = np.flatnonzero(out[i])
-            if len(at):
-                keep = np.zeros(len(y), bool)
-                keep[at] = similarity(np.broadcast_to(x[i], (len(at), x.shape[1])), y[at], np.full(len(at), na[i]), nb[at]) >= percent / 100 - MARGIN
-                out[i] = keep
+            out[i, at] = np.count_nonzero(y[at] == x[i], axis=1) >= least
         return out
     return fit
 

@@ -69,7 +69,7 @@ def balance(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic:
 def pack_literals(literals: DataFrame, tokenizer: str, capacity: int = 1024, end: int = END) -> DataFrame:
     """Pieces ``s``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    A text's tokens are its ids by the vocabulary file ``tokenizer`` and then ``end``; a NULL or empty text has only that
+    A text's tokens are its ids by the vocabulary file ``tokenizer``, special tokens of that file in it included, and then ``end``; a NULL or empty text has only that
     one. Each row is packed, repeats and NULL subjects as well; an empty frame gives no rows. ``capacity`` is a power of two.
     """
     if capacity < 1 or capacity & (capacity - 1):
@@ -78,7 +78,7 @@ def pack_literals(literals: DataFrame, tokenizer: str, capacity: int = 1024, end
     s_type = lits.schema["s"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seq = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        encode, seq = encoder(tokenizer, True), TaskContext.get().partitionId() << 33
         held: list[pa.RecordBatch] = []
         rows = size = 0
 
