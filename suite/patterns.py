@@ -186,15 +186,15 @@ def q18(spark, sf):
 
 @case("Q19_counts", f"select count(*) as rows, count(c_custkey) as bound, count(distinct c_custkey) as customers from {_OC}")
 def q19(spark, sf):
-    return graph(spark, sf, ["Order", "Customer"]).match(("?o", "placedBy", "?c")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("c").alias("bound"), F.count_distinct("c").alias("customers"))
+    return graph(spark, sf, ["Order", "Customer"]).aggregate(
+        [], {"rows": ("count", None), "bound": ("count", "c"), "customers": ("count_distinct", "c")}, ("?o", "placedBy", "?c"))
 
 
 @case("Q20_value_by_type", """select event_type as kind, cast(sum(cast(value as decimal(18,2))) as double) as total,
     cast(min(cast(value as decimal(18,2))) as double) as smallest from events group by 1""")
 def q20(spark, sf):
-    return graph(spark, sf, ["Event"]).match(("?e", "eventType", "?kind"), ("?e", "value", "?v"), typed={"v": "decimal(18,2)"}).groupBy("kind").agg(
-        F.sum("v").cast("double").alias("total"), F.min("v").cast("double").alias("smallest"))
+    found = graph(spark, sf, ["Event"]).aggregate(["kind"], {"total": ("sum", "v"), "smallest": ("min", "v")}, ("?e", "eventType", "?kind"), ("?e", "value", "?v"), typed={"v": "decimal(18,2)"})
+    return found.select("kind", F.col("total").cast("double"), F.col("smallest").cast("double"))
 
 
 @case("Q21_group_by_two", f"select c_mktsegment as seg, o_orderpriority as pr, count(*) as n from {_OC} group by 1, 2")
@@ -205,18 +205,31 @@ def q21(spark, sf):
 @case("Q22_big_customers", f"""select {C} as c, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from {_OC} group by c_custkey
     having sum(cast(o_totalprice as decimal(18,2))) > 3000000""")
 def q22(spark, sf):
-    rows = graph(spark, sf).match(("?o", "placedBy", "?c"), ("?o", "total", "?t"), typed={"t": "decimal(18,2)"})
-    return rows.groupBy("c").agg(F.sum("t").alias("s")).where("s > 3000000").select("c", F.col("s").cast("double").alias("total"))
+    rows = graph(spark, sf).aggregate(["c"], {"s": ("sum", "t")}, ("?o", "placedBy", "?c"), ("?o", "total", "?t"), typed={"t": "decimal(18,2)"})
+    return rows.where("s > 3000000").select("c", F.col("s").cast("double").alias("total"))
+
+
+@case("Q22_spend_per_region", """select r_name as region, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as spent, cast(min(cast(o_totalprice as decimal(18,2))) as double) as least,
+      cast(max(cast(o_totalprice as decimal(18,2))) as double) as most, cast(count(*) as bigint) as n, count(distinct c_custkey) as customers,
+      cast(sum(cast(c_acctbal as decimal(18,2))) as double) as owed
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name""")
+def q22b(spark, sf):
+    """Sums, extremes and distinct counts over a chain of joins, carried through it per key."""
+    found = graph(spark, sf, ["Order", "Customer", "Nation", "Region"]).aggregate(
+        ["region"], {"spent": ("sum", "t"), "least": ("min", "t"), "most": ("max", "t"), "n": ("count", None), "customers": ("count_distinct", "c"), "owed": ("sum", "b")},
+        ("?o", "total", "?t"), ("?o", "placedBy", "?c"), ("?c", "balance", "?b"), ("?c", "customerNation", "?n"), ("?n", "inRegion", "?r"), ("?r", "regionName", "?region"),
+        typed={"t": "decimal(18,2)", "b": "decimal(18,2)"})
+    return found.select("region", "n", "customers", *[F.col(c).cast("double").alias(c) for c in ("spent", "least", "most", "owed")])
 
 
 @case("Q23_top_customers", f"select {C} as c, count(*) as n from {_OC} group by c_custkey order by 2 desc, 1 limit 5")
 def q23(spark, sf):
-    return graph(spark, sf, ["Order", "Customer"]).match(("?o", "placedBy", "?c")).groupBy("c").agg(cnt()).orderBy(F.desc("n"), "c").limit(5)
+    return graph(spark, sf, ["Order", "Customer"]).count_by(["c"], ("?o", "placedBy", "?c")).orderBy(F.desc("n"), "c").limit(5)
 
 
 @case("Q23_offset", f"select {C} as c, count(*) as n from {_OC} group by c_custkey order by 2 desc, 1 limit 10 offset 20")
 def q23b(spark, sf):
-    return graph(spark, sf, ["Order", "Customer"]).match(("?o", "placedBy", "?c")).groupBy("c").agg(cnt()).orderBy(F.desc("n"), "c").offset(20).limit(10)
+    return graph(spark, sf, ["Order", "Customer"]).count_by(["c"], ("?o", "placedBy", "?c")).orderBy(F.desc("n"), "c").offset(20).limit(10)
 
 
 @case("Q24_ask", "select 'yes' as question, exists(select 1 from customer where c_mktsegment = 'MACHINERY') as answer union all select 'no', exists(select 1 from customer where c_mktsegment = 'NOTHING')")

@@ -55,10 +55,12 @@ def _texts(spark, sf):
     return Mapping(NS, [docs, page])
 
 
+_TYPE_SQL = f"""union all select {t(i('document', 'doc_id'), TYPE, n('Document'))} from documents union all select {t(i('page', 'page_id'), TYPE, n('Page'))} from pages"""
 _TEXT_SQL = f"""
     select s, p, md5(o) as o_md5, length(o) as o_length, o_kind, o_type from (
       select {t(i('document', 'doc_id'), n('text'), 'text', 'string')} from documents where text is not null
-      union all select {t(i('page', 'page_id'), n('url'), 'url', 'string')} from pages where url is not null)"""
+      union all select {t(i('page', 'page_id'), n('url'), 'url', 'string')} from pages where url is not null
+      {_TYPE_SQL})"""
 
 
 @case("S5_read_ntriples", _TEXT_SQL)
@@ -66,10 +68,30 @@ def s5(spark, sf):
     path = fresh(spark, "nt")
     store.write_ntriples(materialize(_texts(spark, sf)), path)
     good, _ = store.read_ntriples(spark, path)
-    return good.where("o_kind = 'lit'").select("s", "p", F.md5("o").alias("o_md5"), F.length("o").cast("bigint").alias("o_length"),
+    return good.select("s", "p", F.md5("o").alias("o_md5"), F.length("o").cast("bigint").alias("o_length"),
                                                "o_kind", "o_type")
 
 
+@case("S5_every_escape", f"""
+    select {i('document', 'doc_id')} as s, {n('text')} as p, md5(text) as o_md5, '@' || coalesce(lang, 'und') as o_type from documents where text is not null
+    union all select '_:b' || cast(page_id as varchar), {n('é')}, md5(url), {n('address')} from pages where url is not null
+    union all select {i('customer', 'c_custkey')}, {n('note')}, md5(chr(39) || c_name || chr(9) || chr(8) || chr(12) || chr(13) || chr(92) || 'n'), 'string' from customer""")
+def s5c(spark, sf):
+    """Texts with all their characters as code points, language tags, types of one's own, blank nodes, every short escape, missing blanks and comments behind triples."""
+    path = fresh(spark, "ntescapes")
+    coded = F.array_join(F.transform(F.split("text", ""), lambda c: F.when(F.length(F.hex(F.encode(c, "UTF-16BE"))) > 4, F.concat(
+        F.lit("\\U"), F.lpad(F.hex(F.encode(c, "UTF-32")), 8, "0"))).otherwise(F.concat(F.lit("\\u"), F.hex(F.encode(c, "UTF-16BE"))))), "")
+    iri = lambda path_, key: F.concat(F.lit(f"<{NS}{path_}/"), F.col(key).cast("string"), F.lit(">"))
+    docs = table(spark, sf, "documents").where("text is not null").select(F.concat(
+        iri("document", "doc_id"), F.lit(f"\t<{NS}text>"), F.lit('"'), coded, F.lit('"@'), F.coalesce("lang", F.lit("und")), F.lit(' .  # "a" <b> .')).alias("value"))
+    pages = table(spark, sf, "pages").where("url is not null").select(F.concat(
+        F.lit("_:b"), F.col("page_id").cast("string"), F.lit(f' <{NS}\\u00E9> "'), "url", F.lit(f'"^^<{NS}address>.#')).alias("value"))
+    notes = table(spark, sf, "customer").select(F.concat(iri("customer", "c_custkey"), F.lit(f" <{NS}note> "), F.lit('"\\\''), "c_name", F.lit('\\t\\b\\f\\r\\\\n" .')).alias("value"))
+    union_all([docs, pages, notes]).write.text(path)
+    good, bad = store.read_ntriples(spark, path)
+    return good.select("s", "p", F.md5("o").alias("o_md5"), "o_type").union(bad.select("line", "problem", "line", "problem"))
+
+
 @case("S5_ingest_report", """
     select 'triple' as outcome, count(*) as n from customer
     union all select 'comment', count(*) from nation

@@ -418,6 +418,16 @@ def test_lines_follow_the_public_grammar(spark):
     assert [r.problem is None for r in got] == [True, True, True, False, False, False, False, False, True]
 
 
+def test_literals_follow_the_public_grammar(spark):
+    head = "<http://s> <http://p> "
+    good = {r'"x" . # note': ("x", "string"), r'"a\tb\bc\nd\re\ff\"g\'h\\i" .': ("a\tb\bc\nd\re\ff\"g'h\\i", "string"), '"raw \x01 # . > mark"@de-CH-1996.#': ("raw \x01 # . > mark", "@de-CH-1996"),
+            r'"\u00e9\U0001F600"^^<http://t/\u00e9>.': ("é😀", "http://t/é"), '"" .': ("", "string"), r'"\\u0041\\" .': ("\\u0041\\", "string"), '"5"^^<http://www.w3.org/2001/XMLSchema#integer>\t.': ("5", "integer")}
+    bad = [r'"x\q" .', '"x"^^<not an iri> .', '"x"@-1 .', '"x"@1 .', '"x" "y" .', r'"x\" .', r'"\u00g0" .', '"x"^^http://t .', '"x" @en .', "'x' .", "<http://o> . <http://o> ."]
+    rows = store.parse_nt(spark.createDataFrame([(head + x,) for x in [*good, *bad]] + [("\x01" + head + '"x" .',)], "value string")).collect()
+    assert {r.line[len(head):].strip(): (r.o, r.o_type) for r in rows[:len(good)] if r.problem is None} == {k.strip(): v for k, v in good.items()}
+    assert all(r.problem == "not_a_triple" for r in rows[len(good):])
+
+
 def test_keys_of_different_types(spark):
     """Text keys over numbers find what is a number, and what is none dangles; nothing aborts."""
     kids = spark.createDataFrame([(1, "7", "7"), (2, " 8", "x"), (3, "n", None), (4, None, "9"), (5, "11", "8")], "id int, up string, other string")

@@ -191,6 +191,14 @@ def test_hot_key_is_split_or_counted_away(spark, no_broadcast, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_aggregates_stay_on_raw_keys(spark, no_broadcast):
+    g = Graph.virtual(mapping(spark, SF))
+    shop = [("?o", "placedBy", "?c"), ("?o", "total", "?t"), ("?c", "customerNation", "?n")]
+    for by, aggs in ((["c"], {"s": ("sum", "t")}), (["n"], {"a": ("avg", "t"), "d": ("count_distinct", "c")}), (["c", "n"], {"n2": ("count", None)})):
+        text = plan(g.aggregate(by, aggs, *shop, typed={"t": "decimal(18,2)"}))
+        assert "Exchange" in text and "concat" not in text  # IRIs are made of what the last aggregate returns
+
+
 def test_enforced_keys_need_no_join(spark):
     from tripleframe import EdgeMap
     base = mapping(spark, SF, ["Order", "Customer"], [])

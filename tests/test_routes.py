@@ -224,3 +224,35 @@ def test_errors(spark):
         ClassMap("X", m.classes[0].df, ["nope"])
     assert list(itertools.islice(Mapping(NS, m.classes, [EdgeMap("bad", "B", "A", "domain_fk", ["next"])]).warnings, 1))
     assert g.match(("?x", "toB", "?b")).where(F.lit(False)).count() == 0
+
+
+def test_aggregates_equal_those_of_bindings(spark):
+    """On graphs of random many-to-many edges, values without order and NULLs, with every kind of aggregate."""
+    rnd = random.Random(11)
+    for _ in range(1):
+        people = [(i, rnd.choice(["a", "b", None]), round(rnd.uniform(-9, 9), 2), rnd.choice(["1.5", "x", None, "2"])) for i in range(30)]
+        ties = [(rnd.randrange(34), rnd.randrange(12)) for _ in range(90)]
+        clubs = [(i, rnd.randrange(3)) for i in range(12)]
+        frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+        m = Mapping(NS, [ClassMap("Person", frame(people, "id int, kind string, money double, odd string"), ["id"], props={"kind": ("kind", "string"), "money": ("money", "decimal(9,2)"), "odd": ("odd", "string")}, unique=True),
+                         ClassMap("Club", frame(clubs, "id long, size int"), ["id"], props={"size": ("size", "integer")}, unique=True)],
+                    [EdgeMap("in", "Person", "Club", "junction", ["p"], ["c"], frame(ties, "p int, c int"))])
+        typed = {"m": "decimal(9,2)", "z": "integer", "d": "decimal(9,3)"}
+        aggs = {"n": ("count", None), "sm": ("sum", "m"), "am": ("avg", "m"), "lo": ("min", "m"), "hi": ("max", "m"), "sz": ("sum", "z"), "az": ("avg", "z"), "who": ("count_distinct", "p")}
+        shapes = [([("?p", "in", "?c"), ("?p", "money", "?m"), ("?c", "size", "?z")], aggs, (["c"], ["c", "z"], [])),
+                  ([("?p", "in", "?c"), ("?q", "in", "?c"), ("?p", "money", "?m"), ("?q", "kind", "?k"), ("?c", "size", "?z")], aggs, (["k"], ["q"])),
+                  ([("?p", "odd", "?d"), ("?p", "in", "?c")], {"s": ("sum", "d"), "a": ("avg", "d"), "n": ("count", "d"), "v": ("count_distinct", "d")}, (["c"], [])),
+                  ([("?p", "?any", "?v")], {"n": ("count", None), "s": ("count_distinct", "p")}, (["any"], []))]
+        for g in (Graph.virtual(m), Graph.materialized(materialize(m), NS)):
+            for patterns, wanted, groups in shapes:
+                for by in groups:
+                    names = {v[1:] for p in patterns for v in p if isinstance(v, str) and v.startswith("?")}
+                    t = {v: x for v, x in typed.items() if v in names}
+                    plain = g.match(*patterns, typed=t).groupBy(*by).agg(*[F.count(F.lit(1)).alias(a) if how == "count" else getattr(F, how)(v).alias(a) for a, (how, v) in wanted.items()])
+                    got = g.aggregate(by, wanted, *patterns, typed=t)
+                    assert got.dtypes == plain.dtypes
+                    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())), (by, patterns)
+    assert g.aggregate(["c"], {"n": ("count", None)}, ("?p", "in", "?c"), ("?c", "size", Literal("77", "integer"))).count() == 0
+    for bad in ({"n": ("median", "m")}, {"n": ("sum", "p")}, {"c": ("count", None)}, {"n": ("min", None)}):
+        with pytest.raises(ValueError):
+            g.aggregate(["c"], bad, ("?p", "in", "?c"), ("?p", "money", "?m"))

@@ -141,13 +141,13 @@ def nt_escape(col: Column) -> Column:
 
 
 def nt_unescape(col: Column) -> Column:
-    """Undo N-Triples escapes, including ``\\uXXXX`` and ``\\UXXXXXXXX``.
+    """Undo N-Triples escapes: those of control characters and quotes, ``\\uXXXX`` and ``\\UXXXXXXXX``.
 
     Splitting on escaped backslashes first keeps ``\\\\n`` (backslash, n) apart from ``\\n`` (newline). Every
     step is a transform over pieces, so that each piece is computed once.
     """
     def plain(piece: Column) -> Column:
-        for escaped, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
+        for escaped, raw in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
             piece = F.replace(piece, F.lit(escaped), F.lit(raw))
         return piece
 

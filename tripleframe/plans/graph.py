@@ -38,8 +38,8 @@ class Graph(ABC):
         """Bindings: a column per visible variable, with ``<var>__kind``/``<var>__type`` if asked."""
 
     @abstractmethod
-    def _count(self, patterns: list[Pattern], by: list[str], typed: dict[str, str]) -> DataFrame:
-        """Partly grouped counts ``__n`` of bindings, with the columns ``by``."""
+    def _aggregate(self, patterns: list[Pattern], by: list[str], aggs: dict[str, tuple[str, str | None]], typed: dict[str, str]) -> DataFrame | None:
+        """The columns ``by`` with partial aggregates ``__n``, ``__sum_v``, ``__min_v``, ``__max_v``, ``__distinct_v``; None to aggregate bindings instead."""
 
     # ------------------------------------------------------------ matching
 
@@ -77,13 +77,37 @@ class Graph(ABC):
         a chain of many-to-many edges stays as large as its tables instead of multiplying, and a key that
         holds a third of all rows is one row by the time it is joined.
         """
+        return self.aggregate(by, {"n": ("count", None)}, *patterns, typed=typed, max_hops=max_hops)
+
+    def aggregate(self, by: list[str], aggs: dict[str, tuple[str, str | None]], *patterns, typed: dict[str, str] | None = None,
+                  max_hops: int | None = None) -> DataFrame:
+        """``match(...).groupBy(by).agg(...)`` without the bindings: ``aggs`` maps a column to ``(function, variable)``.
+
+        Functions are ``count`` (of bindings; the variable may be None), ``count_distinct``, ``sum``, ``avg``, ``min`` and ``max``; the last four are of typed
+        values where ``typed`` names the variable. Partial sums, extremes and counts per key go through the joins, so a chain of many-to-many edges
+        stays as large as its tables. On mapped tables all of it runs on raw keys; IRIs are made of the results.
+        """
         ps = self._checked(patterns, max_hops)
-        known = {v for p in ps for v in p.variables()}
-        lost = [v for v in by if "?" + v not in known]
+        known, typed = {v for p in ps for v in p.variables()}, dict(typed or {})
+        lost = [v for v in [*by, *(v for _, v in aggs.values() if v)] if "?" + v not in known]
         if lost:
             raise ValueError(f"no pattern binds {', '.join(lost)}")
-        return self._count(ps, list(by), dict(typed or {})).groupBy(*by).agg(
-            F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n"))
+        odd = [how for how, v in aggs.values() if how not in ("count", "count_distinct", "sum", "avg", "min", "max") or v is None and how != "count"]
+        if odd or set(aggs) & set(by):
+            raise ValueError(f"no such aggregate: {', '.join(odd) or 'names of groups and aggregates must differ'}")
+        bare = [v for how, v in aggs.values() if how in ("sum", "avg") and v not in typed]
+        if bare:
+            raise ValueError(f"sums need a type of {', '.join(bare)}")
+        out = self._aggregate(ps, list(by), aggs, typed)
+        if out is None:
+            return self._bind(ps, typed, False).groupBy(*by).agg(*_plain_aggregates(aggs))
+        if "__n" not in out.columns:
+            return out
+        cols = []
+        for name, (how, v) in aggs.items():
+            value = {"count": F.col("__n"), "count_distinct": F.col(f"__distinct_{v}"), "avg": F.try_divide(F.col(f"__sum_{v}").cast(_result_type("sum", typed[v])) if how == "avg" else F.lit(None), F.col(f"__known_{v}"))}.get(how, F.col(f"__{how}_{v}"))
+            cols.append((value if how in ("min", "max") else value.cast(_result_type(how, typed.get(v)))).alias(name))
+        return out.select(*by, *cols)
 
     def ask(self, *patterns) -> DataFrame:
         """One row, one boolean: whether there is any binding."""
@@ -154,6 +178,21 @@ class Graph(ABC):
         return df.join(other, shared, "left_semi")
 
 
+def _plain_aggregates(aggs: dict[str, tuple[str, str | None]]) -> list:
+    return [(F.count(F.lit(1)) if how == "count" else getattr(F, how)(v)).alias(name) for name, (how, v) in aggs.items()]
+
+
+def _result_type(how: str, xsd: str | None) -> str:
+    """Type that Spark gives a sum or an average of values of a literal type."""
+    if how in ("count", "count_distinct"):
+        return "bigint"
+    kind = terms.value_type(xsd)
+    if kind.startswith("decimal"):
+        p, s = (int(x) for x in kind[8:-1].split(","))
+        return f"decimal({min(38, p + 10)},{s})" if how == "sum" else f"decimal({min(38, p + 4)},{min(38, s + 4)})"
+    return "double" if how == "avg" or kind in ("double", "float") else "bigint"
+
+
 def _kinded(df: DataFrame, v: str) -> bool:
     return f"{v}__kind" in df.columns
 
@@ -269,9 +308,11 @@ class StoredGraph(Graph):
                 cols += [kind.alias(f"{v}__kind"), xsd.alias(f"{v}__type")]
         return out.select(*cols) if cols else out
 
-    def _count(self, patterns, by, typed):
-        out = self._joined(patterns, set(by))
-        return out.select(*[(terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v) for v in by], "__n")
+    def _aggregate(self, patterns, by, aggs, typed):
+        if any(how != "count" for how, _ in aggs.values()):
+            return None
+        out = self._joined(patterns, set(by)).select(*[(terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v) for v in by], "__n")
+        return out.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"))
 
     def star(self, cls: str, props: dict[str, str]) -> DataFrame:
         """Instances of a class with several properties, as ``match`` gives them, in one aggregate.

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tripleframe.functions import terms
 from tripleframe.model import RDF_TYPE, ClassMap, Link, Mapping, Tbox, Template
 from tripleframe.operators.triplify import Widening
-from tripleframe.plans.graph import Graph
+from tripleframe.plans.graph import Graph, _plain_aggregates
 from tripleframe.plans.patterns import Literal, Pattern, hidden, in_join_order, is_var
 from tripleframe.plans.support import union_all
 
@@ -150,13 +150,16 @@ def _key_test(tpl: Template, cols: tuple[str, ...], df: DataFrame, iri: str) ->
     return tests
 
 
-def _counted(df: DataFrame, env: dict, live: dict, n: str | None) -> DataFrame:
-    """Rows grouped on the columns of the live variables, with how many rows each stands for in ``__n``."""
+def _counted(df: DataFrame, env: dict, live: dict, n: str | None, states: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Rows grouped on the columns of the live variables, with how many rows each stands for in ``__n``, and partial aggregates.
+
+    ``states`` maps a column to how it is put together (``sum``, ``min``, ``max``) and its value in the rows.
+    """
     cols = list(dict.fromkeys(c for t in live.values() for c in _cols(t)))
     count = F.lit(1).cast("bigint") if n is None else F.col(n)
     if all(set(_cols(t)) <= set(cols) for t in env.values()):
-        return df.select(*cols, count.alias("__n"))
-    return df.groupBy(*cols).agg(F.sum(count).alias("__n"))
+        return df.select(*cols, count.alias("__n"), *[v.alias(c) for c, (_, v) in states.items()])
+    return df.groupBy(*cols).agg(F.sum(count).alias("__n"), *[getattr(F, how)(v).alias(c) for c, (how, v) in states.items()])
 
 
 class VirtualGraph(Graph):
@@ -380,24 +383,38 @@ class VirtualGraph(Graph):
         fused = self._fuse(pieces)
         return fused and in_join_order(fused, lambda pc: list(pc.terms), lambda pc: pc.anchors)
 
-    def _joined(self, fused: list[Piece], by: set[str] | None = None) -> tuple[DataFrame, dict[str, object]]:
+    def _joined(self, fused: list[Piece], by: set[str] | None = None, measures: dict[str, set[str]] | None = None,
+                typed: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, object]]:
         """Join pieces. With ``by``, variables that nobody needs any more are counted away (column
-        ``__n``) before each join and after it, so rows never stand for single bindings."""
+        ``__n``) before each join and after it, so rows never stand for single bindings.
+
+        ``measures`` says which of ``sum``, ``min``, ``max`` and ``known`` (how many there are) of a variable's value are wanted. They start where the variable is bound, as columns
+        ``__sum_v`` and so on, and go through the joins as partial aggregates: a sum counts once for every row of the other side.
+        """
         # Reading a class's own table for some end proves that the end exists.
         satisfied = {(id(pc.owner), pc.row) for pc in fused if pc.owner is not None and pc.row}
-        out, env = None, {}
+        out, env, had = None, {}, {}
         for n, pc in enumerate(fused):
             prefix = f"g{n}_"
             rows = self._rows(pc, satisfied)
             rows = rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])
             mine = {v: _moved(t, prefix) for v, t in pc.terms.items()}
             later = {v for q in fused[n + 1:] for v in q.terms}
+            new: dict[str, str] = {}
             if by is not None:
                 live = {v: t for v, t in mine.items() if v in by or v in later or v in env}
-                rows = _counted(rows, mine, live, None).withColumnRenamed("__n", f"__n{n}")
+                states = {}
+                for v in (v for v in measures or {} if v in mine):
+                    value = self._shown(v[1:], mine[v], rows, typed or {})
+                    for how in sorted(measures[v]):
+                        # How many values there are is a sum as well.
+                        states[f"__{how}_{v[1:]}"] = ("sum", F.when(value.isNotNull(), 1).otherwise(0).cast("bigint")) if how == "known" else (how, value)
+                states = {c: x for c, x in states.items() if c not in had}
+                new = {c: how for c, (how, _) in states.items()}
+                rows = _counted(rows, mine, live, None, states).withColumnRenamed("__n", f"__n{n}")
                 mine = live
             if out is None:
-                out, env = rows, mine
+                out, env, had = rows, mine, new
                 if by is not None:
                     out = out.withColumnRenamed(f"__n{n}", "__n")
                 continue
@@ -406,10 +423,12 @@ class VirtualGraph(Graph):
             # Prefer a term that needs no text when both sides know the variable.
             env = {**mine, **env}
             if by is not None:
-                out = out.withColumn("__n", F.col("__n") * F.col(f"__n{n}")).drop(f"__n{n}")
+                out = out.withColumns({c: F.col(c) * F.col(f"__n{n}") for c, how in had.items() if how == "sum"}
+                                      | {c: F.col(c) * F.col("__n") for c, how in new.items() if how == "sum"} | {"__n": F.col("__n") * F.col(f"__n{n}")}).drop(f"__n{n}")
+                had = {**had, **new}
                 live = {v: t for v, t in env.items() if v in by or v in later}
                 if later:
-                    out = _counted(out, env, live, "__n")
+                    out = _counted(out, env, live, "__n", {c: (how, F.col(c)) for c, how in had.items()})
                 env = live
         return out, env
 
@@ -446,14 +465,45 @@ class VirtualGraph(Graph):
             frames.append(out.select(*cols) if cols else out.select(F.lit(True).alias("__hit")))
         return union_all(frames) if frames else self._nothing(names, typed, extras)
 
-    def _count(self, patterns, by, typed):
-        frames = []
-        for fused in self._combinations(patterns):
-            out, env = self._joined(fused, {"?" + v for v in by})
-            frames.append(out.select(*[self._shown(v, env["?" + v], out, typed).alias(v) for v in by], "__n"))
+    def _aggregate(self, patterns, by, aggs, typed):
+        """Aggregates on raw key columns; IRIs and typed values are made of the results.
+
+        Ways to answer the patterns whose results may have a key in common, or whose raw keys may differ where the values do not, are put together once more.
+        """
+        measures: dict[str, set[str]] = {}
+        for how, v in aggs.values():
+            if how in ("sum", "avg", "min", "max"):
+                measures.setdefault("?" + v, set()).update(("sum", "known") if how == "avg" else (how,))
+        apart = list(dict.fromkeys(v for how, v in aggs.values() if how == "count_distinct"))
+        ways = self._combinations(patterns)
+        if apart and len(ways) > 1:
+            return None  # values of several ways have to be compared as text
+        kinds = {f"__{how}_{v[1:]}": "sum" if how == "known" else how for v, hows in measures.items() for how in sorted(hows)}
+        frames, keys, exact = [], [], True
+        for fused in ways:
+            out, env = self._joined(fused, {"?" + v for v in [*by, *apart]}, measures, typed)
+            raw = list(dict.fromkeys(c for v in by for c in _cols(env["?" + v])))
+            sizes = [F.count_distinct(*[F.col(c) for c in _cols(env["?" + v])] if _exact(env["?" + v], out) and v not in typed else [self._shown(v, env["?" + v], out, typed)]).alias(f"__distinct_{v}")
+                     if _cols(env["?" + v]) else F.max(F.lit(1)).cast("bigint").alias(f"__distinct_{v}") for v in apart]
+            rows = out.groupBy(*raw).agg(F.sum("__n").alias("__n"), *[getattr(F, how)(c).alias(c) for c, how in kinds.items()], *sizes)
+            frames.append(rows.select(*[self._shown(v, env["?" + v], rows, typed).alias(v) for v in by], "__n", *kinds, *[f"__distinct_{v}" for v in apart]))
+            exact = exact and all(_exact(env["?" + v], rows) and (v not in typed or _cols(env["?" + v]) and self._as_is(env["?" + v], rows, typed[v])) for v in by)
+            keys.append([env["?" + v] for v in by])
         if not frames:
-            return self._nothing(by, typed, False).withColumn("__n", F.lit(0).cast("bigint"))
-        return union_all(frames)
+            none = self._nothing([*by, *dict.fromkeys(v for _, v in aggs.values() if v)], typed, False)
+            return none.groupBy(*by).agg(*_plain_aggregates(aggs))
+        met = any(all(_can_meet(a, b) for a, b in zip(x, y)) for i, x in enumerate(keys) for y in keys[:i])
+        out = union_all(frames)
+        if met or not exact or not by:
+            if apart and by and not exact:
+                return None
+            out = out.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"), *[getattr(F, how)(c).alias(c) for c, how in kinds.items()],
+                                       *[F.coalesce(F.max(f"__distinct_{v}"), F.lit(0)).alias(f"__distinct_{v}") for v in apart])
+        return out
+
+    @staticmethod
+    def _as_is(t, df: DataFrame, xsd: str) -> bool:
+        return isinstance(t, Text) and df.schema[t.col].dataType.simpleString() == terms.value_type(xsd) == terms.value_type(t.xsd)
 
     def _nothing(self, names, typed, extras) -> DataFrame:
         cols = [f"{v} {terms.value_type(typed[v]) if v in typed else 'string'}" for v in names]

@@ -12,10 +12,12 @@ from tripleframe.model import RDF_TYPE, TRIPLE_COLS, TRIPLE_SCHEMA
 UCHAR = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
 IRIREF = rf"<(?:[^\x00-\x20<>\"{{}}|^`\\]|{UCHAR})*+>"
 LABEL = r"_:[\p{L}\p{Nd}_](?:[\p{L}\p{Nd}\p{M}_.\-\u00B7]*[\p{L}\p{Nd}\p{M}_\-\u00B7])?"
-LINE = rf"^({IRIREF}|{LABEL})[ \t]*({IRIREF})[ \t]*(\S.*)$"
-QUOTED = r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
-TAG = r"^(?:\^\^<([^>]*)>|(@[A-Za-z0-9-]+))?$"
-NODE = rf"^(?:{IRIREF}|{LABEL})$"
+QUOTED = rf'"[^"\\\n\r]*+(?:(?:\\[tbnrf"\'\\]|{UCHAR})[^"\\\n\r]*+)*+"'
+LANGTAG = "@[A-Za-z]+(?:-[A-Za-z0-9]+)*+"
+LINE = rf"^({IRIREF}|{LABEL})[ \t]*({IRIREF})[ \t]*(?:({IRIREF}|{LABEL})|({QUOTED})(?:\^\^({IRIREF})|({LANGTAG}))?)[ \t]*\.[ \t]*(?:#.*)?$"
+
+
+_MARK = "\x01"
 
 
 def to_nt(triples: DataFrame) -> DataFrame:
@@ -31,37 +33,33 @@ def write_ntriples(triples: DataFrame, path: str, compression: str = "none") ->
 
 
 def _unwrap(col: Column) -> Column:
-    return F.when(col.startswith("<"), F.substr(col, F.lit(2), F.length(col) - 2)).otherwise(col)
+    """An IRI without brackets and escapes; a blank node as it is."""
+    return F.when(col.startswith("<"), nt_unescape(F.substr(col, F.lit(2), F.length(col) - 2))).otherwise(col)
 
 
 def parse_nt(lines: DataFrame) -> DataFrame:
     """Parse a ``value`` column; ``problem`` is NULL for a good triple, else says what is wrong.
 
-    Blank lines vanish; comments are kept with the problem ``comment`` so that they can be counted.
+    Blank lines vanish; lines that are comments are kept with the problem ``comment`` so that they can be counted. A comment behind a triple is
+    left out. Escapes are characters in what is returned, in literals and in IRIs.
     """
-    blank = F.lit(" \t\r")
-    raw = lines.select(F.trim(F.col("value"), blank).alias("line")).where("line <> ''").withColumn(
-        "utf8", F.is_valid_utf8("line"))
-    body = F.when(F.col("utf8") & F.col("line").endswith("."),
-                  F.rtrim(F.substr("line", F.lit(1), F.length("line") - 1), blank)).otherwise(F.lit(""))
-    part = lambda n: F.regexp_extract(body, LINE, n)
-    cut = raw.select("line", "utf8", part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
-    # What follows the closing quote is a type, a language or nothing; no match leaves ``text`` empty.
-    cut = cut.withColumn("text", F.regexp_extract("o", QUOTED, 1))
-    cut = cut.withColumn("tag", F.substr("o", F.length("text") + 3))
-    is_lit = F.col("o").startswith(F.concat(F.lit('"'), "text", F.lit('"'))) & F.col("tag").rlike(TAG)
-    cut = cut.withColumn("is_lit", is_lit)
-    good = (F.col("s") != "") & (F.col("is_lit") | F.col("o").rlike(NODE))
-    problem = (F.when(F.col("line").startswith("#"), "comment").when(~F.col("utf8"), "not_utf8")
-               .when(~F.col("line").endswith("."), "no_final_dot").when(~good, "not_a_triple"))
-    kind, lang = F.regexp_extract("tag", TAG, 1), F.regexp_extract("tag", TAG, 2)
-    o_type = (F.when(~F.col("is_lit"), None).when(lang != "", lang)
+    raw = lines.select(F.trim(F.col("value"), F.lit(" \t\r")).alias("line")).where("line <> ''").withColumn("utf8", F.is_valid_utf8("line"))
+    # One match per line, which puts its parts one after the other; only text, the last of them, may hold the mark between them.
+    readable = F.col("utf8") & ~F.col("line").startswith(_MARK)
+    parts = F.regexp_replace(F.when(readable, F.col("line")).otherwise(""), LINE, "".join(f"{_MARK}${g}" for g in (1, 2, 3, 5, 6, 4)))
+    cut = raw.withColumn("parts", F.split(F.when(parts.startswith(_MARK), parts), _MARK, 7))
+    cut = cut.select("line", "utf8", *[F.coalesce(F.get("parts", F.lit(i + 1)), F.lit("")).alias(n) for i, n in enumerate(("s", "p", "node", "datatype", "lang", "text"))])
+    is_lit = F.col("text") != ""
+    problem = (F.when(F.col("line").startswith("#"), "comment").when(~F.col("utf8"), "not_utf8").when(F.col("s") != "", None)
+               .when(~F.col("line").endswith("."), "no_final_dot").otherwise("not_a_triple"))
+    kind = _unwrap(F.col("datatype"))
+    o_type = (F.when(~is_lit, None).when(F.col("lang") != "", F.col("lang"))
               .when(kind.startswith(XSD_NS), F.substr(kind, F.lit(len(XSD_NS) + 1)))
               .when(kind != "", kind).otherwise("string"))
     return cut.select(
         problem.alias("problem"), "line", _unwrap(F.col("s")).alias("s"), _unwrap(F.col("p")).alias("p"),
-        F.when(F.col("is_lit"), nt_unescape(F.col("text"))).otherwise(_unwrap(F.col("o"))).alias("o"),
-        F.when(F.col("is_lit"), "lit").otherwise("iri").alias("o_kind"), o_type.alias("o_type"))
+        F.when(is_lit, nt_unescape(F.substr("text", F.lit(2), F.length("text") - 2))).otherwise(_unwrap(F.col("node"))).alias("o"),
+        F.when(is_lit, "lit").otherwise("iri").alias("o_kind"), o_type.alias("o_type"))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
