@@ -1,11 +1,16 @@
 """Graph patterns. Most cases read the mapped tables; the ``stored`` ones read generated triples."""
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from suite.registry import NS, NULL, TYPE, case, i, money, n, t
-from suite.tables import mapping, tbox
-from tripleframe import Graph, Literal, materialize
+from suite.scans import fresh
+from suite.tables import mapping, table, tbox
+from tripleframe import ClassMap, Graph, Literal, Mapping, Range, materialize
+from tripleframe.sources.store import TripleStore
 
 
 def graph(spark, sf, classes=None, edges=None, **kw):
@@ -110,8 +115,8 @@ def q8(spark, sf):
 
 @case("Q9_numeric_compare", f"select {O} as o, cast(cast(o_totalprice as decimal(18,2)) as double) as total from orders where o_totalprice >= 250000")
 def q9(spark, sf):
-    return graph(spark, sf, ["Order"]).match(("?o", "total", "?total"), typed={"total": "decimal(18,2)"}).where(
-        "total >= 250000").select("o", F.col("total").cast("double").alias("total"))
+    return graph(spark, sf, ["Order"]).match(("?o", "total", "?total"), typed={"total": "decimal(18,2)"}, ranges={"total": Range(least=250000)}).select(
+        "o", F.col("total").cast("double").alias("total"))
 
 
 @case("Q9_numeric_compare_stored", f"""select {O} as o, {money('o_totalprice')} as total from orders where o_totalprice >= 250000""")
@@ -120,19 +125,36 @@ def q9b(spark, sf):
     return stored(spark, sf, ["Order"]).match(("?o", "total", "?total")).where(value("total", "decimal") >= 250000)
 
 
+@case("Q9_range_of_stored_values", f"""select {O} as o, {money('o_totalprice')} as total from orders where o_totalprice >= 250000 and cast(o_totalprice as decimal(18,2)) < 300000.5""")
+def q9c(spark, sf):
+    """From a store that keeps numbers beside its literals, in their order."""
+    kept = TripleStore(spark, fresh(spark, "values"))
+    kept.refresh(materialize(mapping(spark, sf, ["Order", "Customer"])))
+    return Graph.materialized(kept.load(values=True), NS).match(("?o", "total", "?total"), ranges={"total": Range(least=250000, below=Decimal("300000.5"))})
+
+
+_AMOUNT = "cast(c_custkey as varchar) || '90071992547409931.00000000001'"
+
+
+@case("Q9_long_numbers", f"""select {i('account', 'c_custkey')} as c, {_AMOUNT} as amount from customer
+    where cast({_AMOUNT} as decimal(38,11)) > cast('790071992547409931.00000000001' as decimal(38,11)) and cast({_AMOUNT} as decimal(38,11)) <= cast('8990071992547409931.00000000001' as decimal(38,11))""")
+def q9d(spark, sf):
+    """Numbers that neither 64 bits nor doubles tell apart from the bounds, compared exactly."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit("90071992547409931.00000000001")).alias("amount"))
+    m = Mapping(NS, [ClassMap("Account", rows, ["c_custkey"], props={"amount": ("amount", "decimal")}, unique=True)])
+    return Graph.virtual(m).match(("?c", "amount", "?amount"), ranges={"amount": Range(
+        above=Decimal("790071992547409931.00000000001"), most=Decimal("8990071992547409931.00000000001"))})
+
+
 @case("Q10_date_range", f"select {O} as o, cast(cast(o_orderdate as date) as varchar) as d from orders where o_orderdate >= date '1997-01-01' and o_orderdate < date '1998-01-01'")
 def q10(spark, sf):
-    return graph(spark, sf, ["Order"]).match(("?o", "orderDate", "?d"), typed={"d": "date"}).where(
-        "d >= date '1997-01-01' and d < date '1998-01-01'").select("o", F.col("d").cast("string").alias("d"))
+    return graph(spark, sf, ["Order"]).match(("?o", "orderDate", "?d"), ranges={"d": Range(least=date(1997, 1, 1), below=date(1998, 1, 1))})
 
 
 @case("Q10_datetime_range", f"""select {i('event', 'event_id')} as e, replace(cast(ts as varchar), ' ', 'T') as at from events
     where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-12 12:30:00'""")
 def q10b(spark, sf):
-    from tripleframe import value
-    at = value("at", "dateTime")
-    return graph(spark, sf, ["Event"]).match(("?e", "at", "?at")).where(
-        (at >= F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")) & (at < F.lit("2024-01-12 12:30:00").cast("timestamp_ntz")))
+    return graph(spark, sf, ["Event"]).match(("?e", "at", "?at"), ranges={"at": Range(least=datetime(2024, 1, 5), below=datetime(2024, 1, 12, 12, 30))})
 
 
 @case("Q11_in_filter", f"select {i('part', 'p_partkey')} as p, p_brand as brand from part where p_brand in ('Brand#1', 'Brand#12', 'Brand#23')")

@@ -133,3 +133,54 @@ def test_digests_tell_triples_apart(spark, tmp_path, rows):
     store.refresh(rows.where(f"p <> '{NS}p1'").withColumn("o", F.when(F.col("p") == NS + "e", f"{NS}a/3").otherwise(F.col("o"))))
     got = {r.p: (r.expected, r.stored, r.state) for r in reconcile_store(rows.where(f"p <> '{NS}p2'"), store).collect()}
     assert got == {NS + "p0": (101, 101, "match"), NS + "p1": (100, 0, "missing"), NS + "p2": (0, 100, "extra"), NS + "e": (1, 1, "mismatch")}
+
+
+def test_ranges_reach_the_scan_and_are_exact(spark, tmp_path):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    from tripleframe import ClassMap, Mapping, Range
+    texts = ["0", "-0.0", "1", "1.0", "00000000001", "1e0", "0.00000000001", "0.00000000002", "9007199254740992", "9007199254740993", "9007199254740994", "99999999999999999999",
+             "99999999999999999998", "123456789012345678901234567890.5", "123456789012345678901234567890.4", "-5", "NaN", "INF", "x", "", None]
+    rows = [(i, t, None if t is None or i > 15 else i * 7 - 20, None if i > 15 else i / 4, date(2024, 1, 1 + i % 28), datetime(2024, 1, 1 + i % 28, i % 24, 30)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, t string, n int, d double, day date, at timestamp_ntz")
+    df.write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    m = Mapping(NS, [ClassMap("X", df, ["id"], unique=True, props={"t": ("t", "decimal"), "n": ("n", "integer"), "d": ("d", "decimal(9,1)"), "day": ("day", "date"), "at": ("at", "dateTime"), "name": ("t", "string")})])
+    store = TripleStore(spark, str(tmp_path / "s"))
+    store.refresh(materialize(m))
+    kept, plain, mapped = Graph.materialized(store.load(values=True), NS), Graph.materialized(store.load(), NS), Graph.virtual(m)
+
+    def number(text):
+        try:
+            return Decimal(text.strip()) if text else None
+        except ArithmeticError:
+            return None
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    ops = {"least": lambda a, b: a >= b, "most": lambda a, b: a <= b, "above": lambda a, b: a > b, "below": lambda a, b: a < b}
+    bounds = [0, 1, Decimal("0.00000000001"), 9007199254740993, Decimal("99999999999999999998.5"), Decimal("123456789012345678901234567890.45"), -5.0]
+    values = {r.x: r.v for r in plain.match(("?x", "t", "?v")).collect()}
+    assert len(values) == len([t for t in texts if t is not None])
+    for how in ops:
+        for b in bounds:
+            want = {x for x, v in values.items() if (y := number(v)) is not None and not y.is_nan() and ops[how](y, Decimal(str(b)))}
+            for g in (kept, mapped):
+                assert {r.x for r in g.match(("?x", "t", "?v"), ranges={"v": Range(**{how: b})}).collect()} == want, (how, b)
+    for prop, r, good in (("n", Range(above=3.5, below=30), lambda r: r[2] is not None and 3.5 < r[2] < 30), ("d", Range(least=Decimal("1.3"), most=2), lambda r: r[3] is not None and Decimal("1.3") <= round(Decimal(str(r[3])) + Decimal("0.0000001"), 1) <= 2),
+                          ("day", Range(least=date(2024, 1, 3), below=date(2024, 1, 9)), lambda r: date(2024, 1, 3) <= r[4] < date(2024, 1, 9)),
+                          ("at", Range(above=datetime(2024, 1, 2, 1, 30), most=date(2024, 1, 6)), lambda r: datetime(2024, 1, 2, 1, 30) < r[5] <= datetime(2024, 1, 6))):
+        want = {f"{NS}x/{row[0]}" for row in rows if good(row)}
+        for g in (kept, plain, mapped):
+            got = g.match(("?x", prop, "?v"), ranges={"v": r})
+            assert {x.x for x in got.collect()} == want and want
+            assert g.aggregate([], {"k": ("count", None)}, ("?x", prop, "?v"), ranges={"v": r}).first().k == len(want)
+        plan = lambda g: g.match(("?x", prop, "?v"), ranges={"v": r})._jdf.queryExecution().executedPlan().toString()  # noqa: E731, B023
+        name = "o_at" if r.temporal else "o_num"
+        assert f"OrEqual({name}," in plan(kept) and f"OrEqual({prop}," in plan(mapped)
+    assert mapped.match(("?x", "name", "?v"), ranges={"v": Range(least=0)}).isEmpty() and kept.match(("?x", "name", "?v"), ranges={"v": Range(least=0)}).isEmpty()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for bad in ({}, {"least": 1, "most": date(2024, 1, 1)}, {"least": float("nan")}, {"least": Decimal("1." + "1" * 40)}):
+        with pytest.raises(ValueError):
+            Range(**bad)
+    with pytest.raises(ValueError):
+        kept.match(("?x", "t", "?v"), ranges={"x": Range(least=0)})

@@ -4,7 +4,11 @@ Everything here is a composition of built-in functions, so it stays inside whole
 """
 from __future__ import annotations
 
+import datetime
+import math
 import re
+from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -176,3 +180,120 @@ def object_to_nt(o: Column, o_kind: Column, o_type: Column) -> Column:
             .when(o_type.startswith("@"), F.concat(plain, o_type))
             .when(F.contains(o_type, F.lit(":")), F.concat(plain, F.lit("^^<"), o_type, F.lit(">")))
             .otherwise(typed_literal))
+
+
+# ---------------------------------------------------------------- ranges of values
+
+NUMBERS = ("integer", "long", "short", "double", "float", "decimal")
+TIMES = ("date", "dateTime")
+
+
+@dataclass(frozen=True)
+class Range:
+    """Numbers or points in time that a literal's value must lie in; bounds that are None are open.
+
+    Numbers are compared exactly, whatever their size and digits (up to 38), dates and dateTimes as points in time without a zone. Literals of other
+    types are in no range.
+    """
+    least: object = None
+    most: object = None
+    above: object = None
+    below: object = None
+
+    def __post_init__(self):
+        if not self.tests:
+            raise ValueError("a range needs a bound")
+        if len({self.temporal} | {isinstance(b, datetime.date) for _, b in self.tests}) > 1:
+            raise ValueError("the bounds of a range are numbers or points in time, not both")
+        if not self.temporal:
+            for _, b in self.tests:
+                if not Decimal(str(b)).is_finite() or len(Decimal(str(b)).as_tuple().digits) > 37:
+                    raise ValueError(f"{b} is no bound: a finite number of at most 37 digits is needed")
+
+    @property
+    def tests(self) -> list[tuple[str, object]]:
+        named = ((">=", self.least), ("<=", self.most), (">", self.above), ("<", self.below))
+        return [(op, b) for op, b in named if b is not None]
+
+    @property
+    def temporal(self) -> bool:
+        return isinstance(self.tests[0][1], datetime.date)
+
+
+def _compare(a: Column, op: str, b: Column) -> Column:
+    return {">=": a >= b, "<=": a <= b, ">": a > b, "<": a < b}[op]
+
+
+def number(text: Column) -> Column:
+    """The nearest double of a number's text."""
+    return text.try_cast("double")
+
+
+def instant(text: Column) -> Column:
+    return text.try_cast("timestamp_ntz")
+
+
+def _near(bound: Decimal) -> tuple[float, float]:
+    """Doubles below and above a number, two steps off, so that rounding cannot take its double beyond them."""
+    f = float(bound)
+    low, high = math.nextafter(f, -math.inf), math.nextafter(f, math.inf)
+    return math.nextafter(low, -math.inf), math.nextafter(high, math.inf)
+
+
+def in_range(r: Range, text: Column, num: Column, at: Column) -> Column:
+    """Whether a literal is in the range, from its text and the number or time in columns of their own, which files can be skipped by.
+
+    The double decides but next to a bound; there the text is read as a decimal with as many digits behind the point as the bound leaves room for.
+    """
+    out = None
+    for op, bound in r.tests:
+        if r.temporal:
+            cond = _compare(at, op, instant_literal(bound))
+        else:
+            b = Decimal(str(bound))
+            low, high = _near(b)
+            kind = f"decimal(38,{min(37, max(0, 36 - max(b.adjusted(), 0)))})"
+            exact = F.coalesce(_compare(text.try_cast(kind), op, F.lit(format(b, "f")).cast(kind)), F.lit(False))
+            up = op in (">=", ">")
+            cond = (num >= low) & ~F.isnan(num) & ((num > high) | exact) if up else (num <= high) & ((num < low) | exact)
+        out = cond if out is None else out & cond
+    return out
+
+
+def instant_literal(bound: datetime.date) -> Column:
+    at = bound if isinstance(bound, datetime.datetime) else datetime.datetime(bound.year, bound.month, bound.day)
+    return F.lit(at.replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
+
+
+def implied_range(r: Range, col: Column, xsd: str, dtype: T.DataType) -> Column | None:
+    """A condition on the raw column that every value in the range meets, of a form that reaches the scan; None if there is none."""
+    out = None
+    exact = _DECIMAL.fullmatch(xsd)
+    for op, bound in r.tests:
+        up, cond = op in (">=", ">"), None
+        if r.temporal and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            at = bound if isinstance(bound, datetime.datetime) else datetime.datetime(bound.year, bound.month, bound.day)
+            # A day of slack covers every zone and what a date leaves out of a time.
+            slack = datetime.timedelta(days=0 if isinstance(dtype, T.TimestampNTZType) and xsd_name(xsd) == "dateTime" else 1)
+            at = at.replace(tzinfo=None) - slack if up else at.replace(tzinfo=None) + slack
+            text = F.lit(at.date().isoformat() if isinstance(dtype, T.DateType) else at.isoformat(" ")).cast(dtype)
+            cond = col >= text if up else col <= text
+        elif not r.temporal and isinstance(dtype, (T.IntegralType, T.DecimalType, T.DoubleType, T.FloatType)):
+            b = Decimal(str(bound))
+            slack = Decimal(1).scaleb(-int(exact[2])) if exact else Decimal(0)
+            b = b - slack if up else b + slack
+            if isinstance(dtype, T.IntegralType):
+                whole, top = math.floor(b) if up else math.ceil(b), {"tinyint": 7, "smallint": 15, "int": 31}.get(dtype.simpleString(), 63)
+                if -(1 << top) <= whole < 1 << top:
+                    cond = col >= F.lit(whole).cast(dtype) if up else col <= F.lit(whole).cast(dtype)
+            elif isinstance(dtype, T.DecimalType):
+                unit = Decimal(1).scaleb(-dtype.scale)
+                fit = (b / unit).to_integral_value("ROUND_FLOOR" if up else "ROUND_CEILING") * unit
+                if fit.adjusted() < dtype.precision - dtype.scale:
+                    cond = col >= F.lit(format(fit, "f")).cast(dtype) if up else col <= F.lit(format(fit, "f")).cast(dtype)
+            elif isinstance(dtype, T.DoubleType):
+                low, high = _near(b)
+                cond = col >= F.lit(low) if up else col <= F.lit(high)
+        if cond is not None:
+            out = cond if out is None else out & cond
+    return out

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.functions import terms
+from tripleframe.functions.terms import Range
 from tripleframe.model import RDF_TYPE, TRIPLE_COLS, Mapping, Tbox
 from tripleframe.operators.triplify import MappedTriples
 from tripleframe.plans.patterns import (
@@ -19,6 +20,10 @@ from tripleframe.plans.patterns import (
 )
 
 
+# What a store may keep beside its triples: the number or the point in time that a literal stands for.
+VALUE_COLS = ("o_num", "o_at")
+
+
 class Graph(ABC):
     @staticmethod
     def materialized(triples: DataFrame | MappedTriples, ns: str = "") -> "StoredGraph":
@@ -34,31 +39,41 @@ class Graph(ABC):
     def iri(self, name: str) -> str: ...
 
     @abstractmethod
-    def _bind(self, patterns: list[Pattern], typed: dict[str, str], extras: bool) -> DataFrame:
+    def _bind(self, patterns: list[Pattern], typed: dict[str, str], extras: bool, ranges: dict[str, Range] | None = None) -> DataFrame:
         """Bindings: a column per visible variable, with ``<var>__kind``/``<var>__type`` if asked."""
 
     @abstractmethod
-    def _aggregate(self, patterns: list[Pattern], by: list[str], aggs: dict[str, tuple[str, str | None]], typed: dict[str, str]) -> DataFrame | None:
+    def _aggregate(self, patterns: list[Pattern], by: list[str], aggs: dict[str, tuple[str, str | None]], typed: dict[str, str],
+                   ranges: dict[str, Range]) -> DataFrame | None:
         """The columns ``by`` with partial aggregates ``__n``, ``__sum_v``, ``__min_v``, ``__max_v``, ``__distinct_v``; None to aggregate bindings instead."""
 
     # ------------------------------------------------------------ matching
 
     def match(self, *patterns, typed: dict[str, str] | None = None, with_types: bool = False,
-              max_hops: int | None = None) -> DataFrame:
+              max_hops: int | None = None, ranges: dict[str, Range] | None = None) -> DataFrame:
         """Bindings of a set of patterns.
 
         ``typed`` asks for typed values instead of text for some variables, e.g. ``{"total": "decimal"}``.
         ``with_types`` adds ``<var>__type``, the literal type of each variable (NULL for an IRI).
+        ``ranges`` keeps bindings whose value of a variable, the object of some pattern, lies in a :class:`Range`. Its bounds reach the scan, of raw columns or of the
+        values that a store keeps beside its triples, which a filter on the result cannot always.
         """
         ps = self._checked(patterns, max_hops)
+        self._objects(ps, ranges)
         names = [v for p in ps for v in p.variables() if not hidden(v)]
         names = list(dict.fromkeys(v[1:] for v in names))
         if len({v.lower() for v in names}) < len(names):
             raise ValueError("variables that differ only in case would become one column")
-        out = self._bind(ps, dict(typed or {}), with_types)
+        out = self._bind(ps, dict(typed or {}), with_types, ranges)
         keep = [c for n in names for c in ([n, f"{n}__type"] if with_types else [n])]
         return out.select(*keep)
 
+    @staticmethod
+    def _objects(patterns: list[Pattern], ranges: dict[str, Range] | None) -> None:
+        lost = [v for v in ranges or {} if not any(p.o == "?" + v for p in patterns)]
+        if lost:
+            raise ValueError(f"a range needs an object of a pattern, which is not {', '.join(lost)}")
+
     def _checked(self, patterns, max_hops: int | None) -> list[Pattern]:
         ps = normalise(patterns, self.iri)
         if not ps:
@@ -80,7 +95,7 @@ class Graph(ABC):
         return self.aggregate(by, {"n": ("count", None)}, *patterns, typed=typed, max_hops=max_hops)
 
     def aggregate(self, by: list[str], aggs: dict[str, tuple[str, str | None]], *patterns, typed: dict[str, str] | None = None,
-                  max_hops: int | None = None) -> DataFrame:
+                  max_hops: int | None = None, ranges: dict[str, Range] | None = None) -> DataFrame:
         """``match(...).groupBy(by).agg(...)`` without the bindings: ``aggs`` maps a column to ``(function, variable)``.
 
         Functions are ``count`` (of bindings; the variable may be None), ``count_distinct``, ``sum``, ``avg``, ``min`` and ``max``; the last four are of typed
@@ -98,9 +113,10 @@ class Graph(ABC):
         bare = [v for how, v in aggs.values() if how in ("sum", "avg") and v not in typed]
         if bare:
             raise ValueError(f"sums need a type of {', '.join(bare)}")
-        out = self._aggregate(ps, list(by), aggs, typed)
+        self._objects(ps, ranges)
+        out = self._aggregate(ps, list(by), aggs, typed, ranges or {})
         if out is None:
-            return self._bind(ps, typed, False).groupBy(*by).agg(*_plain_aggregates(aggs))
+            return self._bind(ps, typed, False, ranges).groupBy(*by).agg(*_plain_aggregates(aggs))
         if "__n" not in out.columns:
             return out
         cols = []
@@ -224,7 +240,7 @@ class StoredGraph(Graph):
         """Triples of some predicates, or all."""
         if isinstance(self.source, MappedTriples):
             return self.source.only(preds)
-        rows = self.source.select(*TRIPLE_COLS)
+        rows = self.source.select(*TRIPLE_COLS, *[c for c in VALUE_COLS if c in self.source.columns])
         return rows if preds is None else rows.where(F.col("p").isin(preds) if len(preds) > 1 else F.col("p") == preds[0])
 
     def iri(self, name: str) -> str:
@@ -232,7 +248,7 @@ class StoredGraph(Graph):
             return RDF_TYPE
         return name if "://" in name or name.startswith(("urn:", "_:")) else self.ns + name
 
-    def _pattern(self, p: Pattern) -> DataFrame:
+    def _pattern(self, p: Pattern, ranges: dict[str, Range]) -> DataFrame:
         rows, cols, seen = self._some(None if is_var(p.p) else [p.p]), [], set()
 
         def bind(term, col, kinded=False):
@@ -256,18 +272,24 @@ class StoredGraph(Graph):
                     cols.extend([F.col("o_kind").alias(f"{term[1:]}__kind"),
                                  F.col("o_type").alias(f"{term[1:]}__type")])
 
+        if is_var(p.o) and p.o[1:] in ranges:
+            r = ranges[p.o[1:]]
+            have = {c for c in VALUE_COLS if c in rows.columns}
+            num = F.col("o_num") if "o_num" in have else terms.number(F.col("o"))
+            at = F.col("o_at") if "o_at" in have else terms.instant(F.col("o"))
+            rows = rows.where(F.col("o_type").isin(*(terms.TIMES if r.temporal else terms.NUMBERS)) & terms.in_range(r, F.col("o"), num, at))
         if is_var(p.p):
             bind(p.p, "p")
         bind(p.s, "s")
         bind(p.o, "o", kinded=True)
         return rows.select(*cols) if cols else rows.select(F.lit(True).alias("__hit"))
 
-    def _joined(self, patterns: list[Pattern], by: set[str] | None = None) -> DataFrame:
+    def _joined(self, patterns: list[Pattern], by: set[str] | None = None, ranges: dict[str, Range] | None = None) -> DataFrame:
         """Join patterns. With ``by``, variables that nobody needs any more are counted away (``__n``)."""
         order = in_join_order(patterns, Pattern.variables, Pattern.anchors)
         out, bound = None, set()
         for n, p in enumerate(order):
-            part = self._pattern(p)
+            part = self._pattern(p, ranges or {})
             mine = {v[1:] for v in p.variables()}
             later = {v[1:] for q in order[n + 1:] for v in q.variables()}
             if by is not None:
@@ -297,8 +319,8 @@ class StoredGraph(Graph):
                 out, bound = _counted(out, bound, live, "__n"), live
         return out
 
-    def _bind(self, patterns, typed, extras):
-        out = self._joined(patterns)
+    def _bind(self, patterns, typed, extras, ranges=None):
+        out = self._joined(patterns, None, ranges)
         cols = []
         for v in sorted({v[1:] for p in patterns for v in p.variables()}):
             kind = F.col(f"{v}__kind") if _kinded(out, v) else F.lit("iri")
@@ -308,10 +330,10 @@ class StoredGraph(Graph):
                 cols += [kind.alias(f"{v}__kind"), xsd.alias(f"{v}__type")]
         return out.select(*cols) if cols else out
 
-    def _aggregate(self, patterns, by, aggs, typed):
+    def _aggregate(self, patterns, by, aggs, typed, ranges):
         if any(how != "count" for how, _ in aggs.values()):
             return None
-        out = self._joined(patterns, set(by)).select(*[(terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v) for v in by], "__n")
+        out = self._joined(patterns, set(by), ranges).select(*[(terms.value(v, typed[v]) if v in typed else F.col(v)).alias(v) for v in by], "__n")
         return out.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"))
 
     def star(self, cls: str, props: dict[str, str]) -> DataFrame:

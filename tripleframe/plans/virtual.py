@@ -239,7 +239,7 @@ class VirtualGraph(Graph):
                             edge(RDF_TYPE, term, Const(t), False)
         return out
 
-    def _pieces(self, p: Pattern) -> list[Piece]:
+    def _pieces(self, p: Pattern, ranges: dict[str, terms.Range]) -> list[Piece]:
         """Ways to answer one pattern that cannot give the same triple twice."""
         fitting = []
         for piece, s, pred, o in self._candidates(p):
@@ -263,6 +263,9 @@ class VirtualGraph(Graph):
                     tests = None
                 if tests is None:
                     break
+            if tests is not None and is_var(p.o) and p.o[1:] in ranges:
+                within = self._in_range(ranges[p.o[1:]], o, piece.df)
+                tests = None if within is None else tests + within
             if tests is None:
                 continue
             piece.where += tests
@@ -294,6 +297,15 @@ class VirtualGraph(Graph):
         return [c[0][0] if len(c) == 1 and self._plain_piece(c[0][0]) else self._merged([x[0] for x in c])
                 for c in clusters]
 
+    @staticmethod
+    def _in_range(r: terms.Range, o, df: DataFrame) -> list[Column] | None:
+        """Conditions that a literal's value is in a range: one that the scan can use and the exact one; None if it cannot be."""
+        if not isinstance(o, Text) or terms.xsd_name(o.xsd) not in (terms.TIMES if r.temporal else terms.NUMBERS):
+            return None
+        text, dtype = _render(o, df), df.schema[o.col].dataType
+        implied = terms.implied_range(r, F.col(o.col), o.xsd, dtype)
+        return ([] if implied is None else [implied]) + [terms.in_range(r, text, terms.number(text), terms.instant(text))]
+
     @staticmethod
     def _plain_piece(pc: Piece) -> bool:
         """Whether raw rows are enough: no two of them can turn into one binding when written out."""
@@ -441,18 +453,18 @@ class VirtualGraph(Graph):
         same = terms.value_type(t.xsd) == terms.value_type(typed[v])
         return shown if same else shown.cast(terms.value_type(typed[v]))
 
-    def _combinations(self, patterns: list[Pattern]) -> list[list[Piece]]:
+    def _combinations(self, patterns: list[Pattern], ranges: dict[str, terms.Range] | None = None) -> list[list[Piece]]:
         known = self._known_predicates()
         for p in patterns:
             if not is_var(p.p) and p.p not in known:
                 raise ValueError(f"no mapping gives predicate {p.p}")
-        ways = product(*[self._pieces(p) for p in patterns])
+        ways = product(*[self._pieces(p, ranges or {}) for p in patterns])
         return [fused for fused in (self._fused(list(w)) for w in ways) if fused]
 
-    def _bind(self, patterns, typed, extras):
+    def _bind(self, patterns, typed, extras, ranges=None):
         names = list(dict.fromkeys(v[1:] for p in patterns for v in p.variables() if not hidden(v)))
         frames = []
-        for fused in self._combinations(patterns):
+        for fused in self._combinations(patterns, ranges):
             out, env = self._joined(fused)
             cols = []
             for v in names:
@@ -465,7 +477,7 @@ class VirtualGraph(Graph):
             frames.append(out.select(*cols) if cols else out.select(F.lit(True).alias("__hit")))
         return union_all(frames) if frames else self._nothing(names, typed, extras)
 
-    def _aggregate(self, patterns, by, aggs, typed):
+    def _aggregate(self, patterns, by, aggs, typed, ranges):
         """Aggregates on raw key columns; IRIs and typed values are made of the results.
 
         Ways to answer the patterns whose results may have a key in common, or whose raw keys may differ where the values do not, are put together once more.
@@ -475,7 +487,7 @@ class VirtualGraph(Graph):
             if how in ("sum", "avg", "min", "max"):
                 measures.setdefault("?" + v, set()).update(("sum", "known") if how == "avg" else (how,))
         apart = list(dict.fromkeys(v for how, v in aggs.values() if how == "count_distinct"))
-        ways = self._combinations(patterns)
+        ways = self._combinations(patterns, ranges)
         if apart and len(ways) > 1:
             return None  # values of several ways have to be compared as text
         kinds = {f"__{how}_{v[1:]}": "sum" if how == "known" else how for v, hows in measures.items() for how in sorted(hows)}

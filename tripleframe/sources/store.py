@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleframe.functions import terms
 from tripleframe.model import RDF_TYPE, TRIPLE_COLS, TRIPLE_SCHEMA
 
 CELLS = 4096  # buckets are made of these; no predicate has more
@@ -121,17 +122,21 @@ class TripleStore:
 
     # ------------------------------------------------------------ reading
 
-    def load(self, version: int | None = None) -> DataFrame:
-        """The triples of a version, by default the current one. Only its folders are read, and of them those of the predicates asked for."""
+    def load(self, version: int | None = None, values: bool = False) -> DataFrame:
+        """The triples of a version, by default the current one. Only its folders are read, and of them those of the predicates asked for.
+
+        ``values`` adds the numbers ``o_num`` and the points in time ``o_at`` of literals, by which a graph of the frame skips what is not in a range.
+        """
         rows = self.manifest(version).collect()
         if not rows:
-            return self.spark.createDataFrame([], TRIPLE_SCHEMA)
-        frames = [f"{f.name} {f.dataType.simpleString()}" for f in TRIPLE_SCHEMA if f.name != "p"]
+            empty = self.spark.createDataFrame([], TRIPLE_SCHEMA)
+            return empty.withColumns({"o_num": F.lit(None).cast("double"), "o_at": F.lit(None).cast("timestamp_ntz")}) if values else empty
+        frames = [*(f"{f.name} {f.dataType.simpleString()}" for f in TRIPLE_SCHEMA if f.name != "p"), "o_num double", "o_at timestamp_ntz"]
         out = None
         for write in sorted({r.write for r in rows}):
             data = self.spark.read.schema(", ".join([*frames, "p string", "bucket int"])).parquet(f"{self.path}/data/write={write}")
             mine = [r for r in rows if r.write == write]
-            data = data.where(_one_of(mine, self._written(write))).select(*TRIPLE_COLS)
+            data = data.where(_one_of(mine, self._written(write))).select(*TRIPLE_COLS, *(("o_num", "o_at") if values else ()))
             out = data if out is None else out.unionByName(data)
         return out
 
@@ -176,7 +181,9 @@ class TripleStore:
         rows = triples.select(*TRIPLE_COLS).where(F.col("p").isin(sorted(buckets)))
         many = reduce(lambda out, p: out.when(F.col("p") == p, buckets[p]), [p for p in buckets if buckets[p] > 1], F.when(F.lit(False), 1)).otherwise(1)
         rows = rows.withColumn("bucket", bucket_of(cell("s"), many)).where(_one_of(differ, buckets))
-        keys = [F.col("p"), F.col("bucket"), F.when(F.col("p") == RDF_TYPE, F.col("o")), F.col("s")]
+        # Literals with a value are in its order, so that a range of values is in few row groups; others in that of their subjects.
+        rows = rows.withColumns({"o_num": F.when(F.col("o_type").isin(*terms.NUMBERS), terms.number(F.col("o"))), "o_at": F.when(F.col("o_type").isin(*terms.TIMES), terms.instant(F.col("o")))})
+        keys = [F.col("p"), F.col("bucket"), F.when(F.col("p") == RDF_TYPE, F.col("o")), F.col("o_num"), F.col("o_at"), F.col("s")]
         rows.hint("rebalance", "p", "bucket").sortWithinPartitions(*keys).write.partitionBy("p", "bucket").parquet(f"{self.path}/data/write={write}")
 
     def clear(self) -> Refreshed:
