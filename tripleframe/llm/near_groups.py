@@ -102,16 +102,25 @@ def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def groups(shared: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame],
-           may_link: Callable[[np.ndarray, np.ndarray, list, list], np.ndarray]) -> DataFrame | None:
+           may_link: Callable[[np.ndarray, np.ndarray, list, list], np.ndarray], one_first: bool = False) -> DataFrame | None:
     """``k`` and ``c`` of all keys that are linked with another one, or None.
 
     ``shared`` has the members ``k`` of buckets ``bh`` of at least two. ``linked`` takes pairs (``a``, ``b``) and returns those that are linked;
     ``sketches`` gives ``k``, ``n`` and ``sketch`` of the keys it gets; ``may_link`` takes sizes and sketches of two sides and says which of all pairs
-    may be linked, as a matrix.
+    may be linked, as a matrix. With ``one_first`` every member is held against one of the members that its buckets begin with before all those that it is
+    not linked with by then; that spares most pairs where members share many buckets that begin differently.
     """
     pivots = shared.groupBy("bh").agg(F.min("k").alias("pivot"))
-    pairs = shared.join(pivots, "bh").where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct()
-    label = merged(None, linked(pairs))
+    pairs = shared.join(pivots, "bh").where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"))
+    if one_first:
+        pairs = cut_lineage(pairs.distinct())
+        label = merged(None, linked(pairs.groupBy("a").agg(F.min("b").alias("b"))))
+        if label is not None:
+            mine = lambda x: label.select(F.col("k").alias(x), F.col("c").alias("c" + x))
+            pairs = pairs.join(mine("a"), "a", "left").join(mine("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        label = merged(label, linked(pairs))
+    else:
+        label = merged(None, linked(pairs.distinct()))
 
     def spread() -> DataFrame:
         if label is None:

@@ -144,7 +144,7 @@ def near_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
             _estimated(percent / 100 - MARGIN), "a long, b long")
         return confirmed(likely, base, sizes, width, percent)
 
-    label = groups(shared, linked, lambda keys: full.select("k", "n", "sketch").join(keys, "k"), _may_link(percent))
+    label = groups(shared, linked, lambda keys: full.select("k", "n", "sketch").join(keys, "k"), _may_link(percent), one_first=True)
     whole = sketches.select("k", F.col("n").alias("n_shingles")).join(members, "k", "left").select("k", "n_shingles", F.coalesce("rep", "k").alias("rep"))
     if label is None:
         return whole.select("k", "n_shingles", F.col("rep").alias("c"))
