@@ -102,13 +102,14 @@ def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def groups(shared: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame],
-           may_link: Callable[[np.ndarray, np.ndarray, list, list], np.ndarray], one_first: bool = False) -> DataFrame | None:
+           may_link: Callable[[np.ndarray, np.ndarray, list, list], np.ndarray], one_first: bool = False,
+           block: int | None = None) -> DataFrame | None:
     """``k`` and ``c`` of all keys that are linked with another one, or None.
 
     ``shared`` has the members ``k`` of buckets ``bh`` of at least two. ``linked`` takes pairs (``a``, ``b``) and returns those that are linked;
     ``sketches`` gives ``k``, ``n`` and ``sketch`` of the keys it gets; ``may_link`` takes sizes and sketches of two sides and says which of all pairs
     may be linked, as a matrix. With ``one_first`` every member is held against one of the members that its buckets begin with before all those that it is
-    not linked with by then; that spares most pairs where members share many buckets that begin differently.
+    not linked with by then; that spares most pairs where members share many buckets that begin differently. Members of large buckets are sent once for every ``block`` others.
     """
     pivots = shared.groupBy("bh").agg(F.min("k").alias("pivot"))
     pairs = shared.join(pivots, "bh").where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"))
@@ -144,15 +145,15 @@ def groups(shared: DataFrame, linked: Callable[[DataFrame], DataFrame], sketches
     few = rest.where(F.col("m") <= FEW)
     other = few.select("bh", F.col("k").alias("b"), F.col("c").alias("cb"))
     some = few.select("bh", F.col("k").alias("a"), "c").join(other, "bh").where("a < b and c <> cb").select("a", "b").distinct()
-    return merged(label, linked(some.unionByName(_apart(rest.where(F.col("m") > FEW), sketches, may_link)).distinct()))
+    return merged(label, linked(some.unionByName(_apart(rest.where(F.col("m") > FEW), sketches, may_link, block or BLOCK)).distinct()))
 
 
-def _apart(rest: DataFrame, sketches: Callable, may_link: Callable) -> DataFrame:
+def _apart(rest: DataFrame, sketches: Callable, may_link: Callable, block: int) -> DataFrame:
     """Pairs (``a``, ``b``) of members of one bucket with different labels that may be linked; buckets meet block by block."""
     if rest.limit(1).count() == 0:
         return rest.select(F.col("k").alias("a"), F.col("k").alias("b"))
     rest = rest.join(sketches(rest.select("k").distinct()), "k")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("k", "bh"), blocks).cast("int")
     rest = rest.withColumn("g", blocks).withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rest = rest.select("bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "k", "c", "n", "sketch")

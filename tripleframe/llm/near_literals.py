@@ -83,6 +83,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(bh.ravel().view(np.int64))], names=["k", "bh"])
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            low = _registers(batch.column("sketch")).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], names=["k", "n", "sketch"])
+
+
 def _estimated(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +104,10 @@ def _may_link(percent: int):
     """Pairs whose sizes and registers do not rule out that they are linked.
 
     Sets of similarity j have at least that share of their registers equal on average, so the bound is that of :func:`_estimated`, told from equal ones alone.
+    Of a register only the low byte is sent: equal ones stay equal.
     """
     def fit(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
         out = 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
         least = (percent / 100 - MARGIN) * x.shape[1]
         for i in range(len(x)):
@@ -144,7 +152,10 @@ def near_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
             _estimated(percent / 100 - MARGIN), "a long, b long")
         return confirmed(likely, base, sizes, width, percent)
 
-    label = groups(shared, linked, lambda keys: full.select("k", "n", "sketch").join(keys, "k"), _may_link(percent), one_first=True)
+    def low_bytes(keys: DataFrame) -> DataFrame:
+        return full.select("k", "n", "sketch").join(keys, "k").mapInArrow(_low_bytes, "k long, n long, sketch binary")
+
+    label = groups(shared, linked, low_bytes, _may_link(percent), one_first=True, block=2048)
     whole = sketches.select("k", F.col("n").alias("n_shingles")).join(members, "k", "left").select("k", "n_shingles", F.coalesce("rep", "k").alias("rep"))
     if label is None:
         return whole.select("k", "n_shingles", F.col("rep").alias("c"))
