@@ -183,3 +183,51 @@ select page_id, host, path, {choose(1, 'null')} as rule, {choose(2, f"case when
 
 
 SQL["op2_url_filter"] = _op2_sql()
+
+
+def _shingle_sql(width: int, percent: int, more: str) -> str:
+    """Components of documents linked by their shingles: an inverted index, counts of common shingles, and what links reach."""
+    return f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{iri_filter._UPPER}', '{iri_filter._LOWER}'), '[ \\t-\\r]+'), lambda x: x <> '') ws from documents),
+     g as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < {width} then [array_to_string(ws, ' ')]
+             else list_transform(range(1, len(ws) - {width} + 2), lambda i: array_to_string(ws[i:i + {width - 1}], ' ')) end) g from w),
+     n as (select doc_id, count(*) n from g group by doc_id),
+     p as (select a.doc_id a, b.doc_id b, count(*) c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+     l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= {percent} * (x.n + y.n - c)),
+     e as (select a, b from l union all select b, a from l),
+     r(k, c) as (select doc_id, doc_id from documents union select r.k, e.b from r join e on r.c = e.a),
+     m as (select k, min(c) c from r group by k)
+select k as doc_id, coalesce(n, 0) as n_shingles, c as component_id{more} from m left join n on k = doc_id"""
+
+
+SQL["op4_minhash_near_dedup"] = _shingle_sql(2, 80, ", k = c as kept")
+SQL["op11_ngram_jaccard_join"] = _shingle_sql(3, 90, "")
+
+SQL["op1_substring_dedup"] = """
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') ws from documents),
+     v as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') g from (select doc_id, ws, unnest(range(1, len(ws) - 18)) i from w)),
+     f as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) r from v) where r > 1),
+     c as (select distinct doc_id, unnest(range(i, i + 20)) pos from f),
+     u as (select doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) pos from w),
+     k as (select u.doc_id, count(*) n_words, count(c.pos) n_removed, string_agg(word, ' ' order by u.pos) filter (c.pos is null) kept
+           from u left join c on u.doc_id = c.doc_id and u.pos = c.pos group by u.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join k on d.doc_id = k.doc_id"""
+
+# Fixed value: 3988292384, the reflected polynomial of CRC-32, from which its table is made.
+SQL["op13_spelling_variants"] = f"""
+with recursive t as (select list(list_reduce(list_concat([i], [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) order by i) t from range(256) x(i)),
+     o as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{iri_filter._UPPER}', '{iri_filter._LOWER}'), '[a-zÀ-ÿ]+')) w from documents),
+     d as (select w, cast(doc_id as varchar) || ':' || w s, count(*) n from o where length(w) >= 7 group by all),
+     b as (select w, n, flatten(list_transform(string_split(s, ''), lambda x: case when unicode(x) < 128 then [cast(unicode(x) as bigint)] else [195, (unicode(x) & 63) | 128] end)) y from d),
+     h as (select w, n, xor(list_reduce(list_concat([4294967295], y), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) h from b, t),
+     k as (select case when h % 31 = 0 then w[1:cast(h % length(w) as integer)] || w[cast(h % length(w) as integer) + 2:] else w end word, n from h),
+     c as (select word, cast(sum(n) as bigint) n from k where length(word) >= 7 group by word having sum(n) >= 2),
+     x as (select word, n, unnest(range(1, length(word) + 1)) i from c),
+     z as (select word, n, i, word[1:i - 1] || word[i + 1:] g from x),
+     q as (select a.word, b.word other, b.n m from z a join z b on a.g = b.g and a.i = b.i and a.word <> b.word
+           union select z.word, c.word, c.n from z join c on z.g = c.word union select c.word, z.word, z.n from z join c on z.g = c.word),
+     f as (select word, count(*) n_near, max(m) m, arg_min(other, (-m, other)) form from q group by word),
+     j as (select c.word, n, coalesce(n_near, 0) n_near, case when m >= 10 * n then form end form, case when m >= 10 * n then m end form_n from c left join f using (word)),
+     r(word, root) as (select word, word from j union all select r.word, j.form from r join j on r.root = j.word where j.form is not null),
+     s as (select word, arg_max(root, n) root from (select r.word, r.root, c.n from r join c on r.root = c.word) group by word)
+select j.word, form, root, n, n_near, form_n from j join s on j.word = s.word"""
