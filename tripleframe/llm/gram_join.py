@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleframe.llm import words as W
-from tripleframe.llm.near_groups import confirmed, groups, shingle_sets
+from tripleframe.llm.near_groups import PIECE_BYTES, confirmed, groups, shingle_sets
 from tripleframe.llm.rows import keyed, texts
 from tripleframe.plans.support import cut_lineage
 
@@ -87,7 +87,7 @@ def bucket_keys(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
 def _described(width: int, percent: int):
     """Size, signature and bucket keys of every literal."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ks, os, _ in texts(batches):
+        for ks, os, _ in texts(batches, PIECE_BYTES):
             h, first = shingle_sets(os, width)
             n = np.diff(first)
             sums = [np.zeros(len(n), np.uint64) for _ in _SALTS]
@@ -106,7 +106,7 @@ def _described(width: int, percent: int):
 def _parities(width: int):
     """Which of many bits are set by an odd number of a set's n-grams; about two bits for each n-gram of a set of middling size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ks, os, _ in texts(batches):
+        for ks, os, _ in texts(batches, PIECE_BYTES):
             h, first = shingle_sets(os, width)
             out = []
             for a, b in zip(first[:-1], first[1:], strict=True):

@@ -28,6 +28,7 @@ FRAGMENT = 1024  # shingles of the larger set in a fragment, about
 BLOCK = 512  # members of a bucket that are compared with as many others at once
 FEW = 16  # buckets of up to this many members are compared by a join
 BROADCAST_KEYS = 500_000  # of eight bytes
+PIECE_BYTES = 2 << 20  # of text that is cut into shingles at once
 
 
 def shingle_sets(os: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def _apart(rest: DataFrame, sketches: Callable, may_link: Callable, block: int)
 def _routed(width: int):
     """Fragments of the sets of texts for every pivot that waits for them; ``role`` 0 is the pivot itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ks, os, rows in texts(batches):
+        for ks, os, rows in texts(batches, PIECE_BYTES):
             h, first = shingle_sets(os, width)
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             size = 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.llm import words as W
-from tripleframe.llm.near_groups import confirmed, groups, shingle_sets
+from tripleframe.llm.near_groups import PIECE_BYTES, confirmed, groups, shingle_sets
 from tripleframe.llm.rows import keyed, texts
 from tripleframe.llm.rows import literals as as_literals
 from tripleframe.plans.support import cut_lineage
@@ -54,7 +54,7 @@ def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ste
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ks, os, _ in texts(batches):
+        for ks, os, _ in texts(batches, PIECE_BYTES):
             h, first = shingle_sets(os, width)
             n = np.diff(first)
             sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
